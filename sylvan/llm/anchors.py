@@ -126,8 +126,8 @@ def sorted_lcp(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ctx)
     order = multikey_classes(_columns(ctx), n)
     lcp = np.zeros(n, np.int16)
-    for a in range(1, n, 1 << 16):
-        b = min(n, a + (1 << 16))
+    for a in range(1, n, 1 << 15):
+        b = min(n, a + (1 << 15))
         same = ctx[order[a:b]] == ctx[order[a - 1 : b - 1]]
         full = same.all(axis=1)
         lcp[a:b] = np.where(full, ctx.shape[1], np.argmin(same, axis=1))
@@ -179,6 +179,33 @@ def _full_mask(l: np.ndarray, r: np.ndarray, W: int, far: int) -> np.ndarray:
     return np.where(hi >= lo, ((one << (hi - lo + 1).clip(0, 63).astype(np.uint64)) - one) << lo.clip(0, 63).astype(np.uint64), np.uint64(0))
 
 
+def _own(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Copies, so that dropping the contexts frees them."""
+    return {n: a.copy() for n, a in x.items()}
+
+
+def _coded(ctx: np.ndarray) -> dict[str, np.ndarray]:
+    """Bytes as they are; wider symbols as places in a list of those present."""
+    if ctx.dtype == np.uint8:
+        return {"ctx": ctx}
+    names, codes = np.unique(ctx, return_inverse=True)
+    return {"names": names, "ctx": codes.reshape(ctx.shape).astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)}
+
+
+def _decoded(parts: list[dict[str, np.ndarray]]) -> np.ndarray:
+    """The contexts of all blobs, with symbols that are equal if theirs are."""
+    if "names" not in parts[0]:
+        return np.concatenate([p.pop("ctx") for p in parts])
+    names = np.unique(np.concatenate([p["names"] for p in parts]))
+    out = np.empty((sum(len(p["ctx"]) for p in parts), parts[0]["ctx"].shape[1]), np.uint32)
+    at = 0
+    for p in parts:
+        codes = p.pop("ctx")
+        out[at : at + len(codes)] = np.searchsorted(names, p.pop("names")).astype(np.uint32)[codes]
+        at += len(codes)
+    return out
+
+
 def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards: int, finish, schema: str, splitters: np.ndarray | None = None, judge=repeated) -> DataFrame:
     """``symbols(block)`` gives (symbols, starts, ends) of a block;
     ``finish(block, symbols, starts, ends, dup)`` its result table, where dup
@@ -278,14 +305,15 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
             mine = mine[np.argsort(lead[rep[mine]], kind="stable")]
             members = np.concatenate([np.arange(at[m], at[m] + size[m]) for m in mine.tolist()])
             q = rep[mine]
-            out.append((s, b, pack(ctx=ctx[q], l=l[q].astype(np.uint8), r=r[q].astype(np.uint8), ids=ids[q], groups=block.groups[doc[q]], size=size[mine].astype(np.uint32), pos=pos[order[members]].astype(np.uint32), sure=np.packbits(sure[members]))))
+            out.append((s, b, pack(**_coded(ctx[q]), l=l[q].astype(np.uint8), r=r[q].astype(np.uint8), ids=ids[q], groups=block.groups[doc[q]], size=size[mine].astype(np.uint32), pos=pos[order[members]].astype(np.uint32), sure=np.packbits(sure[members]))))
         return pa.Table.from_batches([blobs(out)])
 
     def compare(ids, got):
-        parts = [unpack(x) for x in got]
-        cat = {n: np.concatenate([p[n] for p in parts]) for n in ("ctx", "l", "r", "ids", "groups")}
+        parts = [_own(unpack(x)) for x in got]
+        ctx = _decoded(parts)
+        cat = {n: np.concatenate([p[n] for p in parts]) for n in ("l", "r", "ids", "groups")}
         l, r = cat["l"].astype(np.int64), cat["r"].astype(np.int64)
-        mask = judge(cat["ctx"], l, r, cat["ids"], cat["groups"], W, k, rule)
+        mask = judge(ctx, l, r, cat["ids"], cat["groups"], W, k, rule)
         full = _full_mask(l, r, W, far)
         out, at = [], 0
         for b, p in zip(ids, parts):

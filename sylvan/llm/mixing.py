@@ -91,3 +91,12 @@ def mix(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: st
     for part in done[1:]:
         out = out.union(part)
     return out
+
+
+def take(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: every row of ``df`` as often as the mix takes it, with
+    its own columns."""
+    no_id = F.lit(-(1 << 63))
+    times = mix(spark, df, id_col, **options).groupBy(F.coalesce("doc_id", no_id).alias("__key")).agg(F.max("times").alias("__times"))
+    met = df.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), no_id)).join(times, "__key")
+    return met.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*df.columns)

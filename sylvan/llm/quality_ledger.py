@@ -62,19 +62,23 @@ def repeat_words(words: Column, window: int = 3) -> Column:
     return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(_let(places(words), covered))
 
 
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, the measurements and ``failures``: bit i is set if rule i fails.
+    With ``carry`` the whole input row stands before them, as ``row``.
 
     A null text measures as an empty one; a null id stays null; repeated
     rows are judged each. An empty table gives no rows. Only the two named
-    columns are read.
+    columns are read, but for ``carry``.
     """
+    first = [F.struct("*").alias("row")] if carry else []
+    row = ["row"] * carry
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_RE))
     measured = (
-        df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        .select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD_RE), F.lit(0)).alias("words"), lines.alias("lines"))
+        df.select(*first, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        .select(*row, "doc_id", "text", F.regexp_extract_all("text", F.lit(WORD_RE), F.lit(0)).alias("words"), lines.alias("lines"))
         .select(
+            *row,
             "doc_id",
             F.size("words").cast("long").alias("n_words"),
             F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
@@ -121,3 +125,8 @@ def ablation(kept: DataFrame, policy: str = "v1") -> DataFrame:
 
 def assess(df: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return apply_policy(ledger(df, id_col, text_col), policy)
+
+
+def keep(df: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that the policy keeps, with their own columns."""
+    return apply_policy(ledger(df, id_col, text_col, carry=True), policy).where("kept").select("row.*")

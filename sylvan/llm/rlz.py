@@ -50,8 +50,10 @@ def greedy_factors(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarra
     mate = order[np.where(back, np.maximum(place - 1, 0), np.minimum(place + 1, n - 1))]
     row = order
     reach = np.minimum(np.where(back, lcp, after), np.minimum(r[row], r[mate]))
-    same = ctx[row, far - 1 :: -1][:, :far] == ctx[mate, far - 1 :: -1][:, :far]
-    left = np.where(same.all(axis=1), far, np.argmin(same, axis=1))
+    left = np.empty(n, np.int64)
+    for a in range(0, n, 1 << 15):
+        same = ctx[row[a : a + (1 << 15)], far - 1 :: -1] == ctx[mate[a : a + (1 << 15)], far - 1 :: -1]
+        left[a : a + len(same)] = np.where(same.all(axis=1), far, np.argmin(same, axis=1))
     left = np.minimum(left, np.minimum(l[row], l[mate]))
     one = np.uint64(1)
 
@@ -71,7 +73,7 @@ def greedy_factors(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarra
     return mask
 
 
-def dedup_spans(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", W: int = 35, k: int = 8, block_bytes: int = 4 << 20, shard_bytes: int = 24 << 20, texts: bool = False) -> DataFrame:
+def dedup_spans(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", W: int = 35, k: int = 8, block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20, texts: bool = False) -> DataFrame:
     """Remove every word covered by a window of W words that also starts
     anywhere else, in the same document or another.
 

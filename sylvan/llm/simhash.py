@@ -156,3 +156,12 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates: the one of least id,
+    with its own columns. Rows that repeat an id and its text stay once."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    groups = near_duplicates(spark, df, id_col, text_col)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__key"))
+    return df.withColumn("__key", key).join(first, "__key", "left_semi").dropDuplicates(["__key", text_col]).drop("__key")
