@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import _gram_hash
-from .shared import mix64, ready_python
+from .shared import Shared, mix64, ready_python
 
 MATCHES = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
 #: An index block that executors hold at once: items and bytes at most.
@@ -96,7 +96,7 @@ def index_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str = "ite
     blocks = max(1, -(-n // ITEMS), -(-size // BYTES))
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        yield spark.sparkContext.broadcast(Index([(r.item, bytes(r.text)) for r in part]))
+        yield Shared(spark, Index([(r.item, bytes(r.text)) for r in part]))
 
 
 def _cut(known: dict) -> None:

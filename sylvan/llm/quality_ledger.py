@@ -89,6 +89,8 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
             F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         )
     )
+    if carry:  # a generator keeps filters on the ledger from being pushed into, and repeating, the measuring
+        measured = measured.select("row", F.explode(F.array(F.struct("doc_id", *MEASURES))).alias("m")).select("row", "m.*")
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     total = bits[0]
     for b in bits[1:]:

@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ready_python, stage
+from .shared import Shared, ready_python, stage
 
 SHORTEST = 16
 DICTIONARY = 4096  # most frequent words kept; counts cover all documents
@@ -188,7 +188,7 @@ def find_secrets(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
     """
     rows = scan(spark, df, id_col, text_col, path_col)
     counted = rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    language = spark.sparkContext.broadcast(Language([(r.word, r.n) for r in counted]))
+    language = Shared(spark, Language([(r.word, r.n) for r in counted]))
     found = rows.where("value IS NOT NULL")
 
     def featured(batches):

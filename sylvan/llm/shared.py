@@ -67,6 +67,25 @@ def ready_python(spark: SparkSession, mb: int = 24) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+class Shared:
+    """A value that executors read, of a size that the caller bounds. It is
+    pickled by value, as the functions are."""
+
+    def __init__(self, spark: SparkSession, value):
+        ready_python(spark)
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._bytes.value)
+        return self._value
+
+
 def pack(**arrays: np.ndarray | bytes) -> bytes:
     """Named arrays (or bytes) as one zstd blob."""
     head, body = [], []
