@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_RE, stage
+from .shared import WORD_RE, fresh, stage
 
 #: Hex digits of each level: 4,096 buckets of a source, then of a bucket.
 LEVEL, LEVELS = 3, 3
@@ -96,7 +96,7 @@ def mix(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: st
 def take(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every row of ``df`` as often as the mix takes it, with
     its own columns."""
-    no_id = F.lit(-(1 << 63))
-    times = mix(spark, df, id_col, **options).groupBy(F.coalesce("doc_id", no_id).alias("__key")).agg(F.max("times").alias("__times"))
-    met = df.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), no_id)).join(times, "__key")
-    return met.withColumn("__one", F.explode(F.array_repeat(F.lit(1), F.col("__times").cast("int")))).select(*df.columns)
+    none, key, n = F.lit(-(1 << 63)), fresh(df, "mix_key"), fresh(df, "mix_times")
+    times = mix(spark, df, id_col, **options).groupBy(F.coalesce("doc_id", none).alias(key)).agg(F.max("times").alias(n))
+    met = df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), none)).join(times, key)
+    return met.withColumn(n, F.explode(F.array_repeat(n, F.col(n).cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -67,6 +67,14 @@ def ready_python(spark: SparkSession, mb: int = 24) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Shared:
     """A value that executors read, of a size that the caller bounds. It is
     pickled by value, as the functions are."""

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ready_python, stage
+from .shared import fresh, ready_python, stage
 
 DENSE = 32
 _PIECE = 1 << 20
@@ -161,7 +161,8 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
 def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates: the one of least id,
     with its own columns. Rows that repeat an id and its text stay once."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    none, key = F.lit(-(1 << 63)), fresh(df, "group_key")
     groups = near_duplicates(spark, df, id_col, text_col)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__key"))
-    return df.withColumn("__key", key).join(first, "__key", "left_semi").dropDuplicates(["__key", text_col]).drop("__key")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias(key))
+    keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), none))
+    return keyed.join(first, key, "left_semi").dropDuplicates([key, text_col]).drop(key)
