@@ -21,26 +21,36 @@ def _years(raw: DataFrame) -> DataFrame:
     return raw.withColumn("year", F.year("date"))
 
 
-def summer_summary(raw: DataFrame) -> DataFrame:
-    n, b = F.col("raw_NDVI"), F.col("raw_visible_brightness")
-    return _years(raw).where(F.month("date").isin(6, 7, 8)).groupBy("uniqueID", "year").agg(
+def _summer(when) -> list[Column]:
+    """Summer's aggregates of the values that ``when`` lets through."""
+    n, b = when(F.col("raw_NDVI")), when(F.col("raw_visible_brightness"))
+    return [
         F.avg(n).alias("raw_NDVI_summer_mean"), F.min(n).alias("raw_NDVI_summer_min"), F.max(n).alias("raw_NDVI_summer_max"), F.stddev_samp(n).alias("raw_NDVI_summer_std"),
         F.avg(b).alias("raw_visible_brightness_summer_mean"), F.max(b).alias("raw_visible_brightness_summer_max"),
-        *[F.avg(f"raw_{c}_brightness").alias(f"raw_{c}_brightness_summer_mean") for c in ("red", "green", "blue")], F.count(n).alias("n_summer_obs"),
-    )
+        *[F.avg(when(F.col(f"raw_{c}_brightness"))).alias(f"raw_{c}_brightness_summer_mean") for c in ("red", "green", "blue")],
+    ]
 
 
-def annual_summary(raw: DataFrame) -> DataFrame:
+def _annual() -> list[Column]:
     n, b = F.col("raw_NDVI"), F.col("raw_visible_brightness")
-    return _years(raw).groupBy("uniqueID", "year").agg(
-        F.avg(n).alias("raw_NDVI_annual_mean"), F.min(n).alias("raw_NDVI_annual_min"), F.max(n).alias("raw_NDVI_annual_max"), F.avg(b).alias("raw_visible_brightness_annual_mean"), F.count(n).alias("n_annual_obs")
-    )
+    return [F.avg(n).alias("raw_NDVI_annual_mean"), F.min(n).alias("raw_NDVI_annual_min"), F.max(n).alias("raw_NDVI_annual_max"), F.avg(b).alias("raw_visible_brightness_annual_mean"), F.count(n).alias("n_annual_obs")]
+
+
+def summer_summary(raw: DataFrame) -> DataFrame:
+    rows = _years(raw).where(F.month("date").isin(6, 7, 8))
+    return rows.groupBy("uniqueID", "year").agg(*_summer(lambda c: c), F.count("raw_NDVI").alias("n_summer_obs"))
+
+
+def annual_summary(raw: DataFrame) -> DataFrame:
+    return _years(raw).groupBy("uniqueID", "year").agg(*_annual())
 
 
 def tree_year_summary(obs: DataFrame) -> DataFrame:
-    """Annual summaries, and summer's where the year has one."""
-    raw = with_raw(obs)
-    return annual_summary(raw).join(summer_summary(raw), ["uniqueID", "year"], "left")
+    """Annual summaries, and summer's where the year has one (NULL elsewhere):
+    the left join of the two as one aggregation, so with one shuffle."""
+    summer = F.month("date").isin(6, 7, 8)
+    any_summer = F.when(F.count_if(summer) > 0, F.count(F.when(summer, F.col("raw_NDVI"))))
+    return _years(with_raw(obs)).groupBy("uniqueID", "year").agg(*_annual(), *_summer(lambda c: F.when(summer, c)), any_summer.alias("n_summer_obs"))
 
 
 def error_label(true: Column, pred: Column) -> Column:

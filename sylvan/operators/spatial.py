@@ -11,28 +11,30 @@ from .weather import feet
 RADIUS = feet(20)
 
 
-def radius_pairs(points: DataFrame, radius: float = RADIUS, key: str = "uniqueID", x: str = "X_COORD", y: str = "Y_COORD") -> DataFrame:
-    """Directed pairs (a, b) at most ``radius`` apart, a and b distinct rows.
+def radius_pairs(points: DataFrame, radius: float = RADIUS, key: str = "uniqueID", x: str = "X_COORD", y: str = "Y_COORD", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Directed pairs (a, b) at most ``radius`` apart, a and b distinct rows,
+    with columns to ``carry`` of both sides as a_ and b_.
 
     Cells are as wide as the radius, so partners lie in the 3 x 3 cells
     around a point: one side is repeated nine times and the join is by cell.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(radius))
-    p = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("cx"), cell(y).alias("cy"))
+    side = lambda s: [F.col(key).alias(s), F.col(x).alias(f"{s}x"), F.col(y).alias(f"{s}y"), *[F.col(c).alias(f"{s}_{c}") for c in carry]]
     off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    q = p.select(F.col("b").alias("a"), F.col("bx").alias("ax"), F.col("by").alias("ay"), "cx", "cy", F.explode(off).alias("o"))
-    q = q.select("a", "ax", "ay", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    p = points.select(*side("b"), cell(x).alias("cx"), cell(y).alias("cy"))
+    q = points.select(*side("a"), cell(x).alias("x0"), cell(y).alias("y0"), F.explode(off).alias("o"))
+    q = q.withColumn("cx", F.col("x0") + F.col("o.i")).withColumn("cy", F.col("y0") + F.col("o.j")).drop("x0", "y0", "o")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return q.join(p, ["cx", "cy"]).where((F.col("a") != F.col("b")) & (dx * dx + dy * dy <= F.lit(radius * radius))).select("a", "b", F.sqrt(dx * dx + dy * dy).alias("distance"))
+    met = q.join(p, ["cx", "cy"]).where((F.col("a") != F.col("b")) & (dx * dx + dy * dy <= F.lit(radius * radius)))
+    return met.select("a", "b", F.sqrt(dx * dx + dy * dy).alias("distance"), *[f"{s}_{c}" for c in carry for s in "ab"])
 
 
 def neighbour_counts(base: DataFrame, radius: float = RADIUS) -> DataFrame:
     """``base`` with its neighbours, those of the other true class, those of
     another predicted class, and the rates (NULL without neighbours)."""
-    own = base.select(F.col("uniqueID").alias("a"), F.col("true_label").alias("ta"), F.col("pred_label").alias("pa"))
-    other = base.select(F.col("uniqueID").alias("b"), F.col("true_label").alias("tb"), F.col("pred_label").alias("pb"))
-    edges = radius_pairs(base, radius).join(own, "a").join(other, "b")
-    n = edges.groupBy(F.col("a").alias("uniqueID")).agg(F.count("*").alias("n"), F.count_if(F.col("ta") != F.col("tb")).alias("o"), F.count_if(F.col("pa") != F.col("pb")).alias("d"))
+    edges = radius_pairs(base, radius, carry=("true_label", "pred_label"))
+    differ = lambda c: F.count_if(F.col(f"a_{c}") != F.col(f"b_{c}"))
+    n = edges.groupBy(F.col("a").alias("uniqueID")).agg(F.count("*").alias("n"), differ("true_label").alias("o"), differ("pred_label").alias("d"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return base.join(n, "uniqueID", "left").select(
         *base.columns, zero("n").alias("n_neighbors_within_radius"), zero("o").alias("n_true_opposite_neighbors_within_radius"), ratio("o", "n").alias("true_opposite_neighbor_rate"),
