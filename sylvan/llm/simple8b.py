@@ -14,7 +14,7 @@ gives them an atomic commit and a store that every executor can reach.
 
 from __future__ import annotations
 
-import sys
+import string
 import zlib
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import ready_python, stage
+from .shared import mix64, ready_python, stage
 
 BLOCK = 128
 #: Ids in a word, and bits of each, by selector.
@@ -32,8 +32,16 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
 _PAYLOAD = np.uint64((1 << 60) - 1)
 SECTION_IDS = 1 << 18
+GROUP_BYTES = 2 << 20
 SECTIONS = "part int, seq int, n_ids long, section binary"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 3_000_000
+LONGEST = 256
+_PUNCTUATION = string.punctuation.encode()
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+with np.errstate(over="ignore"):
+    _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ALNUM = frozenset((string.ascii_letters + string.digits).encode())
 
 
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -155,38 +163,170 @@ def read_section(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 class WordTokenizer:
     """Ids of texts by the tokenizers library, words encoded once.
 
-    White space always parts tokens of this vocabulary and is dropped, so
-    the ids of a text are those of its pieces between ASCII white space.
-    Pieces are kept in a dictionary bounded by CACHED_WORDS."""
+    White space always parts tokens of this vocabulary and is dropped, and
+    letters are lower-cased, so the ids of a text are those of its lower-case
+    pieces between ASCII white space; a run of punctuation after a letter or
+    digit is a token run of its own. Words of many texts are found, hashed
+    (64 bits, and the length) and looked up as arrays; new ones go to the
+    library some hundred at a time, parted by a character that is a token by
+    itself. Texts with "<|", which may hold special tokens, or with words of
+    over LONGEST bytes go to the library whole. At most CACHED_WORDS words
+    are kept, some 30 bytes each."""
+
+    PART = b"\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model = Tokenizer.from_file(path)
+        self.part = self._ids(self.PART)[-1:]
+        if self._ids(b"a \x01 \x01 b")[1:3] != self.part * 2:
+            raise ValueError("this vocabulary doesn't part words at white space")
+        self._forget()
+        self._powers(1 << 16)
+
+    def _forget(self) -> None:
+        #: Ascending hashes of known words; where their ids begin, how many; all ids.
+        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _powers(self, n: int) -> None:
+        with np.errstate(over="ignore"):
+            base = 0x9E3779B97F4A7C15
+            up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
 
     @classmethod
     def of_worker(cls, path: str) -> WordTokenizer:
         """One for each Python worker process, whatever tasks it runs."""
-        kept = sys.modules["tokenizers"].__dict__.setdefault("_sylvan_words", {}) if "tokenizers" in sys.modules else {}
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_sylvan_words", {})
         if path not in kept:
             kept[path] = cls(path)
-            sys.modules["tokenizers"].__dict__.setdefault("_sylvan_words", {})[path] = kept[path]
         return kept[path]
 
+    def _ids(self, text: bytes) -> list[int]:
+        return self.model.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
+
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words, known = text.split(), self.known
-        missing = list({w for w in words if w not in known})
-        if missing:
-            if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
-                missing = list(set(words))
-            batch = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                for w, e in zip(part, batch([w.decode() for w in part], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, np.uint32).tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return self.encode_all([text])[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of each."""
+        raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        start, stop, low = _words(raw)
+        whole = np.array([b"<|" in t for t in texts], bool)
+        text = np.searchsorted(ends, start, side="right")
+        whole[text[stop - start > LONGEST]] = True
+        if whole.any():
+            use = ~whole[text]
+            start, stop, text = start[use], stop[use], text[use]
+        where = self._find(low, start, stop)
+        n = self.count[where]
+        done = np.cumsum(n)
+        total = int(done[-1]) if len(done) else 0
+        ids = self.flat[np.repeat(self.begin[where] - (done - n), n) + np.arange(total)]
+        lengths = np.bincount(text, n, len(texts)).astype(np.int64)
+        if whole.any():
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for i in np.flatnonzero(whole).tolist():
+                parts[i] = np.array(self._ids(texts[i]), np.uint32)
+                lengths[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, lengths
+
+    def _hash(self, low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            if len(low) >= len(self.up):
+                self._powers(2 * len(low))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[low] * self.up[: len(low)], dtype=np.uint64)])
+            return mix64(((total[stop] - total[start]) * self.down[start]) ^ (stop - start).astype(np.uint64))
+
+    def _find(self, low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Places of the words among the known, new ones learnt first."""
+        h = self._hash(low, start, stop)
+        uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        at, ok = self._seek(uniq)
+        if not ok.all():
+            data = low.tobytes()
+            fresh = first[~ok]
+            self._learn([data[a:b] for a, b in zip(start[fresh].tolist(), stop[fresh].tolist())], uniq[~ok])
+            at, ok = self._seek(uniq)
+            if not ok.all():  # the store was full and began anew
+                return self._find(low, start, stop)
+        return at[inv]
+
+    def _seek(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        ok = at < len(self.keys)
+        ok[ok] = self.keys[at[ok]] == keys[ok]
+        return at, ok
+
+    def _keep(self, keys: np.ndarray, found: list[bytes]) -> None:
+        """Add words by their hashes, with their ids as bytes."""
+        n = np.array([len(x) // 4 for x in found], np.int64)
+        begin = np.cumsum(n) - n + len(self.flat)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
+        keys, begin, n = np.concatenate([self.keys, keys]), np.concatenate([self.begin, begin]), np.concatenate([self.count, n])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin, self.count = keys[order], begin[order], n[order]
+
+    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
+        """Words that end in punctuation are put together from two pieces."""
+        if len(self.keys) + 2 * len(words) > CACHED_WORDS and len(self.keys):
+            self._forget()
+            return
+        ends, pieces = [], set()
+        for w in words:
+            core = w.rstrip(_PUNCTUATION)
+            if len(core) < len(w) and core and (core[-1] in _ALNUM or (core[-2:-1] == b"\xc3" and core[-1] not in (0x97, 0xB7))):
+                tail = w[len(core) :]
+                ends.append((core, tail))
+                pieces.add(core)
+                pieces.add(tail)
+            else:
+                ends.append(None)
+                pieces.add(w)
+        todo = list(pieces)
+        raw = np.frombuffer(b" ".join([*todo, b""]), np.uint8)
+        stop = np.cumsum([len(w) + 1 for w in todo]) - 1
+        h = self._hash(raw, stop - np.array([len(w) for w in todo]), stop)
+        at, ok = self._seek(h)
+        got: dict[bytes, bytes] = {}
+        for w, i in zip([w for w, o in zip(todo, ok.tolist()) if o], at[ok].tolist()):
+            got[w] = self.flat[self.begin[i] : self.begin[i] + self.count[i]].tobytes()
+        new = [w for w, o in zip(todo, ok.tolist()) if not o]
+        plain = [w for w in new if self.PART not in w]
+        for i in range(0, len(plain), 512):
+            self._batch(plain[i : i + 512], got)
+        for w in new:
+            if w not in got:
+                got[w] = np.array(self._ids(w), np.uint32).tobytes()
+        own = [got[w] if e is None else got[e[0]] + got[e[1]] for w, e in zip(words, ends)]
+        extra = {int(k): got[w] for w, k, o in zip(todo, h.tolist(), ok.tolist()) if not o}
+        for k in keys.tolist():
+            extra.pop(int(k), None)
+        self._keep(np.concatenate([keys, np.array(list(extra), np.uint64)]), [*own, *extra.values()])
+
+    def _batch(self, words: list[bytes], got: dict[bytes, bytes]) -> None:
+        ids = np.array(self._ids((b" " + self.PART + b" ").join(words)), np.uint32)
+        cut = np.flatnonzero(ids == self.part[0])
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(words, [*(4 * cut).tolist(), len(raw)]):
+            got[w] = raw[at:end]
+            at = end + 4
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and stop (the last byte is a space), and the bytes
+    with A-Z lower-cased."""
+    inside = np.concatenate([[False], ~_IS_SPACE[raw]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2], _LOWER[raw]
 
 
 def write_tokens(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,17 +339,33 @@ def write_tokens(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int
     def run(batches):
         words = WordTokenizer.of_worker(tokenizer)
         part, seq = TaskContext.get().partitionId(), 0
-        ids, lengths, parts, n, end = [], [], [], 0, np.array([end_id], np.uint32).tobytes()
+        ids, lengths, parts, n = [], [], [], 0
 
         def flush():
-            section = pack_section(ids, lengths, np.frombuffer(b"".join(parts), np.uint32))
+            section = pack_section(ids, lengths, np.concatenate(parts))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([section], pa.binary())], ["part", "seq", "n_ids", "section"])
 
-        for batch in batches:
-            for i, t in zip(batch["id"].to_pylist(), batch["text"].cast(pa.binary())):
-                x = words.encode(t.as_py() or b"") + end
-                ids.append(i), lengths.append(len(x) // 4), parts.append(x)
-                n += len(x) // 4
+        def groups():
+            """Some documents at a time, about 2 MB."""
+            at, texts, size = [], [], 0
+            for batch in batches:
+                for i, t in zip(batch["id"].to_pylist(), batch["text"].cast(pa.binary())):
+                    t = t.as_py() or b""
+                    at.append(i), texts.append(t)
+                    size += len(t)
+                    if size >= GROUP_BYTES:
+                        yield at, texts
+                        at, texts, size = [], [], 0
+            if at:
+                yield at, texts
+
+        for at, texts in groups():
+            found, sizes = words.encode_all(texts)
+            found, sizes = np.insert(found, np.cumsum(sizes), end_id), sizes + 1
+            a = 0
+            for i, m in zip(at, sizes.tolist()):
+                ids.append(i), lengths.append(m), parts.append(found[a : a + m])
+                a, n = a + m, n + m
                 if n >= SECTION_IDS:
                     yield flush()
                     seq, ids, lengths, parts, n = seq + 1, [], [], [], 0
