@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import BLOB_SCHEMA, NULL_ID, Block, answer, ask, blobs, resume, shard_edges
+from .blocks import BLOB_SCHEMA, NULL_ID, Block, answer, ask, blobs, from_planes, planes, resume, shard_edges
 from .shared import mix64, pack, unpack
 
 _CHUNK = 1 << 19
@@ -86,6 +86,22 @@ def anchors(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, W: int, k: in
     return np.concatenate(found).astype(np.int64), np.concatenate(keys)
 
 
+def context_hashes(sym: np.ndarray, pos: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """A hash of the symbols from l before each position to r after it, from
+    prefix sums of a polynomial; never 0."""
+    with np.errstate(over="ignore"):
+        n = len(sym)
+        up = np.full(n + 1, _P, np.uint64)
+        down = np.full(n + 1, np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sym) * up[:n], dtype=np.uint64)])
+        h = (total[pos + r] - total[pos - l]) * down[pos - l]
+        h = mix64(h ^ mix64(l.astype(np.uint64) * np.uint64(64) + r.astype(np.uint64)))
+    h[h == 0] = 1
+    return h
+
+
 def multikey_classes(cols: list[np.ndarray], n: int) -> np.ndarray:
     """An order of n rows by their columns: sort by one, then only the rows
     that still tie by the next, as multikey quicksort does."""
@@ -140,6 +156,8 @@ def repeated(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarray, gro
     another document ("other") or anywhere ("any")."""
     n, far = len(ctx), W - k
     mask = np.zeros(n, np.uint64)
+    if not n:
+        return mask
     order_r, lcp_r = sorted_lcp(ctx[:, far:])
     order_l, lcp_l = sorted_lcp(ctx[:, far - 1 :: -1] if far else np.zeros((n, 1), ctx.dtype))
     _, gid = np.unique(groups, return_inverse=True)
@@ -211,7 +229,9 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
     ``finish(block, symbols, starts, ends, dup)`` its result table, where dup
     marks the positions at which a repeated window starts. With
     ``splitters`` anchors are dealt by ranges of their leading eight bytes,
-    else by ranges of their hash. ``judge`` compares the windows of a shard."""
+    else by ranges of their hash. For "any", the first round also asks which
+    whole contexts occur again: all their windows do, and one of them only
+    goes on, as a partner for others. ``judge`` compares the windows of a shard."""
     far = W - k
 
     def doc_of(pos, ends):
@@ -225,70 +245,91 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
             key = mix64(key ^ mix64(block.groups[doc]))
         return sym, starts, ends, pos, key, doc
 
+    whole_contexts = rule == "any"
+
+    def extents(pos, doc, starts, ends):
+        return np.minimum(pos - starts[doc], far), np.minimum(ends[doc] - pos, W)
+
     def first(b, block):
-        *_, key, doc = anchored(block)
+        sym, starts, ends, pos, key, doc = anchored(block)
+        if not len(key):
+            return []
         order = np.argsort(key, kind="stable")
         x, d = key[order], block.ids[doc][order]
-        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-        if not len(at):
-            return []
+        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         many = np.diff(np.append(at, len(x))) > 1 if rule == "any" else np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
         keys = x[at]
         cut = shard_edges(keys, shards)
-        return [(s, b, pack(key=keys[i:j], many=np.packbits(many[i:j]))) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
-
-    def shared_keys(ids, got):
-        parts = [unpack(x) for x in got]
-        sizes = [len(p["key"]) for p in parts]
-        keys = np.concatenate([p["key"] for p in parts])
-        many = np.concatenate([np.unpackbits(p["many"], count=n) for p, n in zip(parts, sizes)]).astype(bool)
-        del parts
-        order = np.argsort(keys, kind="stable")
+        out = [{"key": planes(keys[i:j]), "many": np.packbits(many[i:j])} for i, j in zip(cut[:-1], cut[1:])]
+        if whole_contexts:
+            ctx, n = np.unique(context_hashes(sym, pos, *extents(pos, doc, starts, ends)), return_counts=True)
+            cut = shard_edges(ctx, shards)
+            for x, i, j in zip(out, cut[:-1], cut[1:]):
+                x |= {"ckey": planes(ctx[i:j]), "cmany": np.packbits(n[i:j] > 1)}
+        return [(s, b, pack(**x)) for s, x in enumerate(out) if x["key"].size or x.get("ckey", x["key"]).size]
+
+    def again(ids, parts, name, marks):
+        """Which keys of each block are marked or come from more blocks; and
+        which of a key's blocks is its first."""
+        keys = [from_planes(p[name]) for p in parts]
+        sizes = [len(k) for k in keys]
+        many = np.concatenate([np.unpackbits(p[marks], count=n) for p, n in zip(parts, sizes)]).astype(bool)
+        owner = np.repeat(np.array(ids, np.int64), sizes)
+        keys = np.concatenate(keys)
+        order = np.lexsort((owner, keys))
         x = keys[order]
         same = x[1:] == x[:-1]
         hit = many[order]
         hit[1:] |= same
         hit[:-1] |= same
-        # a key that is marked in one block only counts for that block alone, which holds both places
-        back = np.empty(len(keys), bool)
-        back[order] = hit
-        return [(i, pack(bits=np.packbits(p))) for i, p in zip(ids, np.split(back, np.cumsum(sizes)[:-1]))]
+        lead = np.concatenate([np.ones(min(1, len(x)), bool), ~same])
+        back, front = np.empty(len(x), bool), np.empty(len(x), bool)
+        back[order], front[order] = hit, lead
+        cut = np.cumsum(sizes)[:-1]
+        return np.split(back, cut), np.split(front, cut)
+
+    def shared_keys(ids, got):
+        parts = [unpack(x) for x in got]
+        hit, _ = again(ids, parts, "key", "many")
+        out = [{"bits": np.packbits(x)} for x in hit]
+        if whole_contexts:
+            for o, x, y in zip(out, *again(ids, parts, "ckey", "cmany")):
+                o |= {"chit": np.packbits(x), "cfirst": np.packbits(y)}
+        return [(i, pack(**o)) for i, o in zip(ids, out)]
+
+    def spread(uniq, got, name):
+        """The answers' bits, in the order of the keys that were asked for."""
+        out, cut = np.zeros(len(uniq), bool), shard_edges(uniq, shards)
+        for s, blob in got.items():
+            i, j = cut[s], cut[s + 1]
+            out[i:j] = np.unpackbits(blob[name], count=j - i)
+        return out
 
     def second(b, block, got):
         sym, starts, ends, pos, key, doc = anchored(block)
+        got = {s: unpack(x) for s, x in got.items()}
         uniq, inv = np.unique(key, return_inverse=True)
-        keep = np.zeros(len(uniq), bool)
-        cut = shard_edges(uniq, shards)
-        for s, blob in got.items():
-            i, j = cut[s], cut[s + 1]
-            keep[i:j] = np.unpackbits(unpack(blob)["bits"], count=j - i).astype(bool)
-        sel = np.flatnonzero(keep[inv]) if len(uniq) else np.zeros(0, np.int64)
+        sel = np.flatnonzero(spread(uniq, got, "bits")[inv]) if len(uniq) else np.zeros(0, np.int64)
         if not len(sel):
             return pa.Table.from_batches([blobs([])])
-        pos, key, doc = pos[sel], key[sel], doc[sel]
-        l = np.minimum(pos - starts[doc], far)
-        r = np.minimum(ends[doc] - pos, W)
-        padded = np.concatenate([np.zeros(far, sym.dtype), sym, np.zeros(W, sym.dtype)])
-        # equal contexts of the block meet by a hash and are told apart by their symbols
-        ctx = np.lib.stride_tricks.sliding_window_view(padded, far + W)[pos]
-        beyond = np.arange(far + W)
-        ctx = np.where((beyond >= far - l[:, None]) & (beyond < far + r[:, None]), ctx, 0).astype(sym.dtype)
-        tag = np.ascontiguousarray(np.column_stack([ctx.view(np.uint8).reshape(len(ctx), -1), np.stack([l, r], 1).astype(np.int64).view(np.uint8), (block.groups[doc].view(np.uint8).reshape(-1, 8))]))
-        flat = tag.view(np.dtype((np.void, tag.shape[1]))).ravel()
-        _, inv = np.unique(flat, return_inverse=True)
-        ids = block.ids[doc]
-        order = np.lexsort((ids, inv))
-        c = inv[order]
-        at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        size = np.diff(np.append(at, len(c)))
-        rep = order[at]
-        low = np.repeat(ids[rep], size)
-        if rule == "smaller":
-            sure = ids[order] > low
-        elif rule == "any":
-            sure = np.repeat(size > 1, size)
+        l, r = extents(pos, doc, starts, ends)
+        sure_at = np.zeros(0, np.int64)
+        if whole_contexts:
+            ctxs, cinv = np.unique(context_hashes(sym, pos, l, r), return_inverse=True)
+            hit, lead = spread(ctxs, got, "chit"), spread(ctxs, got, "cfirst")
+            sure_at = sel[hit[cinv[sel]]]
+            _, once = np.unique(cinv[sel], return_index=True)  # one place of each context
+            once = sel[once]
+            c = cinv[once]
+            once = once[~hit[c] | lead[c]]
+            rep, alone = once, ~hit[cinv[once]]
+            at, size = np.cumsum(alone) - alone, alone.astype(np.int64)
+            order, sure = once[alone], np.zeros(int(alone.sum()), bool)
         else:
-            sure = np.repeat(ids[order][at + size - 1] > ids[rep], size)
+            rep, order, at, size, sure = _local_classes(sym, block, pos[sel], doc[sel], l[sel], r[sel])
+            rep, order = sel[rep], sel[order]
+        padded = np.concatenate([np.zeros(far, sym.dtype), sym, np.zeros(W, sym.dtype)])
+        view = np.lib.stride_tricks.sliding_window_view(padded, far + W)
         lead = key
         if splitters is not None:
             eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[pos + far]
@@ -298,16 +339,42 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
             shard = (((lead[rep] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
         out, by = [], np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[by], np.arange(shards + 1))
+        spare = b % shards if len(sure_at) else -1  # the shard that passes on what is sure
+        beyond = np.arange(far + W)
         for s in range(shards):
             mine = by[edges[s] : edges[s + 1]]
-            if not len(mine):
+            if not len(mine) and s != spare:
                 continue
             mine = mine[np.argsort(lead[rep[mine]], kind="stable")]
-            members = np.concatenate([np.arange(at[m], at[m] + size[m]) for m in mine.tolist()])
+            members = np.concatenate([np.zeros(0, np.int64), *(np.arange(at[m], at[m] + size[m]) for m in mine.tolist())])
             q = rep[mine]
-            out.append((s, b, pack(**_coded(ctx[q]), l=l[q].astype(np.uint8), r=r[q].astype(np.uint8), ids=ids[q], groups=block.groups[doc[q]], size=size[mine].astype(np.uint32), pos=pos[order[members]].astype(np.uint32), sure=np.packbits(sure[members]))))
+            ctx = view[pos[q]]
+            ctx = np.where((beyond >= far - l[q, None]) & (beyond < far + r[q, None]), ctx, sym.dtype.type(0))
+            more = {"sp": pos[sure_at].astype(np.uint32), "sl": l[sure_at].astype(np.uint8), "sr": r[sure_at].astype(np.uint8)} if s == spare else {}
+            out.append((s, b, pack(**_coded(ctx), l=l[q].astype(np.uint8), r=r[q].astype(np.uint8), ids=block.ids[doc[q]], groups=block.groups[doc[q]], size=size[mine].astype(np.uint32), pos=pos[order[members]].astype(np.uint32), sure=np.packbits(sure[members]), **more)))
         return pa.Table.from_batches([blobs(out)])
 
+    def _local_classes(sym, block, pos, doc, l, r):
+        """Equal contexts of a block: (one of each, all in order, where each
+        class begins, sizes, whether a member's windows surely repeat)."""
+        padded = np.concatenate([np.zeros(far, sym.dtype), sym, np.zeros(W, sym.dtype)])
+        ctx = np.lib.stride_tricks.sliding_window_view(padded, far + W)[pos]
+        beyond = np.arange(far + W)
+        ctx = np.where((beyond >= far - l[:, None]) & (beyond < far + r[:, None]), ctx, sym.dtype.type(0))
+        tag = np.ascontiguousarray(np.column_stack([ctx.view(np.uint8).reshape(len(ctx), -1), np.stack([l, r], 1).astype(np.int64).view(np.uint8), block.groups[doc].view(np.uint8).reshape(-1, 8)]))
+        _, inv = np.unique(tag.view(np.dtype((np.void, tag.shape[1]))).ravel(), return_inverse=True)
+        ids = block.ids[doc]
+        order = np.lexsort((ids, inv))
+        c = inv[order]
+        at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        size = np.diff(np.append(at, len(c)))
+        rep = order[at]
+        if rule == "smaller":
+            sure = ids[order] > np.repeat(ids[rep], size)
+        else:
+            sure = np.repeat(ids[order][at + size - 1] > ids[rep], size)
+        return rep, order, at, size, sure
+
     def compare(ids, got):
         parts = [_own(unpack(x)) for x in got]
         ctx = _decoded(parts)
@@ -321,8 +388,12 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
             sure = np.unpackbits(p["sure"], count=len(p["pos"])).astype(bool)
             own = np.where(sure, np.repeat(full[at : at + n], p["size"]), np.repeat(mask[at : at + n], p["size"]))
             hit = np.flatnonzero(own)
-            if len(hit):
-                out.append((b, pack(pos=p["pos"][hit], mask=own[hit])))
+            where, own = p["pos"][hit], own[hit]
+            if "sp" in p:
+                where = np.concatenate([where, p["sp"]])
+                own = np.concatenate([own, _full_mask(p["sl"].astype(np.int64), p["sr"].astype(np.int64), W, far)])
+            if len(where):
+                out.append((b, pack(pos=where, mask=own)))
             at += n
         return out
 

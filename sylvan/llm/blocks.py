@@ -107,6 +107,16 @@ def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(owner, np.arange(shards + 1, dtype=np.uint64))
 
 
+def planes(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences, byte by byte, so that zero bytes pack."""
+    d = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T)
+
+
+def from_planes(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     shard, block, blob = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(block, pa.int64()), pa.array(blob, pa.binary())], ["shard", "block", "blob"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Block, answer, ask, make_blocks, resume, shard_count, shard_edges
+from .blocks import Block, answer, ask, from_planes, make_blocks, planes, resume, shard_count, shard_edges
 from .shared import mix64, pack, stage, unpack
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -184,16 +184,6 @@ class Grams:
             self.shorter.append(shorter)
 
 
-def _planes(keys: np.ndarray) -> np.ndarray:
-    """Ascending keys as differences, byte by byte, so that zero bytes pack."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T)
-
-
-def _keys(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mu: float = 50.0, block_bytes: int = 8 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
     """One row per document (``SCHEMA``). Documents whose crc32(id as text)
     mod 7 is 2 are held out; the model learns from all others.
@@ -213,7 +203,7 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
         for s in range(shards):
             x = {}
             for n, (keys, counts, cut) in enumerate(zip(g.keys, g.counts, cuts)):
-                x[f"k{n}"], x[f"c{n}"] = _planes(keys[cut[s] : cut[s + 1]]), counts[cut[s] : cut[s + 1]].astype(np.uint32)
+                x[f"k{n}"], x[f"c{n}"] = planes(keys[cut[s] : cut[s + 1]]), counts[cut[s] : cut[s + 1]].astype(np.uint32)
             out.append((s, b, pack(**x)))
         return out
 
@@ -223,7 +213,7 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
         known = tokens = 0
         for n in range(order):
             sizes = [p[f"c{n}"].shape[0] for p in parts]
-            keys = np.concatenate([_keys(p[f"k{n}"]) for p in parts])
+            keys = np.concatenate([from_planes(p[f"k{n}"]) for p in parts])
             counts = np.concatenate([p.pop(f"c{n}") for p in parts]).astype(np.int64)
             by = np.argsort(keys, kind="stable")
             x = keys[by]

@@ -43,6 +43,8 @@ def word_symbols(block: Block):
 def greedy_factors(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarray, groups: np.ndarray, W: int, k: int, rule: str) -> np.ndarray:
     """Masks of repeated windows, as ``anchors.repeated`` gives them for "any"."""
     n, far = len(ctx), W - k
+    if not n:
+        return np.zeros(0, np.uint64)
     order, lcp = sorted_lcp(ctx[:, far:])
     after = np.append(lcp[1:], 0)
     back = lcp >= after  # the better of the two neighbours in suffix order
