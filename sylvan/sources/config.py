@@ -18,7 +18,11 @@ def setting(spark: SparkSession, name: str, default: str | None = None) -> str |
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the session shares with executors, or,
-    where it names none, in a temporary folder of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or setting(spark, "scratch") or "file://" + tempfile.gettempdir()
+    """A fresh path in the folder that the session shares with executors.
+    Where it names none, a local session uses a temporary folder and a
+    cluster the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or setting(spark, "scratch")
+    if not shared:
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        shared = "file://" + tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{shared}/sylvan-{name}-{uuid.uuid4().hex}"
