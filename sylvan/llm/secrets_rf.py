@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import Shared, ready_python, stage
 
 SHORTEST = 16
-DICTIONARY = 4096  # most frequent words kept; counts cover all documents
+SHARE = 100_000  # a dictionary word is at least one in so many counted words, so there are no more than these
 LABELLED = 20_000  # documents, at most about, that give labelled findings
 
 _RUN = re.compile(rb"[A-Za-z0-9+/_=.~-]{%d,}" % SHORTEST)
@@ -187,7 +187,9 @@ def find_secrets(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
     empty table gives no rows. Only the three named columns are read.
     """
     rows = scan(spark, df, id_col, text_col, path_col)
-    counted = rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
+    words = rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = words.where(F.col("n") * SHARE >= F.lit(total)).orderBy("word").collect()
     language = Shared(spark, Language([(r.word, r.n) for r in counted]))
     found = rows.where("value IS NOT NULL")
 
