@@ -19,10 +19,9 @@ documents share costs one record per block.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import BLOB_SCHEMA, NULL_ID, Block, answer, ask, blobs, from_planes, planes, resume, shard_edges
+from .blocks import NULL_ID, Block, Exchange, from_planes, planes, shard_edges
 from .shared import mix64, pack, unpack
 
 _CHUNK = 1 << 19
@@ -60,7 +59,7 @@ def _slide(a: np.ndarray, w: int, op) -> np.ndarray:
 
 def anchors(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, W: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions of the anchors of all windows that lie in one
-    document, and the hashes of their k-grams (never 0)."""
+    document, and hashes of their k-grams."""
     n, w = len(sym), W - k + 1
     found, keys = [], []
     if n < W:
@@ -83,7 +82,8 @@ def anchors(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, W: int, k: in
         hit = np.flatnonzero(h[at - lo : to - lo] == most[at - lo : to - lo])
         found.append(hit + at)
         keys.append(h[at - lo : to - lo][hit])
-    return np.concatenate(found).astype(np.int64), np.concatenate(keys)
+    # anchors have small hashes; hashed again they spread evenly over the shards
+    return np.concatenate(found).astype(np.int64), mix64(np.concatenate(keys) ^ _P)
 
 
 def context_hashes(sym: np.ndarray, pos: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -224,7 +224,7 @@ def _decoded(parts: list[dict[str, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards: int, finish, schema: str, splitters: np.ndarray | None = None, judge=repeated) -> DataFrame:
+def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish, schema: str, splitters: np.ndarray | None = None, judge=repeated) -> DataFrame:
     """``symbols(block)`` gives (symbols, starts, ends) of a block;
     ``finish(block, symbols, starts, ends, dup)`` its result table, where dup
     marks the positions at which a repeated window starts. With
@@ -232,7 +232,7 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
     else by ranges of their hash. For "any", the first round also asks which
     whole contexts occur again: all their windows do, and one of them only
     goes on, as a partner for others. ``judge`` compares the windows of a shard."""
-    far = W - k
+    far, shards = W - k, exchange.shards
 
     def doc_of(pos, ends):
         return np.searchsorted(ends, pos, side="right")
@@ -266,7 +266,7 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
             cut = shard_edges(ctx, shards)
             for x, i, j in zip(out, cut[:-1], cut[1:]):
                 x |= {"ckey": planes(ctx[i:j]), "cmany": np.packbits(n[i:j] > 1)}
-        return [(s, b, pack(**x)) for s, x in enumerate(out) if x["key"].size or x.get("ckey", x["key"]).size]
+        return [(s, pack(**x)) for s, x in enumerate(out) if x["key"].size or x.get("ckey", x["key"]).size]
 
     def again(ids, parts, name, marks):
         """Which keys of each block are marked or come from more blocks; and
@@ -311,7 +311,7 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
         uniq, inv = np.unique(key, return_inverse=True)
         sel = np.flatnonzero(spread(uniq, got, "bits")[inv]) if len(uniq) else np.zeros(0, np.int64)
         if not len(sel):
-            return pa.Table.from_batches([blobs([])])
+            return []
         l, r = extents(pos, doc, starts, ends)
         sure_at = np.zeros(0, np.int64)
         if whole_contexts:
@@ -351,8 +351,8 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
             ctx = view[pos[q]]
             ctx = np.where((beyond >= far - l[q, None]) & (beyond < far + r[q, None]), ctx, sym.dtype.type(0))
             more = {"sp": pos[sure_at].astype(np.uint32), "sl": l[sure_at].astype(np.uint8), "sr": r[sure_at].astype(np.uint8)} if s == spare else {}
-            out.append((s, b, pack(**_coded(ctx), l=l[q].astype(np.uint8), r=r[q].astype(np.uint8), ids=block.ids[doc[q]], groups=block.groups[doc[q]], size=size[mine].astype(np.uint32), pos=pos[order[members]].astype(np.uint32), sure=np.packbits(sure[members]), **more)))
-        return pa.Table.from_batches([blobs(out)])
+            out.append((s, pack(**_coded(ctx), l=l[q].astype(np.uint8), r=r[q].astype(np.uint8), ids=block.ids[doc[q]], groups=block.groups[doc[q]], size=size[mine].astype(np.uint32), pos=pos[order[members]].astype(np.uint32), sure=np.packbits(sure[members]), **more)))
+        return out
 
     def _local_classes(sym, block, pos, doc, l, r):
         """Equal contexts of a block: (one of each, all in order, where each
@@ -407,9 +407,9 @@ def find_repeats(blocks: DataFrame, symbols, W: int, k: int, rule: str, shards:
                 dup[pos[(mask >> np.uint64(o)) & np.uint64(1) > 0] - o] = True
         return finish(block, sym, starts, ends, dup[: len(sym)])
 
-    known = answer(ask(blocks, first), shared_keys)
-    contexts = resume(blocks, known, second, BLOB_SCHEMA)
-    return resume(blocks, answer(contexts, compare), last, schema)
+    known = exchange.answer(exchange.ask(first), shared_keys)
+    contexts = exchange.ask_again(known, second)
+    return exchange.resume(exchange.answer(contexts, compare), last, schema)
 
 
 def covered(dup: np.ndarray, W: int) -> np.ndarray:

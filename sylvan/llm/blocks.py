@@ -10,6 +10,7 @@ it occurs, and no group of rows is ever gathered per key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from .shared import ready_python, stage
 
 NULL_ID = np.iinfo(np.int64).max
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, payload binary"
-BLOB_SCHEMA = "shard int, block long, blob binary"
+BLOB_SCHEMA = "shard int, block long, blob binary"  # block: of the bundle
+LEAST_BLOB = 2048  # bytes of text for each byte of the product of a bundle and a shard
 
 
 class Block:
@@ -96,11 +98,6 @@ def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
     return stage(spark, source.mapInArrow(rows, BLOCK_SCHEMA), "blocks")
 
 
-def shard_count(blocks: DataFrame, bytes_per_shard: int) -> int:
-    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    return max(8, -(-total // bytes_per_shard))
-
-
 def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
     """Bounds in sorted unsigned ``keys`` of the ``shards`` equal key ranges."""
     owner = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -122,35 +119,112 @@ def blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(block, pa.int64()), pa.array(blob, pa.binary())], ["shard", "block", "blob"])
 
 
-def ask(blocks: DataFrame, fn: Callable[[int, Block], list[tuple[int, int, bytes]]]) -> DataFrame:
-    """``fn(block id, block)`` gives (shard, block id, blob) questions."""
+def bundle_size(total: int, block_bytes: int) -> int:
+    """Blocks whose blobs travel together. Blocks times shards grows with the
+    square of the input, so both sides of the exchange grow with its root:
+    1 up to some TB, some hundred at 100 TB."""
+    return max(1, math.isqrt(total * LEAST_BLOB) // block_bytes)
 
-    def run(batches):
-        for batch in batches:
-            for b, payload in zip(batch["block"].to_pylist(), batch["payload"]):
-                yield blobs(fn(b, Block(payload.as_py())))
 
-    return blocks.select("block", "payload").mapInArrow(run, BLOB_SCHEMA)
+def bundle_of(block: int, size: int) -> int:
+    """Blocks of a partition, some in a row; negative ids stand alone."""
+    return block if block < 0 else (block >> 32 << 32) | ((block & 0xFFFFFFFF) // size)
+
+
+def _frame(parts: list[tuple[int, bytes]]) -> bytes:
+    head = np.array([[b, len(x)] for b, x in parts], np.int64)
+    return len(parts).to_bytes(4, "little") + head.tobytes() + b"".join(x for _, x in parts)
+
+
+def unframe(raw: bytes) -> list[tuple[int, bytes]]:
+    n = int.from_bytes(raw[:4], "little")
+    out, at = [], 4 + 16 * n
+    for b, size in np.frombuffer(raw, np.int64, 2 * n, 4).reshape(n, 2).tolist():
+        out.append((b, raw[at : at + size]))
+        at += size
+    return out
+
+
+def _framed(rows: dict[tuple[int, int], list[tuple[int, bytes]]]) -> pa.RecordBatch:
+    return blobs([(shard, bundle, _frame(parts)) for (shard, bundle), parts in rows.items()])
+
+
+class Exchange:
+    """Questions of blocks, answers of shards, and blocks that go on with them."""
+
+    def __init__(self, blocks: DataFrame, block_bytes: int, shard_bytes: int):
+        total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        self.blocks, self.bundle = blocks.select("block", "payload"), bundle_size(total, block_bytes)
+        self.shards = max(8, -(-total // max(shard_bytes, math.isqrt(total * LEAST_BLOB))))
+
+    def ask(self, fn: Callable[[int, Block], list[tuple[int, bytes]]]) -> DataFrame:
+        """``fn(block id, block)`` gives (shard, blob) questions."""
+        size = self.bundle
+
+        def run(batches):
+            rows, now = {}, None
+            for batch in batches:
+                for b, payload in zip(batch["block"].to_pylist(), batch["payload"]):
+                    own = bundle_of(b, size)
+                    if rows and own != now:
+                        yield _framed(rows)
+                        rows = {}
+                    now = own
+                    for shard, blob in fn(b, Block(payload.as_py())):
+                        rows.setdefault((shard, own), []).append((b, blob))
+            if rows:
+                yield _framed(rows)
+
+        return self.blocks.mapInArrow(run, BLOB_SCHEMA)
+
+    def answer(self, questions: DataFrame, fn: Callable[[list[int], list[bytes]], list[tuple[int, bytes]]]) -> DataFrame:
+        """``fn(block ids, blobs)`` of a shard gives (block id, blob) answers."""
+        size = self.bundle
+
+        def run(table: pa.Table) -> pa.Table:
+            asked = [x for raw in table["blob"].to_pylist() for x in unframe(raw)]
+            shard, rows = table["shard"][0].as_py(), {}
+            for b, blob in fn([b for b, _ in asked], [x for _, x in asked]):
+                rows.setdefault((shard, bundle_of(b, size)), []).append((b, blob))
+            return pa.Table.from_batches([_framed(rows)])
+
+        return questions.groupBy("shard").applyInArrow(run, BLOB_SCHEMA)
 
+    def _meet(self, answers: DataFrame, run, schema: str) -> DataFrame:
+        n = self.bundle
+        bundle = F.expr(f"(block DIV 4294967296) * 4294967296 + (block % 4294967296) DIV {n}")
+        left = self.blocks.select(bundle.alias("bundle"), "block", "payload")
+        right = answers.select(F.col("block").alias("bundle"), "shard", "blob")
+        # answers exist only for blocks, so a left side is always there
+        return left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(run, schema)
 
-def answer(questions: DataFrame, fn: Callable[[list[int], list[bytes]], list[tuple[int, bytes]]]) -> DataFrame:
-    """``fn(block ids, blobs)`` of a shard gives (block id, blob) answers."""
+    def resume(self, answers: DataFrame, fn: Callable[[int, Block, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
+        """Each block meets its answers by shard: ``fn(block id, block, answers)``
+        gives rows of ``schema``."""
 
-    def run(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        out = fn(table["block"].to_pylist(), table["blob"].to_pylist())
-        return pa.Table.from_batches([blobs([(shard, b, x) for b, x in out])])
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            got = _by_block(right)
+            return pa.concat_tables([fn(b, Block(p.as_py()), got.get(b, {})) for b, p in zip(left["block"].to_pylist(), left["payload"])])
 
-    return questions.groupBy("shard").applyInArrow(run, BLOB_SCHEMA)
+        return self._meet(answers, run, schema)
 
+    def ask_again(self, answers: DataFrame, fn: Callable[[int, Block, dict[int, bytes]], list[tuple[int, bytes]]]) -> DataFrame:
+        """Further questions of blocks that have met their answers."""
+        size = self.bundle
 
-def resume(blocks: DataFrame, answers: DataFrame, fn: Callable[[int, Block, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """Each block meets its answers by shard: ``fn(block id, block, answers)``."""
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            got, rows = _by_block(right), {}
+            for b, p in zip(left["block"].to_pylist(), left["payload"]):
+                for shard, blob in fn(b, Block(p.as_py()), got.get(b, {})):
+                    rows.setdefault((shard, bundle_of(b, size)), []).append((b, blob))
+            return pa.Table.from_batches([_framed(rows)])
+
+        return self._meet(answers, run, BLOB_SCHEMA)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = dict(zip(right["shard"].to_pylist(), right["blob"].to_pylist()))
-        outs = [fn(b, Block(p.as_py()), got) for b, p in zip(left["block"].to_pylist(), left["payload"])]
-        return pa.concat_tables(outs)
 
-    # answers exist only for blocks, so a left side is always there
-    return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+def _by_block(right: pa.Table) -> dict[int, dict[int, bytes]]:
+    got: dict[int, dict[int, bytes]] = {}
+    for shard, raw in zip(right["shard"].to_pylist(), right["blob"].to_pylist()):
+        for b, blob in unframe(raw):
+            got.setdefault(b, {})[shard] = blob
+    return got

@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import covered, find_repeats
-from .blocks import make_blocks, shard_count
+from .blocks import Exchange, make_blocks
 from .shared import ready_python
 
+BLOCK_BYTES = 1 << 20
 SCHEMA = "page_id long, url string, text string, n_chars long"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -182,7 +183,7 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
     streams = pages.mapInArrow(outside, "page_id long, url string, host long, rest string")
     # a place for each page: ids may repeat or be null, and repeats must lie on distinct pages
     streams = streams.withColumn("place", F.monotonically_increasing_id())
-    blocks = make_blocks(spark, streams, "place", "rest", 1 << 20, F.col("host"))
+    blocks = make_blocks(spark, streams, "place", "rest", BLOCK_BYTES, F.col("host"))
 
     def symbols(block):
         known: dict[str, int] = {}
@@ -214,7 +215,7 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.Table.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["page_id", "url", "text", "n_chars"])
 
-    unmarked = find_repeats(blocks, symbols, W, k, "other", shard_count(blocks, 4 << 20), finish, SCHEMA)
+    unmarked = find_repeats(Exchange(blocks, BLOCK_BYTES, 4 << 20), symbols, W, k, "other", finish, SCHEMA)
     return pages.mapInArrow(marked, SCHEMA).union(unmarked)
 
 

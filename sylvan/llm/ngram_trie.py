@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Block, answer, ask, from_planes, make_blocks, planes, resume, shard_count, shard_edges
+from .blocks import Block, Exchange, from_planes, make_blocks, planes, shard_edges, unframe
 from .shared import mix64, pack, stage, unpack
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -193,7 +193,8 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     two named columns are read.
     """
     blocks = make_blocks(spark, df, id_col, text_col, block_bytes)
-    shards = shard_count(blocks, shard_bytes)
+    exchange = Exchange(blocks, block_bytes, shard_bytes)
+    shards = exchange.shards
     start_key = int(mix64(np.array([xxhash.xxh64_intdigest(START)], np.uint64))[0])
 
     def questions(b, block):
@@ -204,7 +205,7 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
             x = {}
             for n, (keys, counts, cut) in enumerate(zip(g.keys, g.counts, cuts)):
                 x[f"k{n}"], x[f"c{n}"] = planes(keys[cut[s] : cut[s + 1]]), counts[cut[s] : cut[s + 1]].astype(np.uint32)
-            out.append((s, b, pack(**x)))
+            out.append((s, pack(**x)))
         return out
 
     def totals(ids, got):
@@ -228,8 +229,8 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
                 out[f"c{n}"] = part if part.max(initial=0) >> 32 else part.astype(np.uint32)
         return [*((i, pack(**x)) for i, x in zip(ids, back)), (_TOTALS, pack(sums=np.array([known, tokens])))]
 
-    answers = stage(spark, answer(ask(blocks, questions), totals), "counts")
-    sums = sum((unpack(bytes(r.blob))["sums"] for r in answers.where(f"block = {_TOTALS}").select("blob").collect()), np.zeros(2, np.int64))
+    answers = stage(spark, exchange.answer(exchange.ask(questions), totals), "counts")
+    sums = sum((unpack(x)["sums"] for r in answers.where(f"block = {_TOTALS}").select("blob").collect() for _, x in unframe(bytes(r.blob))), np.zeros(2, np.int64))
     V, N = map(int, sums)
 
     def score(b, block, got):
@@ -253,7 +254,7 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
             }
         )
 
-    return resume(blocks, answers.where(f"block <> {_TOTALS}"), score, SCHEMA)
+    return exchange.resume(answers.where(f"block <> {_TOTALS}"), score, SCHEMA)
 
 
 def _trie(g: Grams, counts: list[np.ndarray], N: int, V: int, mu: float) -> Trie:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import covered, find_repeats, repeated, sorted_lcp
-from .blocks import Block, make_blocks, shard_count
+from .blocks import Block, Exchange, make_blocks
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -104,4 +104,4 @@ def dedup_spans(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
             out["kept"] = pa.array(kept, pa.binary())
         return pa.table(out)
 
-    return find_repeats(blocks, word_symbols, W, k, "any", shard_count(blocks, shard_bytes), finish, SCHEMA + ", kept binary" * texts, judge=greedy_factors)
+    return find_repeats(Exchange(blocks, block_bytes, shard_bytes), word_symbols, W, k, "any", finish, SCHEMA + ", kept binary" * texts, judge=greedy_factors)

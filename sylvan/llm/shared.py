@@ -23,16 +23,20 @@ _staged: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is set here only where the session names none, as in local tests.
+    Where the session names none, a local session gets a temporary folder,
+    as in tests, and a cluster a folder under the warehouse.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sylvan-shared-")
+        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            path = "file://" + tempfile.mkdtemp(prefix="sylvan-shared-")
+            _staged.append((spark, path))
+        else:
+            path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(path)
-        _staged.append((spark, path))
     return path
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchors, covered, find_repeats
-from .blocks import Block, make_blocks, shard_count
+from .blocks import Block, Exchange, make_blocks
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SAMPLED_BLOCKS, SAMPLED_PER_BLOCK = 64, 256
@@ -61,7 +61,7 @@ def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     columns are read.
     """
     blocks = make_blocks(spark, df, id_col, text_col, block_bytes)
-    shards = shard_count(blocks, shard_bytes)
+    exchange = Exchange(blocks, block_bytes, shard_bytes)
 
     def finish(block, sym, starts, ends, dup):
         gone = covered(dup, W)
@@ -85,4 +85,4 @@ def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
             out["kept"] = pa.array(kept, pa.binary())
         return pa.table(out)
 
-    return find_repeats(blocks, _bytes, W, k, "smaller", shards, finish, SCHEMA + ", kept binary" * texts, sampled_splitters(blocks, W, k, shards))
+    return find_repeats(exchange, _bytes, W, k, "smaller", finish, SCHEMA + ", kept binary" * texts, sampled_splitters(blocks, W, k, exchange.shards))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sylvan.llm import anchors, rlz, simhash, suffix_dedup
+from sylvan.llm import anchors, blocks, rlz, simhash, suffix_dedup
 
 from .conftest import ODD
 
@@ -126,16 +126,18 @@ def random_docs(seed, n=60):
     return [(i if rng.random() < 0.9 else None, "".join(rng.choice(pool)[rng.randint(0, 9) :] + rng.choice("xyz é") * rng.randint(0, 3) for _ in range(rng.randint(0, 6)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_suffix_dedup_random(spark, seed):
+@pytest.mark.parametrize("seed,bundle", [(1, 1), (2, 3), (3, 2)])
+def test_suffix_dedup_random(spark, monkeypatch, seed, bundle):
+    monkeypatch.setattr(blocks, "bundle_size", lambda *_: bundle)
     docs = random_docs(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = suffix_dedup.dedup_substrings(spark, df, W=20, k=8, block_bytes=600, shard_bytes=500).collect()
     assert sorted(map(tuple, got), key=repr) == brute_suffix([(i, t.encode()) for i, t in docs], 20)
 
 
-@pytest.mark.parametrize("seed", [4, 5, 6])
-def test_substring_dedup_random(spark, seed):
+@pytest.mark.parametrize("seed,bundle", [(4, 1), (5, 2), (6, 4)])
+def test_substring_dedup_random(spark, monkeypatch, seed, bundle):
+    monkeypatch.setattr(blocks, "bundle_size", lambda *_: bundle)
     docs = random_docs(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = rlz.dedup_spans(spark, df, W=7, k=3, block_bytes=600, shard_bytes=500).collect()
@@ -179,3 +181,10 @@ def test_multikey_order():
     for x, y, n in zip(o, o[1:], lcp[1:]):
         want = next((j for j in range(6) if a[x][j] != a[y][j]), 6)
         assert n == want
+
+
+def test_bundles():
+    assert blocks.bundle_size(10**9, 4 << 20) == 1 and 50 < blocks.bundle_size(17 * 10**13, 4 << 20) < 1000
+    part = 5 << 32
+    assert blocks.bundle_of(part | 7, 3) == part | 2 and blocks.bundle_of(-1, 3) == -1
+    assert blocks.unframe(blocks._frame([(1, b"a"), (part, b""), (3, b"xyz")])) == [(1, b"a"), (part, b""), (3, b"xyz")]

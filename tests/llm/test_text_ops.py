@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylvan.llm import contain, html_hosts, mixing, ngram_trie, quality_ledger, queries, secrets_rf, simple8b
+from sylvan.llm import blocks, contain, html_hosts, mixing, ngram_trie, quality_ledger, queries, secrets_rf, simple8b
 
 from .conftest import ODD
 
@@ -38,7 +38,8 @@ def brute_scores(docs, mu):
     return out
 
 
-def test_lm_scores(spark, sf_dir):
+def test_lm_scores(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(blocks, "bundle_size", lambda *_: 2)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = {r.doc_id: r.text or "" for r in df.collect()}
     want = brute_scores(docs, 50.0)
