@@ -184,7 +184,7 @@ class Grams:
             self.shorter.append(shorter)
 
 
-def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mu: float = 50.0, block_bytes: int = 8 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
+def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mu: float = 50.0, block_bytes: int = 5 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
     """One row per document (``SCHEMA``). Documents whose crc32(id as text)
     mod 7 is 2 are held out; the model learns from all others.
 
