@@ -67,12 +67,14 @@ def log_sum(x: Col) -> Column:
     return F.log1p(F.greatest(F.coalesce(_c(x).cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
-def rounded(x: Col) -> Column:
-    """To six places, large values to fewer (engines sum in other orders),
-    and without a negative zero."""
+def rounded(x: Col, large: bool = True) -> Column:
+    """To six places, without a negative zero; ``large`` values to fewer
+    (engines sum in other orders)."""
     x = _c(x).cast("double")
+    if not large:
+        return F.round(x, 6) + F.lit(0.0)
     size = F.abs(x)
-    return F.when(size >= 1e8, F.round(x, -3)).when(size >= 1e6, F.round(x, 2)).otherwise(F.round(x, 6)) + F.lit(0.0)
+    return F.when(size >= 1e8, F.round(x, -3)).when(size >= 1e6, F.round(x, 0)).otherwise(F.round(x, 6)) + F.lit(0.0)
 
 
 def steady(x: Col) -> Column:

@@ -22,13 +22,17 @@ ORACLES: dict[str, str] = {}
 R, W = V.r, V.with_views
 
 
+#: Parts of the names of columns that may hold a million or more.
+LARGE = ("MTCI", "REPI", "srad", "total")
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Doubles to six places, whole numbers as longs: what oracles compare."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = X.rounded(c)
+            c = X.rounded(c, large=any(x in f.name for x in LARGE))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(f.name))

@@ -12,7 +12,7 @@ def names(values) -> str:
 
 def r(x: str) -> str:
     v = f"CAST({x} AS DOUBLE)"
-    return f"CASE WHEN abs({v}) >= 1e8 THEN round({v}, -3) WHEN abs({v}) >= 1e6 THEN round({v}, 2) ELSE round({v}, 6) END + 0.0"
+    return f"CASE WHEN abs({v}) >= 1e8 THEN round({v}, -3) WHEN abs({v}) >= 1e6 THEN round({v}, 0) ELSE round({v}, 6) END + 0.0"
 
 
 def season(d: str) -> str:
