@@ -4,15 +4,18 @@ Pages are parsed into blocks of text. Where a page marks its article, what
 stands outside it is boilerplate, and so is what stands inside it in menus,
 forms, adverts, comments and the like. Pages that mark no article keep the
 rest of their text, less what their host repeats: the token streams of a
-host's pages (article text left out) are searched for long substrings that
-occur on distinct pages, by sorting suffixes as in ``anchors``; covered
-tokens go and unique runs stay.
+host's distinct pages (article text left out) are searched for substrings
+that occur on other pages, by sorting suffixes as in ``anchors``. Those found
+on at least ``SHARE`` of the host's distinct pages (and on two) go where they
+cover a whole block or ``LONG`` words in a row; whole blocks go already at
+``WHOLE`` of the pages (and three). All else stays.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 import re
 
 import numpy as np
@@ -21,11 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .anchors import _gram_hash as gram_hash
 from .anchors import covered, find_repeats
-from .blocks import Exchange, make_blocks
-from .shared import ready_python
+from .blocks import Exchange, from_planes, make_blocks, planes, shard_edges
+from .shared import mix64, pack, ready_python, stage, unpack
 
 BLOCK_BYTES = 1 << 20
+SHARE = 0.3  # of a host's distinct pages, that a repeat must be found on to be boilerplate
+WHOLE = 0.01  # the same for whole blocks, such as adverts that take turns
+LONG = 16  # words in a row, that may go where they aren't a whole block
+_HOST = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "page_id long, url string, text string, n_chars long"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -146,13 +154,57 @@ def _tokens(page: list[tuple[str, str]]):
     return words, places
 
 
+def _symbols(pages: list[list], known: dict[str, int]) -> list[np.ndarray]:
+    """Hashes of the tokens of each page."""
+    out = []
+    for rest in pages:
+        words, _ = _tokens(rest)
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    return out
+
+
+def needed(pages: int) -> tuple[int, int]:
+    """Distinct pages of a host, of so many, that long runs and whole blocks
+    of boilerplate are found on."""
+    runs = max(2, math.ceil(SHARE * pages))
+    return runs, min(runs, max(3, math.ceil(WHOLE * pages)))
+
+
+def unique_text(rest: list[list], gone: np.ndarray, whole: np.ndarray) -> str:
+    """The open blocks of a page without those that ``whole`` covers and
+    without the long runs that ``gone`` covers."""
+    out, at = [], 0
+    for zone, text in rest:
+        own = text.split(" ")
+        hit, all_hit = gone[at : at + len(own) + 2], whole[at : at + len(own) + 2].all()
+        at += len(own) + 2
+        if zone != OPEN or all_hit:
+            continue
+        kept, run = [], []
+        for w, h in zip([*own, None], [*hit[1:-1].tolist(), False]):
+            if h:
+                run.append(w)
+                continue
+            if len(run) < LONG:
+                kept += run
+            run = []
+            if w is not None:
+                kept.append(w)
+        if kept:
+            out.append(" ".join(kept))
+    return "\n\n".join(out)
+
+
 def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", W: int = 6, k: int = 3) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
     A null html is empty; null ids and urls are kept (pages without a url
-    form one host); repeated rows are pages of their own, but a page whose
-    only repeats are its own copies loses those tokens too. An empty table
-    gives no rows. Only the three named columns are read.
+    form one host); repeated rows are a row each, but copies of a page count
+    once when repeats are sought, so no page loses text to its own copies.
+    An empty table gives no rows. Only the three named columns are read.
     """
     ready_python(spark)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -177,45 +229,82 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
                 zone = main_zone(found)
                 rest = [[z, t] for z, t in found if z != zone]
                 if rest:
-                    rows.append((i, u, _host_key(u), json.dumps([i, u, zone is None, rest], ensure_ascii=False)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64(), pa.string(), pa.int64(), pa.string()])], ["page_id", "url", "host", "rest"])
+                    same = xxhash.xxh128_digest(json.dumps(found))
+                    rows.append((i, u, _host_key(u), same, zone is None, json.dumps([same.hex(), zone is None, rest], ensure_ascii=False)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["page_id", "url", "host", "same", "bare", "rest"])
 
-    streams = pages.mapInArrow(outside, "page_id long, url string, host long, rest string")
-    # a place for each page: ids may repeat or be null, and repeats must lie on distinct pages
-    streams = streams.withColumn("place", F.monotonically_increasing_id())
-    blocks = make_blocks(spark, streams, "place", "rest", BLOCK_BYTES, F.col("host"))
+    streams = stage(spark, pages.mapInArrow(outside, "page_id long, url string, host long, same binary, bare boolean, rest string"), "streams")
+    # a place for each distinct page of a host, since repeats must lie on distinct pages
+    distinct = streams.groupBy("host", "same").agg(F.first("rest").alias("rest")).withColumn("place", F.monotonically_increasing_id())
+    blocks = make_blocks(spark, distinct, "place", "rest", BLOCK_BYTES, F.col("host"))
 
     def symbols(block):
-        known: dict[str, int] = {}
-        parts, ends, n = [], np.zeros(block.n, np.int64), 0
-        for i, text in enumerate(block.texts()):
-            words, _ = _tokens(json.loads(text)[3])
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-            n += len(words)
-            ends[i] = n
+        parts = _symbols([json.loads(text)[2] for text in block.texts()], {})
+        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
         sym = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         return sym, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
 
     def finish(block, sym, starts, ends, dup):
-        gone, rows = covered(dup, W), []
-        for s, raw in zip(starts.tolist(), block.texts()):
-            page_id, url, bare, rest = json.loads(raw)
+        rows = []
+        for i, (s, e, raw) in enumerate(zip(starts.tolist(), ends.tolist(), block.texts())):
+            rows.append((int(block.ids[i]), int(block.groups[i : i + 1].view(np.int64)[0]), json.dumps([*json.loads(raw), np.flatnonzero(dup[s:e]).tolist()], ensure_ascii=False)))
+        kinds = [pa.int64(), pa.int64(), pa.string()]
+        return pa.Table.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["place", "host", "rest"])
+
+    repeats = find_repeats(Exchange(blocks, BLOCK_BYTES, 4 << 20), symbols, W, k, "other", finish, "place long, host long, rest string")
+    again = make_blocks(spark, repeats, "place", "rest", BLOCK_BYTES, F.col("host"))
+    exchange = Exchange(again, BLOCK_BYTES, 4 << 20)
+    shards = exchange.shards
+
+    def windows(block):
+        """Of each page: its row, and the key of its host and those of its
+        repeated windows with the host."""
+        rows = [json.loads(raw) for raw in block.texts()]
+        keys = []
+        for sym, row, host in zip(_symbols([r[2] for r in rows], {}), rows, block.groups):
+            own = mix64(np.array([host], np.uint64))
+            at = np.array(row[3], np.int64)
+            keys.append(np.concatenate([mix64(own ^ _HOST), mix64(gram_hash(mix64(sym), W)[at] ^ own) if len(at) else own[:0]]))
+        return rows, keys
+
+    def distinct_keys(keys):
+        return np.unique(np.concatenate([np.unique(x) for x in keys]) if keys else np.zeros(0, np.uint64), return_counts=True)
+
+    def questions(b, block):
+        keys, n = distinct_keys(windows(block)[1])
+        cut = shard_edges(keys, shards)
+        return [(s, pack(key=planes(keys[i:j]), n=n[i:j].astype(np.uint32))) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+
+    def totals(ids, got):
+        parts = [unpack(x) for x in got]
+        keys, n = np.concatenate([from_planes(p["key"]) for p in parts]), np.concatenate([p["n"] for p in parts]).astype(np.int64)
+        _, inv = np.unique(keys, return_inverse=True)
+        full = np.bincount(inv, n).astype(np.int64)[inv]
+        return [(i, pack(n=x)) for i, x in zip(ids, np.split(full, np.cumsum([len(p["n"]) for p in parts])[:-1]))]
+
+    def decide(b, block, got):
+        rows, keys = windows(block)
+        uniq, _ = distinct_keys(keys)
+        count, cut = np.zeros(len(uniq), np.int64), shard_edges(uniq, shards)
+        for s, blob in got.items():
+            count[cut[s] : cut[s + 1]] = unpack(blob)["n"]
+        out = []
+        for (same, bare, rest, at), own, host in zip(rows, keys, block.groups.view(np.int64).tolist()):
             if not bare:
                 continue
-            words, places = _tokens(rest)
-            runs: dict[int, list[str]] = {}
-            for at, (w, (i, j)) in enumerate(zip(words, places)):
-                if j >= 0 and not gone[s + at] and rest[i][0] == OPEN:
-                    runs.setdefault(i, []).append(w)
-            text = "\n\n".join(" ".join(r) for _, r in sorted(runs.items()))
-            rows.append((page_id, url, text, len(text)))
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-        return pa.Table.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["page_id", "url", "text", "n_chars"])
-
-    unmarked = find_repeats(Exchange(blocks, BLOCK_BYTES, 4 << 20), symbols, W, k, "other", finish, SCHEMA)
+            n = count[np.searchsorted(uniq, own)]
+            gone = []
+            for least in needed(int(n[0])):
+                dup = np.zeros(sum(len(t.split(" ")) + 2 for _, t in rest), bool)
+                dup[np.array(at, np.int64)[n[1:] >= least]] = True
+                gone.append(covered(dup, W))
+            out.append((host, bytes.fromhex(same), unique_text(rest, *gone)))
+        kinds = [pa.int64(), pa.binary(), pa.string()]
+        return pa.Table.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["host", "same", "text"])
+
+    texts = exchange.resume(exchange.answer(exchange.ask(questions), totals), decide, "host long, same binary, text string")
+    unmarked = streams.where("bare").select("page_id", "url", "host", "same").join(texts, ["host", "same"]).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
     return pages.mapInArrow(marked, SCHEMA).union(unmarked)
 
 

@@ -118,6 +118,21 @@ def test_host_boilerplate(spark):
     assert got[9].split("\n\n") == ["Welcome to the best site of all sites", words(360, 390), "Call us now or write to us today"]
 
 
+def test_host_keeps_what_few_pages_share(spark):
+    """Copies of a page, quotes, reposted paragraphs and common phrases on a large host stay; its boilerplate goes."""
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    top, phrase, post = "Welcome to the best site of all sites", "as every one of us well knows", "p " + words(9000, 9030)
+    long = words(8000, 8020)
+    body = lambda i: f"{words(40 * i, 40 * i + 15)} {phrase if i % 2 else 'and'} {words(40 * i + 15, 40 * i + 30)}"
+    page = lambda i: f"<body><div>{top}</div><div>{body(i)} {long}</div>{f'<p>{post}</p>' if i < 2 else ''}</body>"
+    rows = [(i, f"https://big.example/{i}", page(i)) for i in range(40)] + [(100 + i, f"https://big.example/{i}", page(i)) for i in range(40)]
+    rows += [(200 + i, f"https://twin.example/{i}", page(7)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_hosts.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i] == got[100 + i] == body(i) + (f"\n\n{post}" if i < 2 else "")
+    assert {got[200 + i] for i in range(3)} == {f"{top}\n\n{body(7)} {long}"}
+
+
 def test_pages_of_the_tables(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     import html as h
