@@ -1,8 +1,9 @@
 """Secret scans with a random forest that removes false positives.
 
 One pass over the texts finds candidates (runs of 16 or more characters that
-keys are written in, with a digit, mixed case or an assignment before them)
-and counts the corpus's short words. The words give a dictionary and a model
+keys are written in, with a digit, mixed case or a cue before them; values
+of 6 or more after a cue, an assignment or in a URL's credentials, signs
+included) and counts the corpus's short words. The words give a dictionary and a model
 of character transitions. A forest over length, character classes and
 transitions, dictionary coverage, path and neighbouring words, trained from
 labelled findings, then judges every candidate.
@@ -31,6 +32,12 @@ LABELLED = 20_000  # documents, at most about, that give labelled findings
 _RUN = re.compile(rb"[A-Za-z0-9+/_=.~-]{%d,}" % SHORTEST)
 _CUE = re.compile(rb"(?i)(token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private)\W{0,12}$")
 _ASSIGN = re.compile(rb"[=:]\s*[\"']?$")
+_LED = (  # what leads to shorter values
+    re.compile(rb"://[^\s/:@\"'<>]*:([^\s/\"'<>]{6,})@"),
+    re.compile(rb"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private)\W{1,12}([^\s\"'`<>]{6,})"),
+    re.compile(rb"[=:]\s*[\"']?([^\s\"'`<>=:][^\s\"'`<>]{5,})"),
+)
+_SIGNED = re.compile(rb"[0-9!@#$%^&*?]|[a-z][A-Z]")
 _HEAD = re.compile(rb"^[A-Za-z_][A-Za-z_-]{1,24}[=]+(?=.{8})")
 _DUMMY = re.compile(rb"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000000|1234567|abcdefg")
 _TEST_PATH = re.compile(r"(?i)(^|[/_.-])(tests?|examples?|docs?|fixtures?|mocks?|samples?)([/_.-]|$)")
@@ -49,6 +56,26 @@ FOUND = "doc_id long, path string, start long, value binary, before binary, afte
 
 def candidates(text: bytes):
     """(start, value, before, after) of each candidate; bytes throughout."""
+    seen = []
+    for x in _runs(text):
+        seen.append((x[0], x[0] + len(x[1])))
+        yield x
+    for led in _LED:
+        spans, at, add = sorted(seen), 0, []
+        for m in led.finditer(text):
+            start, value = m.start(1), m[1] if led is _LED[0] else m[1].rstrip(b".,;:)]}")
+            end = start + len(value)
+            while at < len(spans) and spans[at][1] <= start:
+                at += 1
+            if len(value) < 6 or not _SIGNED.search(value) or value.startswith(b"//") or (at < len(spans) and spans[at][0] < end):
+                continue
+            add.append((start, end))
+            yield start, value, text[max(0, start - 48) : start], text[end : end + 48]
+        seen += add
+
+
+def _runs(text: bytes):
+    """Candidates by their own length."""
     at = 0
     for w in text.split():
         if len(w) < SHORTEST:
@@ -173,7 +200,14 @@ def made_up(seed: int, words: list[bytes]) -> list[tuple[bytes, bytes, bytes, fl
     plain = [w for w in (words or [b"thing"]) if w.isalpha()] or [b"thing"]
     name = rng.choice([b"_", b"-", b".", b"/"]).join(rng.choices(plain, k=rng.randint(3, 6))) + str(rng.randint(1, 2030)).encode()
     number = bytes(rng.choices(b"0123456789", k=rng.choice([16, 18, 20])))
-    return [(key, near() + cue, b" " + near(), 1.0), (name, near() + rng.choice([b" ", b" ", b" token = "]), b" " + near(), 0.0), (number, near() + b" ", b" " + near(), 0.0)]
+    found = [(key, near() + cue, b" " + near(), 1.0), (name, near() + rng.choice([b" ", b" ", b" token = "]), b" " + near(), 0.0), (number, near() + b" ", b" " + near(), 0.0)]
+    letters = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + rng.choice([b"", b"!#$%&*?@^-_"])
+    short = bytes(rng.choices(letters, k=rng.randint(8, 16)))
+    led = rng.choice([b' password = "', b" password: ", b" pwd=", b" secret: ", b" postgres://" + rng.choice(plain) + b":", b" https://" + rng.choice(plain) + b":"])
+    word = rng.choice(plain) + rng.choice([b"1", b"2019", b"!", b"?", b"@" + rng.choice(plain) + b".org", b"&" + rng.choice(plain)])
+    brief = bytes(rng.choices(b"0123456789", k=rng.randint(6, 12)))
+    lead = lambda: rng.choice([b" ", b": ", b" = ", b"=", b" token ", b" password: "])
+    return [*found, (short, near() + led, b" " + near(), 1.0), (word, near() + lead(), b" " + near(), 0.0), (brief, near() + lead(), b" " + near(), 0.0)]
 
 
 def find_secrets(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5, trees: int = 40, depth: int = 8) -> DataFrame:

@@ -305,6 +305,27 @@ def test_secrets(spark, empty):
     assert secrets_rf.find_secrets(spark, empty).count() == 0
 
 
+def test_short_secrets(spark):
+    """Short passwords, secrets with signs and URL credentials are candidates, and are found among prose."""
+    for text, value in [(b'password = "Tr0ub4dor&3x"', b"Tr0ub4dor&3x"), (b"password: Xk9#mQ2$vL7!pR4@", b"Xk9#mQ2$vL7!pR4@"), (b"postgres://svc:s3cr3tPass9@db.local/x", b"s3cr3tPass9"), (b"pwd hY7$kq", b"hY7$kq")]:
+        got = list(secrets_rf.candidates(b"so " + text + b" on"))
+        assert [(x[0], x[1]) for x in got] == [((b"so " + text).index(value), value)]
+    rng = random.Random(3)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&*"
+    words = "the quick brown fox jumps over lazy dogs and other animals".split()
+    rows, secret = [], set()
+    for i in range(160):
+        t, value = " ".join(rng.choices(words, k=30)), "".join(rng.choices(signs, k=12))
+        if i % 2:
+            secret.add(i)
+            t += rng.choice([f' password = "{value}" ', f" pwd: {value} ", f" postgres://svc:{value}@db.local/x "])
+        else:
+            t += rng.choice([" seen: animals2019 ", " total = 1234509 ", " see https://fox.example/dogs?page=lazy12 "])
+        rows.append((i, t + " ".join(rng.choices(words, k=30)), "src/main"))
+    found = {r.doc_id for r in secrets_rf.find_secrets(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(found & secret) >= 0.9 * len(secret) and len(found - secret) <= 2
+
+
 def test_forest_is_held_out_accurate():
     """Made-up findings of unseen seeds, judged by simple distance to the classes' means, differ in the features."""
     language = secrets_rf.Language([("quick", 5), ("brown", 5), ("the", 9)])
