@@ -38,7 +38,9 @@ def _let(value: Column, body) -> Column:
 def repeat_words(words: Column, window: int = 3) -> Column:
     """Words that lie in windows found twice or more. Hashes of the windows
     are sorted with their places packed into the low bits; equal neighbours
-    give the places of repeats, and gaps between those the words covered."""
+    are sorted again by the words themselves, since hashes cut short may
+    agree by chance. What is equal there gives the places of repeats, and
+    gaps between those the words covered."""
 
     def places(w: Column) -> Column:
         n = F.size(w) - window + 1
@@ -54,7 +56,11 @@ def repeat_words(words: Column, window: int = 3) -> Column:
         twice = lambda s: F.filter(
             s, lambda x, i: F.coalesce(top(F.get(s, i - 1)) == top(x), F.lit(False)) | F.coalesce(top(F.get(s, i + 1)) == top(x), F.lit(False))
         )
-        return _let(F.sort_array(packed), lambda s: F.sort_array(F.transform(twice(s), lambda x: x.bitwiseAND(low))))
+        exact = lambda x: F.struct(F.slice(w, x.bitwiseAND(low).cast("int") + 1, window).alias("g"), x.bitwiseAND(low).alias("at"))
+        same = lambda s, i, x: F.coalesce(F.get(s, i)["g"] == x["g"], F.lit(False))
+        found = lambda s: F.filter(s, lambda x, i: same(s, i - 1, x) | same(s, i + 1, x))
+        likely = lambda s: F.sort_array(F.transform(twice(s), exact))
+        return _let(F.sort_array(packed), lambda s: _let(likely(s), lambda c: F.sort_array(F.transform(found(c), lambda x: x["at"]))))
 
     covered = lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(
         F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(window).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(window).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -84,6 +84,15 @@ def test_quality_ledger(spark, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_repeats_are_compared_exactly(spark, monkeypatch):
+    """Hashes that agree by chance make no repeat."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality_ledger.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c x a b c y z"), (3, "a b")], "doc_id long, text string")
+    assert {r.doc_id: r.n_repeat_words for r in quality_ledger.ledger(df).collect()} == {1: 0, 2: 6, 3: 0}
+
+
 def test_ablation(spark, sf_dir):
     led = quality_ledger.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     fails = [r.failures for r in led.collect()]
