@@ -13,7 +13,12 @@ are about one in (W - k + 2) / 2 positions. Two rounds follow:
    windows exactly through the classes that these give.
 
 Equal contexts of a block are sent once, so a passage that a third of all
-documents share costs one record per block.
+documents share costs one record per block. They are found by hash, some
+thousand at a time, and compared on their symbols before any is copied: texts
+of one symbol or of a short period, where every position is an anchor, cost
+no more than a few numbers a position. An anchor that more than ``HOT``
+blocks hold is dealt by what stands beside it, once for the windows that
+reach right and once for those that reach left, so its contexts spread.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from .blocks import NULL_ID, Block, Exchange, from_planes, planes, shard_edges
 from .shared import mix64, pack, unpack
 
 _CHUNK = 1 << 19
+HOT = 64  # blocks that share an anchor, from which its contexts are dealt by their surroundings
 _P = np.uint64(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
     _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _P)
@@ -86,20 +92,85 @@ def anchors(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, W: int, k: in
     return np.concatenate(found).astype(np.int64), mix64(np.concatenate(keys) ^ _P)
 
 
-def context_hashes(sym: np.ndarray, pos: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """A hash of the symbols from l before each position to r after it, from
-    prefix sums of a polynomial; never 0."""
+def context_hashes(sym: np.ndarray, pos: np.ndarray, l: np.ndarray, r: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the symbols from l before each (ascending) position to r
+    after it, from prefix sums of a polynomial, a stretch of symbols at a
+    time; never 0. Other seeds give independent hashes."""
+    out = np.empty(len(pos), np.uint64)
+    if not len(pos):
+        return out
+    reach, salt = int(l.max()), mix64(np.array([seed], np.uint64) + _P)
+    size = _CHUNK + reach + int(r.max())
+    base = int(_P) if not seed else int(mix64(np.array([seed], np.uint64))[0]) | 1
     with np.errstate(over="ignore"):
-        n = len(sym)
-        up = np.full(n + 1, _P, np.uint64)
-        down = np.full(n + 1, np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64)
+        up, down = np.full(size + 1, base, np.uint64), np.full(size + 1, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         up, down = np.cumprod(up), np.cumprod(down)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sym) * up[:n], dtype=np.uint64)])
-        h = (total[pos + r] - total[pos - l]) * down[pos - l]
-        h = mix64(h ^ mix64(l.astype(np.uint64) * np.uint64(64) + r.astype(np.uint64)))
-    h[h == 0] = 1
-    return h
+        cut = np.searchsorted(pos, np.arange(0, int(pos[-1]) + _CHUNK + 1, _CHUNK))
+        for at, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if i == j:
+                continue
+            lo = max(0, at * _CHUNK - reach)
+            part = sym[lo : lo + size]
+            part = _BYTE[part] if part.dtype == np.uint8 else mix64(part ^ salt)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[: len(part)], dtype=np.uint64)])
+            here, a, b = pos[i:j] - lo, l[i:j].astype(np.int64), r[i:j].astype(np.int64)
+            h = (total[here + b] - total[here - a]) * down[here - a]
+            out[i:j] = mix64(h ^ mix64(a.astype(np.uint64) * np.uint64(1 << 20) + b.astype(np.uint64)))
+    out[out == 0] = 1
+    return out
+
+
+class Contexts:
+    """The symbols around positions, gathered some thousand at a time."""
+
+    def __init__(self, sym: np.ndarray, far: int, W: int):
+        padded = np.concatenate([np.zeros(far, sym.dtype), sym, np.zeros(W, sym.dtype)])
+        self.view, self.far, self.place = np.lib.stride_tricks.sliding_window_view(padded, far + W), far, np.arange(far + W)
+        self.zero, self.padded = sym.dtype.type(0), padded
+
+    def take(self, pos: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Symbols beyond l and r read as 0."""
+        inside = (self.place >= self.far - l[:, None]) & (self.place < self.far + r[:, None])
+        return np.where(inside, self.view[pos], self.zero)
+
+    def differ(self, pos, l, r, mate) -> np.ndarray:
+        """Which rows have other symbols or extents than their mates."""
+        out = np.zeros(len(mate), bool)
+        for a in range(0, len(mate), 1 << 14):
+            y = mate[a : a + (1 << 14)]
+            x = np.arange(a, a + len(y))
+            odd = (l[x] != l[y]) | (r[x] != r[y])
+            todo = np.flatnonzero(~odd & (x != y))
+            x, y = x[todo], y[todo]
+            odd[todo] = (self.take(pos[x], l[x], r[x]) != self.take(pos[y], l[y], r[y])).any(axis=1)
+            out[a : a + len(odd)] = odd
+        return out
+
+
+def context_classes(around: Contexts, h: np.ndarray, pos: np.ndarray, l: np.ndarray, r: np.ndarray, tags: np.ndarray | None, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows with equal contexts and tags, compared on their symbols: (one of
+    each, all in order of class and id, where each class begins, sizes).
+    ``h`` are hashes of the contexts; rows of one hash that differ part."""
+    if tags is not None:
+        h = mix64(h ^ mix64(tags))
+    n = len(h)
+    while True:
+        order = np.lexsort((ids, h)).astype(np.int32)
+        c = h[order]
+        at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if n else np.zeros(0, np.int64)
+        del c
+        size = np.diff(np.append(at, n))
+        rep = order[at]
+        mate = np.empty(n, np.int32)
+        mate[order] = np.repeat(rep, size)
+        other = around.differ(pos, l, r, mate)
+        if tags is not None:
+            other |= tags != tags[mate]
+        if not other.any():
+            return rep, order, at, size
+        with np.errstate(over="ignore"):
+            h[other] = mix64(h[other] + np.uint64(1))
 
 
 def multikey_classes(cols: list[np.ndarray], n: int) -> np.ndarray:
@@ -224,23 +295,23 @@ def _decoded(parts: list[dict[str, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish, schema: str, splitters: np.ndarray | None = None, judge=repeated) -> DataFrame:
+def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish, schema: str, splitters: tuple[np.ndarray, np.ndarray] | None = None, judge=repeated) -> DataFrame:
     """``symbols(block)`` gives (symbols, starts, ends) of a block;
     ``finish(block, symbols, starts, ends, dup)`` its result table, where dup
     marks the positions at which a repeated window starts. With
-    ``splitters`` anchors are dealt by ranges of their leading eight bytes,
-    else by ranges of their hash. For "any", the first round also asks which
-    whole contexts occur again: all their windows do, and one of them only
-    goes on, as a partner for others. ``judge`` compares the windows of a shard."""
+    ``splitters`` (leading eight bytes, and hash) anchors are dealt by ranges
+    of the two, else by ranges of their hash. For "any", the first round also
+    asks which whole contexts occur again, by hashes of 128 bits: all their
+    windows do, and one of them only goes on, as a partner for others.
+    ``judge`` compares the windows of a shard."""
     far, shards = W - k, exchange.shards
-
-    def doc_of(pos, ends):
-        return np.searchsorted(ends, pos, side="right")
+    half = far // 2
 
     def anchored(block):
         sym, starts, ends = symbols(block)
         pos, key = anchors(sym, starts, ends, W, k)
-        doc = doc_of(pos, ends)
+        pos = pos.astype(np.int32)
+        doc = np.searchsorted(ends, pos, side="right").astype(np.int32)
         if rule == "other":
             key = mix64(key ^ mix64(block.groups[doc]))
         return sym, starts, ends, pos, key, doc
@@ -248,7 +319,7 @@ def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish,
     whole_contexts = rule == "any"
 
     def extents(pos, doc, starts, ends):
-        return np.minimum(pos - starts[doc], far), np.minimum(ends[doc] - pos, W)
+        return tuple(np.minimum(x, most).astype(np.int16) for x, most in ((pos - starts.astype(np.int32)[doc], far), (ends.astype(np.int32)[doc] - pos, W)))
 
     def first(b, block):
         sym, starts, ends, pos, key, doc = anchored(block)
@@ -259,41 +330,56 @@ def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish,
         at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         many = np.diff(np.append(at, len(x))) > 1 if rule == "any" else np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
         keys = x[at]
+        del order, x, d
         cut = shard_edges(keys, shards)
         out = [{"key": planes(keys[i:j]), "many": np.packbits(many[i:j])} for i, j in zip(cut[:-1], cut[1:])]
         if whole_contexts:
-            ctx, n = np.unique(context_hashes(sym, pos, *extents(pos, doc, starts, ends)), return_counts=True)
+            ctx, proof, inv = whole(sym, pos, *extents(pos, doc, starts, ends))
+            n = np.bincount(inv, minlength=len(ctx))
             cut = shard_edges(ctx, shards)
             for x, i, j in zip(out, cut[:-1], cut[1:]):
-                x |= {"ckey": planes(ctx[i:j]), "cmany": np.packbits(n[i:j] > 1)}
+                x |= {"ckey": planes(ctx[i:j]), "proof": proof[i:j], "cmany": np.packbits(n[i:j] > 1)}
         return [(s, pack(**x)) for s, x in enumerate(out) if x["key"].size or x.get("ckey", x["key"]).size]
 
+    def whole(sym, pos, l, r):
+        """The distinct contexts by two hashes, and which is each position's."""
+        h, proof = context_hashes(sym, pos, l, r), context_hashes(sym, pos, l, r, 1)
+        order = np.lexsort((proof, h))
+        x, y = h[order], proof[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+        inv = np.empty(len(x), np.int64)
+        inv[order] = np.cumsum(new) - 1
+        return x[new], y[new], inv
+
     def again(ids, parts, name, marks):
-        """Which keys of each block are marked or come from more blocks; and
-        which of a key's blocks is its first."""
+        """Of each block's keys: whether they are marked or come from more
+        blocks, whether the block is the key's first, and whether more than
+        HOT blocks hold it."""
         keys = [from_planes(p[name]) for p in parts]
         sizes = [len(k) for k in keys]
         many = np.concatenate([np.unpackbits(p[marks], count=n) for p, n in zip(parts, sizes)]).astype(bool)
         owner = np.repeat(np.array(ids, np.int64), sizes)
         keys = np.concatenate(keys)
-        order = np.lexsort((owner, keys))
-        x = keys[order]
-        same = x[1:] == x[:-1]
-        hit = many[order]
-        hit[1:] |= same
-        hit[:-1] |= same
-        lead = np.concatenate([np.ones(min(1, len(x)), bool), ~same])
-        back, front = np.empty(len(x), bool), np.empty(len(x), bool)
-        back[order], front[order] = hit, lead
-        cut = np.cumsum(sizes)[:-1]
-        return np.split(back, cut), np.split(front, cut)
+        proof = np.concatenate([p["proof"] for p in parts]) if name == "ckey" else np.zeros(len(keys), np.uint64)
+        order = np.lexsort((owner, proof, keys))
+        x, y = keys[order], proof[order]
+        new = np.concatenate([np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        size = np.diff(np.append(np.flatnonzero(new), len(x)))
+        held = np.repeat(size, size)
+        out = []
+        for found in (many[order] | (held > 1), new, held > HOT):
+            back = np.empty(len(x), bool)
+            back[order] = found
+            out.append(np.split(back, np.cumsum(sizes)[:-1]))
+        return out
 
     def shared_keys(ids, got):
         parts = [unpack(x) for x in got]
-        hit, _ = again(ids, parts, "key", "many")
-        out = [{"bits": np.packbits(x)} for x in hit]
+        hit, _, hot = again(ids, parts, "key", "many")
+        out = [{"bits": np.packbits(x), "hot": np.packbits(y)} for x, y in zip(hit, hot)]
         if whole_contexts:
-            for o, x, y in zip(out, *again(ids, parts, "ckey", "cmany")):
+            hit, lead, _ = again(ids, parts, "ckey", "cmany")
+            for o, x, y in zip(out, hit, lead):
                 o |= {"chit": np.packbits(x), "cfirst": np.packbits(y)}
         return [(i, pack(**o)) for i, o in zip(ids, out)]
 
@@ -309,13 +395,16 @@ def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish,
         sym, starts, ends, pos, key, doc = anchored(block)
         got = {s: unpack(x) for s, x in got.items()}
         uniq, inv = np.unique(key, return_inverse=True)
-        sel = np.flatnonzero(spread(uniq, got, "bits")[inv]) if len(uniq) else np.zeros(0, np.int64)
+        sel = np.flatnonzero(spread(uniq, got, "bits")[inv]).astype(np.int32) if len(uniq) else np.zeros(0, np.int32)
         if not len(sel):
             return []
+        hot = spread(uniq, got, "hot")[inv]
+        del uniq, inv
         l, r = extents(pos, doc, starts, ends)
+        around = Contexts(sym, far, W)
         sure_at = np.zeros(0, np.int64)
         if whole_contexts:
-            ctxs, cinv = np.unique(context_hashes(sym, pos, l, r), return_inverse=True)
+            ctxs, _, cinv = whole(sym, pos, l, r)
             hit, lead = spread(ctxs, got, "chit"), spread(ctxs, got, "cfirst")
             sure_at = sel[hit[cinv[sel]]]
             _, once = np.unique(cinv[sel], return_index=True)  # one place of each context
@@ -326,54 +415,54 @@ def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish,
             at, size = np.cumsum(alone) - alone, alone.astype(np.int64)
             order, sure = once[alone], np.zeros(int(alone.sum()), bool)
         else:
-            rep, order, at, size, sure = _local_classes(sym, block, pos[sel], doc[sel], l[sel], r[sel])
+            some = (pos[sel], l[sel], r[sel])
+            rep, order, at, size = context_classes(around, context_hashes(sym, *some), *some, block.groups[doc[sel]] if rule == "other" else None, block.ids[doc[sel]])
+            mine = block.ids[doc[sel[order]]]
+            sure = mine > np.repeat(mine[at], size) if rule == "smaller" else np.repeat(mine[at + size - 1] > mine[at], size)
             rep, order = sel[rep], sel[order]
-        padded = np.concatenate([np.zeros(far, sym.dtype), sym, np.zeros(W, sym.dtype)])
-        view = np.lib.stride_tricks.sliding_window_view(padded, far + W)
-        lead = key
-        if splitters is not None:
-            eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[pos + far]
-            lead = np.ascontiguousarray(eight).view(">u8").ravel().astype(np.uint64)
-            shard = np.searchsorted(splitters, lead[rep], side="right")
-        else:
-            shard = (((lead[rep] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
-        out, by = [], np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[by], np.arange(shards + 1))
+        q, rl, rr, deal = _deal(sym, around, pos, key, hot, l, r, rep)
+        out, by = [], np.argsort(deal, kind="stable")
+        edges = np.searchsorted(deal[by], np.arange(shards + 1))
         spare = b % shards if len(sure_at) else -1  # the shard that passes on what is sure
-        beyond = np.arange(far + W)
         for s in range(shards):
             mine = by[edges[s] : edges[s + 1]]
             if not len(mine) and s != spare:
                 continue
-            mine = mine[np.argsort(lead[rep[mine]], kind="stable")]
-            members = np.concatenate([np.zeros(0, np.int64), *(np.arange(at[m], at[m] + size[m]) for m in mine.tolist())])
-            q = rep[mine]
-            ctx = view[pos[q]]
-            ctx = np.where((beyond >= far - l[q, None]) & (beyond < far + r[q, None]), ctx, sym.dtype.type(0))
+            mine = mine[np.argsort(key[rep[q[mine]]], kind="stable")]
+            m = q[mine]
+            members = np.concatenate([np.zeros(0, np.int64), *(np.arange(i, i + n) for i, n in zip(at[m].tolist(), size[m].tolist()))])
+            p, ll, lr = rep[m], rl[mine], rr[mine]
             more = {"sp": pos[sure_at].astype(np.uint32), "sl": l[sure_at].astype(np.uint8), "sr": r[sure_at].astype(np.uint8)} if s == spare else {}
-            out.append((s, pack(**_coded(ctx), l=l[q].astype(np.uint8), r=r[q].astype(np.uint8), ids=block.ids[doc[q]], groups=block.groups[doc[q]], size=size[mine].astype(np.uint32), pos=pos[order[members]].astype(np.uint32), sure=np.packbits(sure[members]), **more)))
+            ctx = _coded(around.take(pos[p], ll, lr))
+            out.append((s, pack(**ctx, l=ll.astype(np.uint8), r=lr.astype(np.uint8), ids=block.ids[doc[p]], groups=block.groups[doc[p]], size=size[m].astype(np.uint32), pos=pos[order[members]].astype(np.uint32), sure=np.packbits(sure[members]), **more)))
         return out
 
-    def _local_classes(sym, block, pos, doc, l, r):
-        """Equal contexts of a block: (one of each, all in order, where each
-        class begins, sizes, whether a member's windows surely repeat)."""
-        padded = np.concatenate([np.zeros(far, sym.dtype), sym, np.zeros(W, sym.dtype)])
-        ctx = np.lib.stride_tricks.sliding_window_view(padded, far + W)[pos]
-        beyond = np.arange(far + W)
-        ctx = np.where((beyond >= far - l[:, None]) & (beyond < far + r[:, None]), ctx, sym.dtype.type(0))
-        tag = np.ascontiguousarray(np.column_stack([ctx.view(np.uint8).reshape(len(ctx), -1), np.stack([l, r], 1).astype(np.int64).view(np.uint8), block.groups[doc].view(np.uint8).reshape(-1, 8)]))
-        _, inv = np.unique(tag.view(np.dtype((np.void, tag.shape[1]))).ravel(), return_inverse=True)
-        ids = block.ids[doc]
-        order = np.lexsort((ids, inv))
-        c = inv[order]
-        at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        size = np.diff(np.append(at, len(c)))
-        rep = order[at]
-        if rule == "smaller":
-            sure = ids[order] > np.repeat(ids[rep], size)
+    def _deal(sym, around, pos, key, hot, l, r, rep):
+        """(representative, l, r, shard) of each context to send. A hot
+        anchor's are cut to the windows that start up to ``half`` before it,
+        and to those that start further before, and dealt by what all of
+        these hold beside the anchor."""
+        where, own, ll, rr = pos[rep], key[rep], l[rep], r[rep]
+        if splitters is not None:
+            lead = np.lib.stride_tricks.sliding_window_view(around.padded, 8)[where + far]
+            lead = np.ascontiguousarray(lead).view(">u8").ravel().astype(np.uint64)
+            shard = between(splitters, lead, mix64(own))
         else:
-            sure = np.repeat(ids[order][at + size - 1] > ids[rep], size)
-        return rep, order, at, size, sure
+            shard = (((own >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+        warm = hot[rep]
+        if not warm.any():
+            return np.arange(len(rep)), ll, rr, shard
+        q, cl, cr, to = [np.flatnonzero(~warm)], [ll[~warm]], [rr[~warm]], [shard[~warm]]
+        for right in (True, False):
+            x = np.flatnonzero(warm & (rr >= W - half)) if right else np.flatnonzero(warm & (ll > half))
+            x = x[np.argsort(where[x], kind="stable")]
+            zero, one = np.zeros(len(x), np.int16), np.ones(len(x), np.int16)
+            beside = context_hashes(sym, where[x], zero, one * (W - half)) if right else context_hashes(sym, where[x], one * (half + 1), one * k)
+            q.append(x)
+            cl.append(np.minimum(ll[x], half) if right else ll[x])
+            cr.append(rr[x] if right else np.minimum(rr[x], W - half - 1))
+            to.append((((mix64(own[x] ^ beside) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64))
+        return np.concatenate(q), np.concatenate(cl), np.concatenate(cr), np.concatenate(to)
 
     def compare(ids, got):
         parts = [_own(unpack(x)) for x in got]
@@ -402,9 +491,9 @@ def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish,
         dup = np.zeros(len(sym) + W, bool)
         for blob in got.values():
             x = unpack(blob)
-            pos, mask = x["pos"].astype(np.int64), x["mask"]
+            pos, mask = x["pos"], x["mask"]
             for o in range(far + 1):
-                dup[pos[(mask >> np.uint64(o)) & np.uint64(1) > 0] - o] = True
+                dup[pos[(mask >> np.uint64(o)) & np.uint64(1) > 0].astype(np.int64) - o] = True
         return finish(block, sym, starts, ends, dup[: len(sym)])
 
     known = exchange.answer(exchange.ask(first), shared_keys)
@@ -412,6 +501,17 @@ def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish,
     return exchange.resume(exchange.answer(contexts, compare), last, schema)
 
 
+def between(splitters: tuple[np.ndarray, np.ndarray], lead: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The range of each (lead, key) among sorted splitters of both."""
+    leads, keys = splitters
+    lo, hi = np.searchsorted(leads, lead, side="left"), np.searchsorted(leads, lead, side="right")
+    tied = np.flatnonzero(lo < hi)
+    for a, b in np.unique(np.stack([lo[tied], hi[tied]], 1), axis=0).tolist():
+        same = tied[(lo[tied] == a) & (hi[tied] == b)]
+        lo[same] = a + np.searchsorted(keys[a:b], key[same], side="right")
+    return lo
+
+
 def covered(dup: np.ndarray, W: int) -> np.ndarray:
     """Positions that some window of W from a marked start covers."""
     step = dup.astype(np.int8)

@@ -188,7 +188,8 @@ class Exchange:
                 rows.setdefault((shard, bundle_of(b, size)), []).append((b, blob))
             return pa.Table.from_batches([_framed(rows)])
 
-        return questions.groupBy("shard").applyInArrow(run, BLOB_SCHEMA)
+        # a task for each shard: hashed over fewer partitions, some would hold several
+        return questions.repartitionById(self.shards, F.col("shard")).groupBy("shard").applyInArrow(run, BLOB_SCHEMA)
 
     def _meet(self, answers: DataFrame, run, schema: str) -> DataFrame:
         n = self.bundle

@@ -3,8 +3,10 @@
 The suffixes kept are those that start at anchors (see ``anchors``): every
 window of ``W`` bytes holds one, so no repeat is missed, while a full suffix
 array of the corpus would need some 16 bytes of shuffle per byte of text.
-Sampled splitters range-partition them by their leading bytes; equal anchors
-never part, so neighbours to compare never lie across a boundary.
+Sampled splitters range-partition them by their leading bytes, and anchors of
+one lead by their hash; equal anchors never part, so windows to compare never
+lie across a boundary. Anchors that very many blocks hold are dealt by the
+bytes beside them instead (``anchors.HOT``).
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .anchors import anchors, covered, find_repeats
 from .blocks import Block, Exchange, make_blocks
+from .shared import mix64
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SAMPLED_BLOCKS, SAMPLED_PER_BLOCK = 64, 256
@@ -27,27 +30,29 @@ def _bytes(block: Block):
     return block.data, block.starts, block.ends
 
 
-def sampled_splitters(blocks: DataFrame, W: int, k: int, shards: int) -> np.ndarray:
-    """Splitters of the leading bytes, from at most 64 blocks chosen by hash
-    and 256 anchors of each. They balance shards; results don't depend on them."""
+def sampled_splitters(blocks: DataFrame, W: int, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Splitters of the anchors (leading bytes, hash), from at most 64 blocks
+    chosen by hash and 256 anchors of each. They balance shards; results
+    don't depend on them."""
 
     def run(batches):
         for batch in batches:
             for payload in batch["payload"]:
                 block = Block(payload.as_py())
                 pos, key = anchors(*_bytes(block), W, k)
-                pos = pos[np.argsort(key)[:SAMPLED_PER_BLOCK]]
+                some = np.argsort(key)[:SAMPLED_PER_BLOCK]
                 view = np.concatenate([block.data, np.zeros(8, np.uint8)])
-                lead = np.lib.stride_tricks.sliding_window_view(view, 8)[pos]
+                lead = np.lib.stride_tricks.sliding_window_view(view, 8)[pos[some]]
                 lead = np.ascontiguousarray(lead).view(">u8").ravel().astype(np.uint64)
-                yield pa.RecordBatch.from_pydict({"lead": pa.array([lead.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array([np.stack([lead, mix64(key[some])]).tobytes()], pa.binary())})
 
     some = blocks.select("block").orderBy(F.xxhash64("block")).limit(SAMPLED_BLOCKS)
-    rows = blocks.select("block", "payload").join(some, "block", "left_semi").select("payload").mapInArrow(run, "lead binary").collect()
-    lead = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.lead, np.uint64) for r in rows)]))
+    rows = blocks.select("block", "payload").join(some, "block", "left_semi").select("payload").mapInArrow(run, "anchor binary").collect()
+    lead, key = np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(r.anchor, np.uint64).reshape(2, -1) for r in rows)], axis=1)
     if not len(lead):
-        return np.zeros(shards - 1, np.uint64)
-    return lead[np.arange(1, shards) * len(lead) // shards]
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    order = np.lexsort((key, lead))[np.arange(1, shards) * len(lead) // shards]
+    return lead[order], key[order]
 
 
 def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", W: int = 50, k: int = 20, block_bytes: int = 4 << 20, shard_bytes: int = 12 << 20, texts: bool = False) -> DataFrame:
