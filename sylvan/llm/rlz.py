@@ -1,12 +1,15 @@
 """Duplicate spans by relative Lempel-Ziv parsing (words).
 
-A shard indexes a reference block: the suffixes, in words, of every document
-piece whose anchor falls to it, sorted with their common prefixes. Each piece
-is factored greedily against that index: its factor is the longest match
-through the anchor with a neighbour in suffix order, extended to the left. A
-factor of W words or more is a duplicate span. Greedy factors may end inside
-a repeat that another reference continues, so windows that cross a factor's
-boundary are then checked exactly, in the anchor groups that have any.
+A shard is a reference block. Its index holds, in words, the suffixes of every
+document piece whose anchor falls to it and the reversed prefixes before the
+anchors, both sorted with their common prefixes. Each piece is factored
+against all pieces of the index greedily from the left: the factor at a place
+is the longest match that starts there and runs through the anchor, with a
+source other than the piece itself. A factor of W words or more is a
+duplicate span. The greedy factor may end inside a repeat that another source
+continues, so the parse goes on with the first window that crosses the
+factor's end, not behind it: every window is either inside a long factor or
+has been asked for at its own start, which makes the result exact.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .anchors import covered, find_repeats, repeated, sorted_lcp
+from .anchors import covered, find_repeats, sorted_lcp
 from .blocks import Block, Exchange, make_blocks
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -40,38 +43,68 @@ def word_symbols(block: Block):
     return sym, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
 
 
-def greedy_factors(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarray, groups: np.ndarray, W: int, k: int, rule: str) -> np.ndarray:
-    """Masks of repeated windows, as ``anchors.repeated`` gives them for "any"."""
+def factors(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, W: int, k: int) -> np.ndarray:
+    """The greedy parse of all pieces: rows of (piece, start before the
+    anchor, source, length), for each start that was asked for and has a
+    factor of W words or more."""
     n, far = len(ctx), W - k
-    if not n:
-        return np.zeros(0, np.uint64)
-    order, lcp = sorted_lcp(ctx[:, far:])
-    after = np.append(lcp[1:], 0)
-    back = lcp >= after  # the better of the two neighbours in suffix order
-    place = np.arange(n)
-    mate = order[np.where(back, np.maximum(place - 1, 0), np.minimum(place + 1, n - 1))]
-    row = order
-    reach = np.minimum(np.where(back, lcp, after), np.minimum(r[row], r[mate]))
-    left = np.empty(n, np.int64)
-    for a in range(0, n, 1 << 15):
-        same = ctx[row[a : a + (1 << 15)], far - 1 :: -1] == ctx[mate[a : a + (1 << 15)], far - 1 :: -1]
-        left[a : a + len(same)] = np.where(same.all(axis=1), far, np.argmin(same, axis=1))
-    left = np.minimum(left, np.minimum(l[row], l[mate]))
-    one = np.uint64(1)
-
-    def span(lo, hi):  # bits lo..hi
-        return np.where(hi >= lo, ((one << (hi - lo + 1).clip(0, 63).astype(np.uint64)) - one) << lo.clip(0, 63).astype(np.uint64), np.uint64(0))
-
-    mask = np.zeros(n, np.uint64)
-    mask[row] = np.where(mate != row, span(np.maximum(0, W - reach), np.minimum(left, far)), np.uint64(0))
-    whole = span(np.maximum(0, W - r), np.minimum(l, far))
-    gram = np.empty(n, np.int64)  # rows with one anchor k-gram
-    gram[order] = np.cumsum(lcp < k)
-    open_ = np.zeros(int(gram.max(initial=0)) + 1, bool)
-    open_[gram[(mask != whole)]] = True
-    rest = np.flatnonzero(open_[gram])
-    if len(rest):
-        mask[rest] |= repeated(ctx[rest], l[rest], r[rest], ids[rest], groups[rest], W, k, rule)
+    none = np.zeros((0, 4), np.int64)
+    if n < 2:
+        return none
+    after, before = ctx[:, far:], ctx[:, far - 1 :: -1] if far else np.zeros((n, 1), ctx.dtype)
+    order_r, lcp_r = sorted_lcp(after)
+    order_l, lcp_l = sorted_lcp(before)
+    rank = np.empty(n, np.int64)
+    rank[order_r] = np.arange(n)
+
+    def longest(order, lcp):
+        best = np.empty(n, np.int64)
+        best[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+        return best
+
+    # no other piece matches further to either side than the neighbours in order do
+    now = np.minimum(longest(order_l, lcp_l), np.minimum(l, far))
+    stop = np.maximum(0, W - np.minimum(longest(order_r, lcp_r), r))
+    side, out = np.empty(n, np.int64), []
+    for o in range(far, -1, -1):
+        asked = (now == o) & (stop <= o)
+        if not asked.any():
+            continue
+        side[order_l] = np.cumsum(lcp_l < o)  # class of the o words before the anchor
+        wanted = np.zeros(n + 1, bool)
+        wanted[side[asked]] = True
+        pool = np.flatnonzero(wanted[side] & (l >= o) & (r >= W - o))
+        pool = pool[np.lexsort((rank[pool], side[pool]))]
+        match = np.zeros(len(pool) + 1, np.int64)  # with the one before in suffix order
+        for a in range(1, len(pool), 1 << 15):
+            x, y = pool[a : a + (1 << 15)], pool[a - 1 : a + (1 << 15) - 1][: len(pool[a : a + (1 << 15)])]
+            same = after[x] == after[y]
+            reach = np.where(same.all(axis=1), after.shape[1], np.argmin(same, axis=1))
+            match[a : a + len(x)] = np.where(side[x] == side[y], np.minimum(reach, np.minimum(r[x], r[y])), 0)
+        back = match[:-1] >= match[1:]
+        reach = np.maximum(match[:-1], match[1:])
+        place = np.arange(len(pool))
+        source = pool[np.where(back, np.maximum(place - 1, 0), np.minimum(place + 1, len(pool) - 1))]
+        mine = asked[pool]
+        row, reach, source = pool[mine], reach[mine], source[mine]
+        long = o + reach >= W
+        out.append(np.stack([row[long], np.full(int(long.sum()), o), source[long], o + reach[long]], 1))
+        now[asked] = o - 1
+        now[row[long]] = W - reach[long] - 1
+    return np.concatenate(out) if out else none
+
+
+def greedy_spans(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarray, groups: np.ndarray, W: int, k: int, rule: str) -> np.ndarray:
+    """Masks of the windows inside long factors, as ``anchors.repeated``
+    gives them for "any"."""
+    mask = np.zeros(len(ctx), np.uint64)
+    found = factors(ctx, l, r, W, k)
+    if len(found):
+        row, o, _, length = found.T
+        low = np.maximum(0, W - (length - o))
+        one = np.uint64(1)
+        bits = ((one << (o - low + 1).astype(np.uint64)) - one) << low.astype(np.uint64)
+        np.bitwise_or.at(mask, row, bits)
     return mask
 
 
@@ -83,7 +116,8 @@ def dedup_spans(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     ``texts``. A null text has no words; a null id stays null; repeated rows
     are separate documents and remove each other's windows. Texts of fewer
     than W words stay. An empty table gives no rows. Only the two named
-    columns are read. Words are compared by their XXH64.
+    columns are read. Words are compared by their XXH64, whole contexts in the
+    first round by 128 bits of hash.
     """
     blocks = make_blocks(spark, df, id_col, text_col, block_bytes)
 
@@ -104,4 +138,4 @@ def dedup_spans(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
             out["kept"] = pa.array(kept, pa.binary())
         return pa.table(out)
 
-    return find_repeats(Exchange(blocks, block_bytes, shard_bytes), word_symbols, W, k, "any", finish, SCHEMA + ", kept binary" * texts, judge=greedy_factors)
+    return find_repeats(Exchange(blocks, block_bytes, shard_bytes), word_symbols, W, k, "any", finish, SCHEMA + ", kept binary" * texts, judge=greedy_spans)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -144,6 +145,113 @@ def test_substring_dedup_random(spark, monkeypatch, seed, bundle):
     assert sorted(map(tuple, got), key=repr) == brute_words([(i, t.encode().split()) for i, t in docs], 7)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_hot_anchors(spark, monkeypatch, seed):
+    """Anchors of many blocks are dealt by what stands beside them."""
+    monkeypatch.setattr(anchors, "HOT", 1)
+    docs = random_docs(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup.dedup_substrings(spark, df, W=20, k=8, block_bytes=600, shard_bytes=500).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_suffix([(i, t.encode()) for i, t in docs], 20)
+    words = rlz.dedup_spans(spark, df, W=7, k=3, block_bytes=600, shard_bytes=500).collect()
+    assert sorted(map(tuple, words), key=repr) == brute_words([(i, t.encode().split()) for i, t in docs], 7)
+
+
+class InMemory:
+    """The exchange, on lists."""
+
+    def __init__(self, payloads, shards):
+        self.payloads, self.shards = payloads, shards
+
+    def ask(self, fn):
+        return [(s, b, x) for b, p in self.payloads.items() for s, x in fn(b, blocks.Block(p))]
+
+    def answer(self, asked, fn):
+        out = []
+        for s in sorted({s for s, _, _ in asked}):
+            mine = [(b, x) for t, b, x in asked if t == s]
+            out += [(s, b, x) for b, x in fn([b for b, _ in mine], [x for _, x in mine])]
+        return out
+
+    def _of(self, answers, b):
+        return {s: x for s, c, x in answers if c == b}
+
+    def ask_again(self, answers, fn):
+        return [(s, b, x) for b, p in self.payloads.items() if (got := self._of(answers, b)) for s, x in fn(b, blocks.Block(p), got)]
+
+    def resume(self, answers, fn, schema):
+        return [fn(b, blocks.Block(p), self._of(answers, b)) for b, p in self.payloads.items()]
+
+
+@pytest.mark.parametrize("unit", [b"x", b"ab", b"-=+ "])
+def test_periodic_texts_take_bounded_memory(unit):
+    """Two blocks of 4 MB that hold the same run: every position is an anchor."""
+    text = unit * ((4 << 20) // len(unit))
+    payloads = {b: blocks._payload([b], [0], [text]) for b in (1, 2)}
+    gone = {}
+
+    def finish(block, sym, starts, ends, dup):
+        gone[int(block.ids[0])] = int(anchors.covered(dup, 50).sum())
+
+    tracemalloc.start()
+    anchors.find_repeats(InMemory(payloads, 4), suffix_dedup._bytes, 50, 20, "smaller", finish, "")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert gone == {1: 0, 2: len(text)}
+    assert peak < 400 << 20
+
+
+def test_contexts_are_compared_on_their_symbols(monkeypatch):
+    """Equal hashes of other contexts don't join them."""
+    rng = np.random.default_rng(2)
+    sym = rng.integers(0, 2, 400).astype(np.uint8)
+    pos = np.arange(20, 380)
+    l, r = np.full(360, 4, np.int16), np.full(360, 6, np.int16)
+    around = anchors.Contexts(sym, 4, 6)
+    rep, order, at, size = anchors.context_classes(around, np.ones(360, np.uint64), pos, l, r, None, np.zeros(360, np.int64))
+    got = {tuple(sorted(pos[order[i : i + n]])) for i, n in zip(at, size)}
+    want = _groups({int(p): bytes(sym[p - 4 : p + 6]) for p in pos})
+    assert got == {tuple(sorted(g)) for g in want.values()}
+
+
+def test_greedy_parse():
+    """Factors of pieces against a plain search: at each start that the parse asks for, the longest match with another piece."""
+    rng = random.Random(3)
+    W, k = 9, 3
+    far = W - k
+    text = [rng.randint(1, 2) for _ in range(400)]
+    rows, l, r = [], [], []
+    for at in sorted(rng.sample(range(len(text)), 120)):
+        left, right = min(at, far, rng.randint(0, 9)), min(len(text) - at, W, rng.randint(k, 12))
+        piece = [0] * (far - left) + text[at - left : at + right] + [0] * (W - right)
+        if (piece, left, right) not in zip(rows, l, r):
+            rows.append(piece), l.append(left), r.append(right)
+    ctx, l, r = np.array(rows, np.uint32), np.array(l), np.array(r)
+
+    def match(i, j, o):
+        """Words that pieces i and j share from o before the anchor, if through it."""
+        if min(l[i], l[j]) < o:
+            return 0
+        n = 0
+        while n < o + min(r[i], r[j]) and rows[i][far - o + n] == rows[j][far - o + n]:
+            n += 1
+        return n
+
+    want = []
+    for i in range(len(rows)):
+        o = min(far, int(l[i]))
+        while o >= 0:
+            best = max((match(i, j, o) for j in range(len(rows)) if j != i), default=0)
+            if best >= W:
+                want.append((i, o, best))
+                o = W - (best - o) - 1
+            else:
+                o -= 1
+    found = rlz.factors(ctx, l, r, W, k)
+    assert sorted((i, o, n) for i, o, _, n in found.tolist()) == sorted(want) and want
+    assert all(i != j and match(i, j, o) == n for i, o, j, n in found.tolist())
+
+
 def test_passages_odd(spark, odd, empty):
     # the long runs of one symbol make brute force slow, so they stand alone
     rows = [(i, (t or "").encode()) for i, t in ODD if i not in (7, 8, 10)]
