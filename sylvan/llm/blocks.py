@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ready_python, stage
+from .shared import lean, lean_group, lean_pair, ready_python, stage
 
 NULL_ID = np.iinfo(np.int64).max
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, payload binary"
@@ -54,7 +54,7 @@ class Block:
         return pa.array(self.ids, pa.int64(), mask=self.null)
 
 
-def _payload(ids: list, groups: list, texts: list[bytes]) -> bytes:
+def _payload(ids: list, groups: list, texts: list[bytes], level: int = 3) -> bytes:
     n = len(ids)
     parts = [
         n.to_bytes(8, "little"),
@@ -64,13 +64,14 @@ def _payload(ids: list, groups: list, texts: list[bytes]) -> bytes:
         np.array([len(t) for t in texts], np.int64).tobytes(),
         *texts,
     ]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
-def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, block_bytes: int, group: F.Column | None = None) -> DataFrame:
+def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, block_bytes: int, group: F.Column | None = None, level: int = 3) -> DataFrame:
     """Stage ``df`` as blocks of about ``block_bytes`` of text (one document
     at least). A null text is an empty one; a null id is kept as null.
-    ``group`` (a long) may tie documents, such as the pages of a host."""
+    ``group`` (a long) may tie documents, such as the pages of a host;
+    ``level`` is zstd's."""
 
     def rows(batches):
         part, seq = TaskContext.get().partitionId() << 32, 0
@@ -87,7 +88,7 @@ def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
             yield flush(part + seq, ids, groups, texts, size)
 
     def flush(block, ids, groups, texts, size):
-        return pa.RecordBatch.from_pydict({"block": [block], "n_docs": [len(ids)], "n_bytes": [size], "payload": pa.array([_payload(ids, groups, texts)], pa.binary())})
+        return pa.RecordBatch.from_pydict({"block": [block], "n_docs": [len(ids)], "n_bytes": [size], "payload": pa.array([_payload(ids, groups, texts, level)], pa.binary())})
 
     ready_python(spark)
     source = df.select(
@@ -95,7 +96,7 @@ def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
         (group if group is not None else F.lit(0)).cast("long").alias("grp"),
         F.col(text_col).cast("string").alias("text"),
     )
-    return stage(spark, source.mapInArrow(rows, BLOCK_SCHEMA), "blocks")
+    return stage(spark, source.mapInArrow(lean(rows), BLOCK_SCHEMA), "blocks")
 
 
 def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -153,7 +154,7 @@ class Exchange:
     """Questions of blocks, answers of shards, and blocks that go on with them."""
 
     def __init__(self, blocks: DataFrame, block_bytes: int, shard_bytes: int):
-        total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        self.total = total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
         self.blocks, self.bundle = blocks.select("block", "payload"), bundle_size(total, block_bytes)
         self.shards = max(8, -(-total // max(shard_bytes, math.isqrt(total * LEAST_BLOB))))
 
@@ -175,7 +176,7 @@ class Exchange:
             if rows:
                 yield _framed(rows)
 
-        return self.blocks.mapInArrow(run, BLOB_SCHEMA)
+        return self.blocks.mapInArrow(lean(run), BLOB_SCHEMA)
 
     def answer(self, questions: DataFrame, fn: Callable[[list[int], list[bytes]], list[tuple[int, bytes]]]) -> DataFrame:
         """``fn(block ids, blobs)`` of a shard gives (block id, blob) answers."""
@@ -189,7 +190,7 @@ class Exchange:
             return pa.Table.from_batches([_framed(rows)])
 
         # a task for each shard: hashed over fewer partitions, some would hold several
-        return questions.repartitionById(self.shards, F.col("shard")).groupBy("shard").applyInArrow(run, BLOB_SCHEMA)
+        return questions.repartitionById(self.shards, F.col("shard")).groupBy("shard").applyInArrow(lean_group(run), BLOB_SCHEMA)
 
     def _meet(self, answers: DataFrame, run, schema: str) -> DataFrame:
         n = self.bundle
@@ -197,7 +198,7 @@ class Exchange:
         left = self.blocks.select(bundle.alias("bundle"), "block", "payload")
         right = answers.select(F.col("block").alias("bundle"), "shard", "blob")
         # answers exist only for blocks, so a left side is always there
-        return left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(run, schema)
+        return left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(lean_pair(run), schema)
 
     def resume(self, answers: DataFrame, fn: Callable[[int, Block, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
         """Each block meets its answers by shard: ``fn(block id, block, answers)``

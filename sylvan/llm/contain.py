@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import _gram_hash
-from .shared import Shared, mix64, ready_python
+from .shared import Shared, lean, mix64, ready_python
 
 MATCHES = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
 #: An index block that executors hold at once: items and bytes at most.
@@ -125,14 +125,16 @@ def find_items(spark: SparkSession, df: DataFrame, benchmark: DataFrame, id_col:
                     _cut(known)
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64()] * 4 + [pa.float64()])], ["doc_id", "item_id", "n_shingles", "n_found", "containment"])
 
-        part = docs.mapInArrow(run, MATCHES)
+        part = docs.mapInArrow(lean(run), MATCHES)
         out = part if out is None else out.union(part)
     return out
 
 
 def decontaminate(spark: SparkSession, df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` without the rows whose text contains an item; rows pass through
-    unchanged, whatever their columns."""
+    unchanged, whatever their columns. A null or empty text contains nothing
+    and stays, as do all rows where the benchmark is empty; repeated rows are
+    judged each."""
     for index in index_blocks(spark, benchmark):
 
         def run(batches, index=index):
@@ -144,5 +146,5 @@ def decontaminate(spark: SparkSession, df: DataFrame, benchmark: DataFrame, text
                     _cut(known)
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
+        df = df.mapInArrow(lean(run), df.schema)
     return df

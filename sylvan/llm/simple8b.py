@@ -8,13 +8,17 @@ offset of each block's first word is stored, so blocks decode independently.
 
 Section layout (little-endian): "S8B1", number of documents, ids, blocks and
 words (u64 each), document ids (i64), null flags (u8), lengths (u64), block
-offsets (u64), words (u64). Sections are the rows of a Parquet table, which
-gives them an atomic commit and a store that every executor can reach.
+offsets (u64), words (u64). Sections are the rows of a Parquet table (part,
+seq, within: the ids of the part before the section, n_ids, section), which
+gives them an atomic commit and a store that every executor can reach. The
+table stays where it was written; a section starts at the ids of all parts
+before its own, plus ``within``.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
 import zlib
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import mix64, ready_python, stage
+from .shared import lean, mix64, ready_python, shared_dir
 
 BLOCK = 128
 #: Ids in a word, and bits of each, by selector.
@@ -33,8 +37,8 @@ ESCAPE = 15
 _PAYLOAD = np.uint64((1 << 60) - 1)
 SECTION_IDS = 1 << 18
 GROUP_BYTES = 2 << 20
-SECTIONS = "part int, seq int, n_ids long, section binary"
-CACHED_WORDS = 3_000_000
+SECTIONS = "part int, seq int, within long, n_ids long, section binary"
+CACHED_WORDS = 1_000_000
 LONGEST = 256
 _PUNCTUATION = string.punctuation.encode()
 _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -329,21 +333,26 @@ def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2], _LOWER[raw]
 
 
-def write_tokens(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stage the sections of ``df`` in ascending document order and return
-    the table of them. Documents are range-partitioned by id; null ids come
-    first, rows with one id are ordered by their texts, a null text is empty
-    and has the end id alone."""
+def write_tokens(spark: SparkSession, df: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the sections of ``df`` in ascending document order to ``path``
+    (a new folder ``tokens-...`` in the shared one if none is given) and
+    return the table of them; the files stay.
+
+    Documents are range-partitioned by id, and rows of one id by a hash of
+    the text, so that an id with very many rows is dealt over partitions too;
+    that hash, then the text, orders them. Null ids come first. A null text
+    is empty and has the end id alone. An empty table gives no rows.
+    """
     ready_python(spark, 8)
 
     def run(batches):
         words = WordTokenizer.of_worker(tokenizer)
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, within = TaskContext.get().partitionId(), 0, 0
         ids, lengths, parts, n = [], [], [], 0
 
         def flush():
             section = pack_section(ids, lengths, np.concatenate(parts))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([section], pa.binary())], ["part", "seq", "n_ids", "section"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([within], pa.int64()), pa.array([n], pa.int64()), pa.array([section], pa.binary())], ["part", "seq", "within", "n_ids", "section"])
 
         def groups():
             """Some documents at a time, about 2 MB."""
@@ -368,22 +377,25 @@ def write_tokens(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int
                 a, n = a + m, n + m
                 if n >= SECTION_IDS:
                     yield flush()
-                    seq, ids, lengths, parts, n = seq + 1, [], [], [], 0
+                    seq, within, ids, lengths, parts, n = seq + 1, within + n, [], [], [], 0
         if ids:
             yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return stage(spark, docs.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(run, SECTIONS), "tokens")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"), F.col(text_col).cast("string").alias("text"))
+    path = path or f"{shared_dir(spark)}/sylvan/tokens-{uuid.uuid4().hex}"
+    docs.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text").mapInArrow(lean(run), SECTIONS).write.option("compression", "uncompressed").parquet(path)
+    return spark.read.schema(SECTIONS).parquet(path)
 
 
 def read_tokens(spark: SparkSession, sections: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the documents in a token table.
-    Sums of ids by partition, then by section, give each section's start."""
+    Sums of ids by part (a row for each task that wrote, in one task, then
+    broadcast) give the starts; sections are read where they lie."""
     ready_python(spark)
-    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = sections.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).withColumn("base", before(Window.partitionBy().orderBy("part"))).select("part", "base")
-    starts = sections.select("part", "seq", "n_ids").withColumn("within", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part").select("part", "seq", (F.col("base") + F.col("within")).alias("start"))
+    parts = sections.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(parts.select("part", before.alias("base")))
 
     def run(batches):
         for batch in batches:
@@ -393,9 +405,10 @@ def read_tokens(spark: SparkSession, sections: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=null), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return sections.select("part", "seq", "section").join(starts, ["part", "seq"]).select("start", "section").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return sections.select("part", "within", "section").join(starts, "part").select((F.col("base") + F.col("within")).alias("start"), "section").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the token files of ``df`` and read them back: a row per document."""
-    return read_tokens(spark, write_tokens(spark, df, tokenizer, end_id, id_col, text_col))
+def tokenize(spark: SparkSession, df: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the token files of ``df`` (see ``write_tokens`` for nulls, ties
+    and where they lie) and read them back: a row per document."""
+    return read_tokens(spark, write_tokens(spark, df, tokenizer, path, end_id, id_col, text_col))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .anchors import anchors, covered, find_repeats
 from .blocks import Block, Exchange, make_blocks
-from .shared import mix64
+from .shared import lean, mix64
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SAMPLED_BLOCKS, SAMPLED_PER_BLOCK = 64, 256
@@ -47,7 +47,7 @@ def sampled_splitters(blocks: DataFrame, W: int, k: int, shards: int) -> tuple[n
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array([np.stack([lead, mix64(key[some])]).tobytes()], pa.binary())})
 
     some = blocks.select("block").orderBy(F.xxhash64("block")).limit(SAMPLED_BLOCKS)
-    rows = blocks.select("block", "payload").join(some, "block", "left_semi").select("payload").mapInArrow(run, "anchor binary").collect()
+    rows = blocks.select("block", "payload").join(some, "block", "left_semi").select("payload").mapInArrow(lean(run), "anchor binary").collect()
     lead, key = np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(r.anchor, np.uint64).reshape(2, -1) for r in rows)], axis=1)
     if not len(lead):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
