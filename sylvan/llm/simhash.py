@@ -6,9 +6,10 @@ Hamming distance, so fingerprints within 2 bits lie within 2 steps on that
 grid, and then share a cell when each takes its own cell and those one step
 away (two points two steps apart have a point between them). Pairs of a
 shared cell are verified on the fingerprints themselves. Cells with more
-than ``DENSE`` fingerprints are not paired: their fingerprints meet instead
-at the 65 values within one bit, which link exactly those within 2 bits,
-with at most 65 fingerprints at each value.
+than ``DENSE`` fingerprints are not paired but refined: their fingerprints
+meet again on the grid of 2-bit segments, and, where that is dense too, on
+that of single bits, whose cells hold at most 65 fingerprints, all within 2
+bits of each other. Every level joins all pairs within 2 bits.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, ready_python, stage
+from .shared import fresh, lean, ready_python, stage
 
 DENSE = 32
 _PIECE = 1 << 20
@@ -62,56 +63,57 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits in a long."""
+def fingerprints(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp): fp holds the 64 bits in a long; with ``carry``, that
+    string column too, as ``key``."""
     ready_python(spark)
+    key = ["key"] * bool(carry)
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in batch["text"].cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64)), *(batch[k] for k in key)], ["doc_id", "fp", *key])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(carry).alias(k) for k in key))
+    return source.mapInArrow(lean(run), "doc_id long, fp long" + ", key string" * bool(carry))
 
 
-def _cells(distinct: DataFrame) -> DataFrame:
+#: Cells by bits of a segment: SQL of the counts, each in its segment's own bits (no sum may carry beyond the sign), and a mask of these.
+_COUNTS = {
+    4: (" + ".join(f"(shiftrightunsigned(fp, {i}) & 1229782938247303441L)" for i in range(4)), 15),
+    2: ("((fp & 6148914691236517205L) ^ (shiftrightunsigned(fp, 1) & 6148914691236517205L)) | shiftleft(fp & shiftrightunsigned(fp, 1) & 6148914691236517205L, 1)", 3),
+    1: ("fp", 1),
+}
+
+
+def _cells(distinct: DataFrame, width: int) -> DataFrame:
     """(fp, cell): the fingerprint's cell and those one step away. A cell
-    packs the sixteen counts (0 to 4) into the nibbles of a long."""
-    return (
-        distinct.selectExpr("fp", " + ".join(f"(shiftrightunsigned(fp, {i}) & 1229782938247303441L)" for i in range(4)) + " AS cell")
-        .selectExpr(
-            "fp",
-            """explode(array_compact(concat(array(cell), flatten(transform(sequence(0, 60, 4), s -> array(
-                 if((shiftrightunsigned(cell, s) & 15L) < 4, cell + shiftleft(1L, s), NULL),
-                 if((shiftrightunsigned(cell, s) & 15L) > 0, cell - shiftleft(1L, s), NULL))))))) AS cell""",
-        )
-    )
+    packs the counts (0 to ``width``) of its segments."""
+    count, field = _COUNTS[width]
+    f = f"(shiftrightunsigned(cell, s) & {field}L)"
+    step = lambda test, by: f"if({f} {test}, cell ^ shiftleft({f} ^ ({f} {by}), s), NULL)"
+    return distinct.selectExpr("fp", f"{count} AS cell").selectExpr(
+        "fp", f"explode(array_compact(concat(array(cell), flatten(transform(sequence(0, {64 - width}, {width}), s -> array({step(f'< {width}', '+ 1')}, {step('> 0', '- 1')})))))) AS cell"
+    )
 
 
 def links(spark: SparkSession, distinct: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs of fingerprints
     within 2 bits. ``distinct`` has a row per fingerprint."""
-    cells = _cells(distinct.select("fp"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    near = stage(spark, cells.join(shared, "cell"), "near")
-    pairs = (
-        near.where(F.col("n") <= DENSE)
-        .groupBy("cell")
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .selectExpr("fps", "explode(fps) AS a")
-        .selectExpr("a", "explode(filter(fps, b -> b > a AND bit_count(a ^ b) <= 2)) AS b")
-    )
-    meets = (
-        near.where(F.col("n") > DENSE)
-        .select("fp")
-        .distinct()
-        .selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), s -> fp ^ shiftleft(1L, s)))) AS at")
-        .groupBy("at")
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .where(F.size("fps") > 1)
-        .selectExpr("fps[0] AS a", "explode(slice(fps, 2, 65)) AS b")
-    )
-    return pairs.union(meets).distinct()
+    out, rest = None, distinct.select("fp")
+    for width in _COUNTS:
+        cells = _cells(rest, width)
+        shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        near = stage(spark, cells.join(shared, "cell"), "near")
+        few = near.where(F.col("n") <= DENSE) if width > 1 else near
+        together = few.groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # DENSE or 65 at most
+        if width > 1:
+            pairs = together.selectExpr("fps", "explode(fps) AS a").selectExpr("a", "explode(filter(fps, b -> b > a AND bit_count(a ^ b) <= 2)) AS b")
+        else:
+            pairs = together.selectExpr("fps[0] AS a", "explode(slice(fps, 2, 65)) AS b")
+        out = pairs if out is None else out.union(pairs)
+        rest = near.where(F.col("n") > DENSE).select("fp").distinct()
+    return out.distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -128,15 +130,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             out = out.where("b < a").select(F.col("b").alias("x"), "m").union(low.where("m < a").select(F.col("a").alias("x"), "m"))
         return out.where("x <> m").selectExpr("m AS a", "x AS b").distinct()
 
-    state = lambda e: e.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1000003).cast("long"))).first()
     now = stage(spark, edges.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").where("a <> b").distinct(), "edges")
-    was = state(now)
-    while was[0]:
-        now = stage(spark, star(star(now, True), False), "edges")
-        at = state(now)
-        if tuple(at) == tuple(was):
+    while not now.isEmpty():
+        was, now = now, stage(spark, star(star(now, True), False), "edges")
+        if now.join(was, ["a", "b"], "left_anti").isEmpty() and was.join(now, ["a", "b"], "left_anti").isEmpty():
             break
-        was = at
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).union(now.select("a", "a").distinct())
 
 
@@ -159,10 +157,19 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
 
 
 def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: the one of least id,
-    with its own columns. Rows that repeat an id and its text stay once."""
-    none, key = F.lit(-(1 << 63)), fresh(df, "group_key")
-    groups = near_duplicates(spark, df, id_col, text_col)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias(key))
-    keyed = df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), none))
-    return keyed.join(first, key, "left_semi").dropDuplicates([key, text_col]).drop(key)
+    """One row of each group of near-duplicates, with its own columns: that
+    of the least id (null last), then by a hash of id and text. Of rows equal
+    in both one stays too, whatever their ids; a null text counts as empty.
+
+    Rows are known by that hash (128 bits), so groups are formed without the
+    texts, which are shuffled once, to meet the hashes of the rows that stay.
+    """
+    key, n = fresh(df, "row_key"), fresh(df, "row_n")
+    of = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    docs = stage(spark, fingerprints(spark, df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), of.alias("key")), "doc_id", "text", carry="key"), "fingerprints")
+    roots = components(spark, links(spark, stage(spark, docs.select("fp").distinct(), "distinct")))
+    rooted = docs.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select(F.col("least.key").alias(key))
+    kept = df.withColumn(key, of).join(first, key, "left_semi")
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return kept.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(key, n)
