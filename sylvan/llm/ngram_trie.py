@@ -1,23 +1,25 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Counts are gathered over the whole training corpus: every block of documents
-sends its distinct n-grams (64-bit hashes, with its training counts) to
-shards by key range, and gets the corpus counts of just these back. From
-them it builds the slice of the trie that its own texts can touch: words at
-the first level, each with its back-off weight and the pointers to its
+sends its distinct n-grams (hashes, with its training counts) to shards by
+key range, and gets the corpus counts of just these back. From them it
+builds the slice of the trie that its own texts can touch: words at the
+first level, each with its back-off weight and the pointers to its
 successors, and below it the successors of each context in ascending order.
 Pointers and successors are monotone and Elias-Fano coded, smoothed log
-probabilities are quantised to 16 bits, and the levels are memory-mapped.
-No process ever holds the model of the corpus.
+probabilities are quantised to 16 bits. A slice is one memory-mapped buffer,
+and is searched as it is coded: a context-relative successor search selects
+the bucket of the high bits by a directory of counts, then compares low bits
+within it. No process ever holds the model of the corpus.
 
 Smoothing is hierarchical: p1(w) = (c(w) + 1) / (N + V + 1) and
-pn(w | h) = (c(hw) + mu p(w | h')) / (c(h) + mu).
+pn(w | h) = (c(hw) + mu_n p(w | h')) / (c(h) + mu_n).
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import math
+import mmap
 import zlib
 
 import numpy as np
@@ -32,43 +34,82 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 #: Not words: white space never lies in one.
 END, START = b" ", b"\n"
 STEP = 1 / 1024  # of a quantised log10 probability
+#: Weights of the lower order, for orders 2, 3, ...; the last holds for all beyond.
+MU = (200.0, 5.0)
+#: Keys of n-grams have the bits of the corpus's size in bytes and so many more: about one in 2 ** ODDS (a byte being some sixth of an n-gram) shares its key with another.
+ODDS = 12
 _TOTALS = -1
+_P = np.uint64(0x9E3779B97F4A7C15)
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").cumsum(axis=1).astype(np.uint8)
+#: Place of the j-th bit that is set in a byte.
+_NTH = np.stack([np.argmax(_ONES > j, axis=1) for j in range(8)], 1).astype(np.int64)
 
 
 class EliasFano:
-    """A monotone sequence of integers: low bits as they are, high bits in
-    unary. ``successor`` finds the first place whose value is not less."""
+    """A monotone sequence of integers: low bits packed, high bits in unary,
+    and the ones before every 64 bits of these. ``high`` and ``low`` are
+    whole 64-bit words."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, bits: int, n: int):
-        self.low, self.high, self.bits, self.n = low, high, bits, n
-        self._values: np.ndarray | None = None
+    def __init__(self, low: np.ndarray, high: np.ndarray, before: np.ndarray, bits: int, n: int):
+        self.low, self.high, self.before, self.bits, self.n = low, high, before, bits, n
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         v = np.asarray(values, np.uint64)
         top = int(v[-1]) if n else 0
-        bits = max(0, (max(top, 1) // max(n, 1)).bit_length() - 1)
-        raw = np.unpackbits(v.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - bits :] if n else np.zeros((0, bits), np.uint8)
-        unary = np.zeros((top >> bits) + n + 1, np.uint8)
+        bits = min(56, max(0, (max(top, 1) // max(n, 1)).bit_length() - 1))
+        raw = np.unpackbits(v.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :bits] if n else np.zeros((0, bits), np.uint8)
+        unary = np.zeros((((top >> bits) + n) // 64 + 1) * 64, np.uint8)
         unary[(v >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(np.packbits(raw.ravel()), np.packbits(unary), bits, n)
-
-    def values(self) -> np.ndarray:
-        if self._values is None:
-            high = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-            raw = np.unpackbits(self.low, count=self.n * self.bits).reshape(self.n, self.bits)
-            full = np.zeros((self.n, 64), np.uint8)
-            full[:, 64 - self.bits :] = raw
-            low = np.packbits(full, axis=1).view(">u8").ravel().astype(np.int64) if self.n else np.zeros(0, np.int64)
-            self._values = (high.astype(np.int64) << self.bits) | low
-        return self._values
+        low = np.packbits(raw.ravel(), bitorder="little")
+        low = np.concatenate([low, np.zeros(-len(low) % 8 + 8, np.uint8)]).view(np.uint64)
+        ones = unary.reshape(-1, 64).sum(axis=1)
+        return cls(low, np.packbits(unary, bitorder="little").view(np.uint64), (np.cumsum(ones) - ones).astype(np.uint32), bits, n)
+
+    def _select(self, j: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the j-th one, or zero, of the unary bits."""
+        before = self.before if ones else (np.arange(len(self.before), dtype=np.int64) * 64 - self.before)
+        word = np.searchsorted(before, j, side="right") - 1
+        x = self.high[word] if ones else ~self.high[word]
+        parts = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
+        upto = _ONES[parts, 7].cumsum(axis=1, dtype=np.int64)
+        rest = j - before[word]
+        byte = (upto <= rest[:, None]).sum(axis=1)
+        at = np.arange(len(j))
+        rest = rest - (upto[at, byte] - _ONES[parts[at, byte], 7])
+        return word * 64 + byte * 8 + _NTH[parts[at, byte], rest]
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(i), np.int64)
+        at = i * self.bits
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        x = self.low[word] >> off
+        over = np.where(off > 0, self.low[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+        return ((x | over) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def __getitem__(self, i) -> np.ndarray:
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        return ((self._select(i, True) - i) << self.bits) | self._low(i)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.values(), x)
-
-    def __getitem__(self, at) -> np.ndarray:
-        return self.values()[at]
+        """The first place whose value is not less than x, of each x."""
+        x = np.asarray(x, np.int64)
+        high, low = x >> self.bits, x & ((1 << self.bits) - 1)
+        zeros = len(self.high) * 64 - self.n
+        beyond = high >= zeros
+        h = np.where(beyond, 0, high)
+        # values with smaller high bits, and with these
+        a = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - np.maximum(h - 1, 0), 0)
+        b = self._select(h, False) - h
+        size = int((b - a).max(initial=0))
+        while size:
+            mid = (a + b) >> 1
+            less = (mid < b) & (self._low(np.minimum(mid, max(self.n - 1, 0))) < low)
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            size >>= 1
+        return np.where(beyond, self.n, a)
 
 
 def quantise(log10p: np.ndarray) -> np.ndarray:
@@ -92,51 +133,52 @@ class Trie:
         self.levels[-1]["pointers"] = EliasFano.encode(np.searchsorted(parent, np.arange(above + 1)))
         self.levels.append({"next": EliasFano.encode(parent.astype(np.int64) * self.words + word), "p": p, "back": back})
 
-    def save(self, folder: str) -> None:
-        for i, level in enumerate(self.levels):
-            for name, x in level.items():
-                if isinstance(x, EliasFano):
-                    x.low.tofile(f"{folder}/{i}.{name}.low.{x.bits}.{x.n}")
-                    x.high.tofile(f"{folder}/{i}.{name}.high.{x.bits}.{x.n}")
-                else:
-                    x.tofile(f"{folder}/{i}.{name}")
-
-    @classmethod
-    def open(cls, folder: str, words: int) -> Trie:
-        """Levels mapped from the files, not read."""
-        take = lambda f, kind: np.memmap(f, kind, "r") if os.path.getsize(f) else np.zeros(0, kind)
-        levels: dict[int, dict] = {}
-        for f in sorted(os.listdir(folder)):
-            i, name, *rest = f.split(".")
-            level = levels.setdefault(int(i), {})
-            if not rest:
-                level[name] = take(f"{folder}/{f}", np.uint16)
-            elif rest[0] == "low":
-                bits, n = int(rest[1]), int(rest[2])
-                high = f"{folder}/{i}.{name}.high.{bits}.{n}"
-                level[name] = EliasFano(take(f"{folder}/{f}", np.uint8), take(high, np.uint8), bits, n)
-        out = cls(words, levels[0]["p"], levels[0]["back"])
-        out.levels = [levels[i] for i in sorted(levels)]
-        return out
+    def mapped(self) -> Trie:
+        """The same trie on one memory-mapped buffer, beside nothing else."""
+        arrays = [(level, name, x) for level in self.levels for name, x in level.items()]
+        flat = [a for _, _, x in arrays for a in ((x.low, x.high, x.before) if isinstance(x, EliasFano) else (x,))]
+        size = sum(-(-a.nbytes // 8) * 8 for a in flat)
+        buffer, at, out = mmap.mmap(-1, max(size, 8)), 0, []
+        for a in flat:
+            buffer[at : at + a.nbytes] = np.ascontiguousarray(a).tobytes()
+            out.append(np.frombuffer(buffer, a.dtype, len(a), at) if len(a) else a)
+            at += -(-a.nbytes // 8) * 8
+        found = iter(out)
+        new = Trie(self.words, self.levels[0]["p"], self.levels[0]["back"])
+        new.levels = [{name: EliasFano(next(found), next(found), next(found), x.bits, x.n) if isinstance(x, EliasFano) else next(found) for name, x in level.items()} for level in self.levels]
+        return new
 
     def find(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Nodes of a level (0 is the first) by parent and word, -1 if none:
         the successor of the pair must lie between the parent's pointers."""
         up, here = self.levels[level - 1], self.levels[level]
-        at = here["next"].successor(parent.astype(np.int64) * self.words + word)
-        ok = (parent >= 0) & (at < up["pointers"][np.maximum(parent, 0) + 1])
-        ok[ok] = here["next"][at[ok]] == parent[ok].astype(np.int64) * self.words + word[ok]
-        return np.where(ok, at, -1)
+        if not here["next"].n:
+            return np.full(len(parent), -1)
+        want = parent.astype(np.int64) * self.words + word
+        at = here["next"].successor(np.where(parent >= 0, want, 0))
+        ok = np.flatnonzero((parent >= 0) & (at < here["next"].n))
+        ok = ok[at[ok] < up["pointers"][parent[ok] + 1]]
+        ok = ok[here["next"][at[ok]] == want[ok]]
+        out = np.full(len(parent), -1)
+        out[ok] = at[ok]
+        return out
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def key_bits(total: int) -> int:
+    """Bits of an n-gram's key in a corpus of so many bytes."""
+    return min(64, max(total, 1).bit_length() + ODDS)
+
+
 class Grams:
-    """The n-grams of a block. Words are numbered by their hashes."""
+    """The n-grams of a block, by level: distinct keys (ascending), training
+    counts in the block, and each position's n-gram (-1 where the document
+    has too few tokens before). Words are numbered by their hashes."""
 
-    def __init__(self, block: Block, order: int):
+    def __init__(self, block: Block, order: int, bits: int = 64):
         local: dict[bytes, int] = {END: 0, START: 1}
         parts, n_tokens = [], []
         for text in block.texts():
@@ -146,8 +188,7 @@ class Grams:
                     local[w] = len(local)
             parts.append(np.array([*map(local.__getitem__, words), 0], np.int32))
             n_tokens.append(len(words) + 1)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
-        self.hashes, number = np.unique(mix64(hashes), return_inverse=True)
+        self.hashes, number = np.unique(mix64(np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))), return_inverse=True)
         self.words = len(self.hashes)
         self.token = number[np.concatenate(parts)].astype(np.int64) if parts else np.zeros(0, np.int64)
         self.end, self.start = int(number[0]), int(number[1])
@@ -157,54 +198,69 @@ class Grams:
         train = ~np.repeat(self.held, self.n_tokens)
         counts = np.bincount(self.token, train, self.words).astype(np.int64)
         counts[self.start] = int((~self.held).sum())
-        #: by level: keys of the distinct n-grams (ascending), their training counts in the block, and each position's n-gram
         self.keys, self.counts, self.at = [self.hashes], [counts], [self.token]
-        self.parents: list[np.ndarray] = [np.zeros(0, np.int64)]
-        self.last: list[np.ndarray] = [np.arange(self.words)]
-        self.shorter: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.before: list[np.ndarray] = [self.token]  # each position's context, of the level above
+        place = np.arange(len(self.token)) - np.repeat(self.first, self.n_tokens)
+        cut = np.uint64(((1 << bits) - 1) << (64 - bits))
+        key = self.hashes[self.token]
         for n in range(2, order + 1):
-            before = np.empty(len(self.token), np.int64)  # the context's n-gram of the level above
-            before[1:] = self.at[-1][:-1]
-            before[self.first] = self.start if n == 2 else -1
-            pair, inv = np.unique(before * self.words + self.token, return_inverse=True)
-            real = pair >= 0
-            parent, word = np.where(real, pair // self.words, -1), np.where(real, pair % self.words, 0)
+            before, own = np.empty(len(self.token), np.int64), np.empty(len(self.token), np.uint64)
+            before[1:], own[1:] = self.at[-1][:-1], key[:-1]
+            if n == 2:
+                before[self.first], own[self.first] = self.start, self.hashes[self.start]
+            real = place >= n - 2
             with np.errstate(over="ignore"):
-                key = mix64(self.keys[-1][np.maximum(parent, 0)] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[word] + np.uint64(n))
-            key[~real] = 0
-            order_ = np.argsort(key, kind="stable")
-            rank = np.empty(len(key), np.int64)
-            rank[order_] = np.arange(len(key))
-            where = rank[inv]
-            count = np.bincount(where, train, len(key)).astype(np.int64)
-            self.keys.append(key[order_]), self.counts.append(count), self.at.append(where)
-            self.parents.append(parent[order_]), self.last.append(word[order_])
-            shorter = np.zeros(len(key), np.int64)
-            shorter[where] = self.at[-2]  # the same words without the first
-            self.shorter.append(shorter)
-
-
-def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mu: float = 50.0, block_bytes: int = 5 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
+                key = mix64(own * _P + self.hashes[self.token] + np.uint64(n))
+            uniq, inv = np.unique(key[real] & cut, return_inverse=True)
+            at = np.full(len(key), -1)
+            at[real] = inv
+            self.keys.append(uniq), self.at.append(at), self.before.append(before)
+            self.counts.append(np.bincount(inv, train[real], len(uniq)).astype(np.int64))
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the n-grams of level n (0 are the words): the context and the
+        same words without the first, in the level above, and the last word."""
+        real = np.flatnonzero(self.at[n] >= 0)
+        one = np.empty(len(self.keys[n]), np.int64)
+        one[self.at[n][real]] = real
+        return self.before[n][one], self.at[n - 1][one], self.token[one]
+
+
+def _slim(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes, those of 255 or more apart."""
+    return {"s": np.minimum(counts, 255).astype(np.uint8), "b": counts[counts >= 255].astype(np.uint64)}
+
+
+def _full(x: dict[str, np.ndarray], name: str) -> np.ndarray:
+    out = x[name + "s"].astype(np.int64)
+    out[out == 255] = x[name + "b"].astype(np.int64)
+    return out
+
+
+def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, mu: tuple[float, ...] = MU, block_bytes: int = 5 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
     """One row per document (``SCHEMA``). Documents whose crc32(id as text)
     mod 7 is 2 are held out; the model learns from all others.
 
     A null text is empty and has the end alone; a null id is learned from;
     repeated rows count each time. An empty table gives no rows. Only the
-    two named columns are read.
+    two named columns are read. Words are told apart by 64 bits of hash,
+    longer n-grams by ``key_bits``.
     """
-    blocks = make_blocks(spark, df, id_col, text_col, block_bytes)
+    blocks = make_blocks(spark, df, id_col, text_col, block_bytes, level=9)
     exchange = Exchange(blocks, block_bytes, shard_bytes)
-    shards = exchange.shards
+    shards, bits = exchange.shards, key_bits(exchange.total)
+    spare = [np.uint64(0), *[np.uint64(64 - bits)] * (order - 1)]
     start_key = int(mix64(np.array([xxhash.xxh64_intdigest(START)], np.uint64))[0])
 
     def questions(b, block):
-        g = Grams(block, order)
+        g = Grams(block, order, bits)
         cuts = [shard_edges(k, shards) for k in g.keys]
         out = []
         for s in range(shards):
             x = {}
             for n, (keys, counts, cut) in enumerate(zip(g.keys, g.counts, cuts)):
-                x[f"k{n}"], x[f"c{n}"] = planes(keys[cut[s] : cut[s + 1]]), counts[cut[s] : cut[s + 1]].astype(np.uint32)
+                x[f"k{n}"] = planes(keys[cut[s] : cut[s + 1]] >> spare[n])
+                x |= {f"c{n}{name}": a for name, a in _slim(counts[cut[s] : cut[s + 1]]).items()}
             out.append((s, pack(**x)))
         return out
 
@@ -213,37 +269,30 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
         back = [{} for _ in parts]
         known = tokens = 0
         for n in range(order):
-            sizes = [p[f"c{n}"].shape[0] for p in parts]
-            keys = np.concatenate([from_planes(p[f"k{n}"]) for p in parts])
-            counts = np.concatenate([p.pop(f"c{n}") for p in parts]).astype(np.int64)
-            by = np.argsort(keys, kind="stable")
-            x = keys[by]
-            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-            total = np.add.reduceat(counts[by], first) if len(first) else np.zeros(0, np.int64)
+            counts = [_full(p, f"c{n}") for p in parts]
+            keys = np.concatenate([from_planes(p.pop(f"k{n}")) for p in parts])
+            uniq, inv = np.unique(keys, return_inverse=True)
+            total = np.bincount(inv, np.concatenate(counts), len(uniq)).astype(np.int64)
             if n == 0:
-                word = x[first] != np.uint64(start_key)
+                word = uniq != np.uint64(start_key)
                 known, tokens = int((total[word] > 0).sum()), int(total[word].sum())
-            full = np.empty(len(keys), np.int64)
-            full[by] = np.repeat(total, np.diff(np.append(first, len(x))))
-            for out, part in zip(back, np.split(full, np.cumsum(sizes)[:-1])):
-                out[f"c{n}"] = part if part.max(initial=0) >> 32 else part.astype(np.uint32)
+            for out, part in zip(back, np.split(total[inv], np.cumsum([len(c) for c in counts])[:-1])):
+                out |= {f"c{n}{name}": a for name, a in _slim(part).items()}
         return [*((i, pack(**x)) for i, x in zip(ids, back)), (_TOTALS, pack(sums=np.array([known, tokens])))]
 
     answers = stage(spark, exchange.answer(exchange.ask(questions), totals), "counts")
-    sums = sum((unpack(x)["sums"] for r in answers.where(f"block = {_TOTALS}").select("blob").collect() for _, x in unframe(bytes(r.blob))), np.zeros(2, np.int64))
+    sums = sum((unpack(x)["sums"] for r in answers.where(f"block = {_TOTALS}").select("blob").collect() for _, x in unframe(bytes(r.blob))), np.zeros(2, np.int64))  # two numbers a shard
     V, N = map(int, sums)
 
     def score(b, block, got):
-        g = Grams(block, order)
+        g = Grams(block, order, bits)
         counts = [np.zeros(len(k), np.int64) for k in g.keys]
         cuts = [shard_edges(k, shards) for k in g.keys]
         for s, blob in got.items():
             x = unpack(blob)
             for n, cut in enumerate(cuts):
-                counts[n][cut[s] : cut[s + 1]] = x[f"c{n}"]
-        with tempfile.TemporaryDirectory() as folder:
-            _trie(g, counts, N, V, mu).save(folder)
-            logp = _log10(Trie.open(folder, g.words), g, counts[0], N, V)
+                counts[n][cut[s] : cut[s + 1]] = _full(x, f"c{n}")
+        logp = log10p(build(g, counts, N, V, mu).mapped(), g)
         c = counts[0][g.token]
         base = np.log10((c + 1) / (N + V + 1))
         add = lambda x: np.add.reduceat(x, g.first)
@@ -257,43 +306,41 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     return exchange.resume(answers.where(f"block <> {_TOTALS}"), score, SCHEMA)
 
 
-def _trie(g: Grams, counts: list[np.ndarray], N: int, V: int, mu: float) -> Trie:
-    """The slice of the trie that a block's n-grams span."""
+def build(g: Grams, counts: list[np.ndarray], N: int, V: int, mu: tuple[float, ...]) -> Trie:
+    """The slice of the trie that a block's n-grams span, from their counts
+    in the corpus."""
+    own = lambda n: mu[min(n, len(mu)) - 1]  # noqa: E731  of the level below a context of n words
     p = (counts[0] + 1) / (N + V + 1)
-    weight = lambda c: quantise(np.log10(mu / (c + mu)))
-    trie = Trie(g.words, quantise(np.log10(p)), weight(counts[0]))
+    weight = lambda c, n: quantise(np.log10(own(n) / (c + own(n))))
+    trie = Trie(g.words, quantise(np.log10(p)), weight(counts[0], 1))
     nodes = np.arange(g.words)  # node of each n-gram of the level above, -1 if not seen in training
     for n in range(1, len(counts)):
-        c, parent, word = counts[n], g.parents[n], g.last[n]
-        lower = p[word] if n == 1 else p[g.shorter[n]]
-        p = (c + mu * lower) / (np.where(parent >= 0, counts[n - 1][np.maximum(parent, 0)], 0) + mu)
-        seen = np.flatnonzero((c > 0) & (parent >= 0))
-        up = nodes[parent[seen]]
-        by = np.lexsort((word[seen], up))
+        parent, shorter, word = g.grams(n)
+        p = (counts[n] + own(n) * p[shorter]) / (counts[n - 1][parent] + own(n))
+        seen = np.flatnonzero((counts[n] > 0) & (nodes[parent] >= 0))
+        by = np.argsort(nodes[parent[seen]] * g.words + word[seen])
         seen = seen[by]
-        trie.add(up[by], word[seen], quantise(np.log10(p[seen])), weight(c[seen]))
-        nodes = np.full(len(c), -1)
+        trie.add(nodes[parent[seen]], word[seen], quantise(np.log10(p[seen])), weight(counts[n][seen], n + 1))
+        nodes = np.full(len(parent), -1)
         nodes[seen] = np.arange(len(seen))
     return trie
 
 
-def _log10(trie: Trie, g: Grams, c1: np.ndarray, N: int, V: int) -> np.ndarray:
-    """log10 probability of every token, by descending from its context."""
-    word = g.token
-    best = trie.levels[0]["p"][word].astype(np.float64)
-    before = np.empty(len(word), np.int64)
-    before[1:], before[g.first] = word[:-1], g.start
-    # level 2: the context is one word
-    if len(trie.levels) > 1:
-        node = trie.find(1, before, word)
-        hit = node >= 0
-        best = np.where(hit, trie.levels[1]["p"][np.maximum(node, 0)] if len(trie.levels[1]["p"]) else best, best + trie.levels[0]["back"][before])
-    for level in range(2, len(trie.levels)):
-        ctx = np.full(len(word), -1)
-        ctx[1:] = node[:-1]
-        ctx[g.first] = -1
-        node = trie.find(level, ctx, word)
-        hit, has = node >= 0, ctx >= 0
-        p, back = trie.levels[level]["p"], trie.levels[level - 1]["back"]
-        best = np.where(hit, p[np.maximum(node, 0)] if len(p) else best, best + np.where(has, back[np.maximum(ctx, 0)] if len(back) else 0, 0))
-    return -best * STEP
+def log10p(trie: Trie, g: Grams) -> np.ndarray:
+    """log10 probability of every token, by descending from its context. Each
+    distinct n-gram is searched once; one without a node takes the shorter
+    one's probability and its context's back-off weight, if that has a node."""
+    best = trie.levels[0]["p"][np.arange(g.words)].astype(np.float64)
+    node = np.arange(g.words)
+    out = best[g.token]
+    for n in range(1, len(trie.levels)):
+        parent, shorter, word = g.grams(n)
+        above = node[parent]
+        found = trie.find(n, above, word)
+        back = np.where(above >= 0, math.nan, 0.0)
+        back[above >= 0] = trie.levels[n - 1]["back"][above[above >= 0]]
+        best, node = best[shorter] + back, found
+        best[found >= 0] = trie.levels[n]["p"][found[found >= 0]]
+        real = g.at[n] >= 0
+        out[real] = best[g.at[n][real]]
+    return -out * STEP
