@@ -304,6 +304,29 @@ def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish,
     asks which whole contexts occur again, by hashes of 128 bits: all their
     windows do, and one of them only goes on, as a partner for others.
     ``judge`` compares the windows of a shard."""
+
+    def last(b, block, got):
+        sym, starts, ends = symbols(block)
+        return finish(block, sym, starts, ends, repeat_starts(got.values(), len(sym), W, k))
+
+    return exchange.resume(repeat_positions(exchange, symbols, W, k, rule, splitters, judge), last, schema)
+
+
+def repeat_starts(blobs, n: int, W: int, k: int) -> np.ndarray:
+    """Which of a block's n positions start a repeated window, from the
+    answers of ``repeat_positions``."""
+    dup = np.zeros(n + W, bool)
+    for blob in blobs:
+        x = unpack(blob)
+        pos, mask = x["pos"], x["mask"]
+        for o in range(W - k + 1):
+            dup[pos[(mask >> np.uint64(o)) & np.uint64(1) > 0].astype(np.int64) - o] = True
+    return dup[:n]
+
+
+def repeat_positions(exchange: Exchange, symbols, W: int, k: int, rule: str, splitters: tuple[np.ndarray, np.ndarray] | None = None, judge=repeated) -> DataFrame:
+    """The answers to blocks, as ``find_repeats`` uses them: anchors, and
+    which windows that they serve are repeated."""
     far, shards = W - k, exchange.shards
     half = far // 2
 
@@ -486,19 +509,9 @@ def find_repeats(exchange: Exchange, symbols, W: int, k: int, rule: str, finish,
             at += n
         return out
 
-    def last(b, block, got):
-        sym, starts, ends = symbols(block)
-        dup = np.zeros(len(sym) + W, bool)
-        for blob in got.values():
-            x = unpack(blob)
-            pos, mask = x["pos"], x["mask"]
-            for o in range(far + 1):
-                dup[pos[(mask >> np.uint64(o)) & np.uint64(1) > 0].astype(np.int64) - o] = True
-        return finish(block, sym, starts, ends, dup[: len(sym)])
-
     known = exchange.answer(exchange.ask(first), shared_keys)
     contexts = exchange.ask_again(known, second)
-    return exchange.resume(exchange.answer(contexts, compare), last, schema)
+    return exchange.answer(contexts, compare)
 
 
 def between(splitters: tuple[np.ndarray, np.ndarray], lead: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -520,4 +533,4 @@ def covered(dup: np.ndarray, W: int) -> np.ndarray:
     return np.cumsum(delta) > 0
 
 
-__all__ = ["NULL_ID", "Block", "anchors", "covered", "find_repeats", "repeated"]
+__all__ = ["NULL_ID", "Block", "anchors", "covered", "find_repeats", "repeat_positions", "repeat_starts", "repeated"]

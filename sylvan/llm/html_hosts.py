@@ -1,14 +1,18 @@
 """Main text of web pages, with boilerplate found by host.
 
-Pages are parsed into blocks of text. Where a page marks its article, what
-stands outside it is boilerplate, and so is what stands inside it in menus,
-forms, adverts, comments and the like. Pages that mark no article keep the
-rest of their text, less what their host repeats: the token streams of a
-host's distinct pages (article text left out) are searched for substrings
-that occur on other pages, by sorting suffixes as in ``anchors``. Those found
-on at least ``SHARE`` of the host's distinct pages (and on two) go where they
-cover a whole block or ``LONG`` words in a row; whole blocks go already at
-``WHOLE`` of the pages (and three). All else stays.
+Pages are parsed once into blocks of text, each in a zone: article, main,
+open, or boilerplate by its markup (menus, footers, forms, adverts,
+comments). A page's text is its article's, else its main element's, else the
+open blocks, less what its host repeats. For that the token streams of all
+zones are searched for substrings of ``W`` words that occur in other texts of
+the host, by sorting suffixes as in ``anchors``; then blocks and repeated
+windows are counted by host over distinct texts (pages whose main text is the
+same count once, so syndicated text and copies are not taken for
+boilerplate). A window found on ``SHARE`` of the host's texts goes, with the
+words that it covers, and so does a whole block; a whole block of a page that
+marks no article goes already at ``WHOLE``. Three texts at least must have
+it. Unique runs stay, and a page of which nothing would stay keeps its
+longest block.
 """
 
 from __future__ import annotations
@@ -25,15 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import _gram_hash as gram_hash
-from .anchors import covered, find_repeats
-from .blocks import Exchange, from_planes, make_blocks, planes, shard_edges
-from .shared import mix64, pack, ready_python, stage, unpack
-
-BLOCK_BYTES = 1 << 20
-SHARE = 0.3  # of a host's distinct pages, that a repeat must be found on to be boilerplate
-WHOLE = 0.01  # the same for whole blocks, such as adverts that take turns
-LONG = 16  # words in a row, that may go where they aren't a whole block
-_HOST = np.uint64(0x9E3779B97F4A7C15)
+from .anchors import covered, repeat_positions, repeat_starts
+from .blocks import Block, Exchange, from_planes, make_blocks, planes, shard_edges
+from .shared import lean, mix64, pack, ready_python, stage, unpack
+
+BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
+SHARE = 0.3  # of a host's texts, that a repeat must be found on to be boilerplate
+WHOLE = 0.01  # the same for whole blocks of pages without an article, such as adverts that take turns
+LEAST = 3  # texts, at least
+_HOST, _BLOCK_KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SCHEMA = "page_id long, url string, text string, n_chars long"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -47,9 +52,12 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-_SPACED = frozenset(["br", "td", "th", "wbr"])
+_SPACED = frozenset(["br", "td", "th"])
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that nest, and so are followed on a stack.
 _NEST = _BLOCK - frozenset("p li dt dd hr tr h1 h2 h3 h4 h5 h6 caption html body".split())
+#: Blocks that the next block ends, whether they are closed or not.
+_SHORT = frozenset("p h1 h2 h3 h4 h5 h6 caption dt".split())
 _BOILER = frozenset("nav aside footer form menu dialog head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 _NAMES = frozenset(
@@ -57,24 +65,47 @@ _NAMES = frozenset(
     "modal newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer share sharing "
     "social related recommended comment comments disqus reply replies widget hidden pagination toolbar".split()
 )
+#: Parts that may stand beside these in a compound name (share-links, cookie-bar): others, such as no- or has-, give it another sense.
+_BESIDE = frozenset("area bar block box bottom btn button buttons container form group icons inner item items label left link links list panel right section slot text title top unit wrap wrapper".split())
+#: What readers or other pages wrote: an article within is one of theirs.
+_THEIRS = frozenset("comment comments disqus reply replies related recommended".split())
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)(?=[\s/]|$)", re.I)
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
-ARTICLE, MAIN, BOILER, OPEN = "a", "m", "b", "o"
+ARTICLE, MAIN, BOILER, THEIRS, OPEN = "a", "m", "b", "t", "o"  # THEIRS: boilerplate in which articles are too
 
 
-def _is_boiler(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in _BOILER or (tag == "header" and not inside):
-        return True
+def _named(value: str) -> set[str]:
+    """The boilerplate names among whole class or id names."""
+    out: set[str] = set()
+    for name in value.lower().split():
+        parts = {x for x in re.split(r"[_-]+", name) if x and not x.isdigit()}
+        if parts & _NAMES and parts <= _NAMES | _BESIDE:
+            out |= parts & _NAMES
+    return out
+
+
+def _zone_of(tag: str, attrs: str, zone: str) -> str:
+    """The zone within an element that opens in ``zone``."""
+    if zone == THEIRS or (zone == BOILER and tag not in ("article", "main")):
+        return zone
+    inside, names, role = zone in (ARTICLE, MAIN), set(), ""
     for m in _ATTR.finditer(attrs):
+        value = m[2] or m[3] or m[4] or ""
         if m[5]:
-            return True
-        value = (m[2] or m[3] or m[4] or "").lower()
+            return BOILER
         if m[1].lower() == "role":
-            if value in _ROLES:
-                return True
-        elif tag not in ("html", "body") and _NAMES & set(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+            role = value.lower()
+        else:
+            names |= _named(value)
+    if names & _THEIRS:
+        return THEIRS
+    if tag == "article":
+        return ARTICLE
+    if tag == "main":
+        return zone if zone == ARTICLE else MAIN
+    if tag in _BOILER or (tag == "header" and not inside) or role in _ROLES or names:
+        return BOILER
+    return zone
 
 
 def parse(page: str) -> list[tuple[str, str]]:
@@ -82,15 +113,16 @@ def parse(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # nesting element, and the zone within
     zone, text = OPEN, []
+    short = ""  # an open block that doesn't nest and is boilerplate
+    inline: list[str] = []  # the same for elements within a block, such as a span of class ad
 
     def end():
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip(" ")
             if joined:
-                out.append((zone, joined))
+                out.append((BOILER if short else zone, joined))
             text.clear()
 
-    inline: list[str] = []  # boilerplate elements that don't nest, such as a span of class ad
     for m in _TOKEN.finditer(page):
         whole = m[0]
         if whole[0] != "<" or whole == "<":
@@ -104,208 +136,225 @@ def parse(page: str) -> list[tuple[str, str]]:
         if tag in _SPACED:
             text.append(" ")
             continue
+        closed = m[4].endswith("/") or tag in _VOID
         if tag not in _BLOCK:
             if m[2]:
                 if inline and inline[-1] == tag:
                     inline.pop()
-            elif inline and tag == inline[-1] and not m[4].endswith("/"):
-                inline.append(tag)
-            elif not inline and m[4] and not m[4].endswith("/") and tag in ("span", "a", "label", "small") and _is_boiler(tag, m[4], zone != OPEN):
+            elif closed:
+                continue
+            elif inline:
+                if tag == inline[-1]:
+                    inline.append(tag)
+            elif m[4] and _zone_of(tag, m[4], zone) in (BOILER, THEIRS) and zone not in (BOILER, THEIRS):
                 inline.append(tag)
             continue
         end()
         inline.clear()
         if m[2]:
+            if tag == short or tag in _NEST:
+                short = ""
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
             zone = stack[-1][1] if stack else OPEN
-        elif tag in _NEST and not m[4].endswith("/"):
-            inner = zone
-            if zone != BOILER:
-                if _is_boiler(tag, m[4], zone != OPEN):
-                    inner = BOILER
-                elif tag == "article":
-                    inner = ARTICLE
-                elif tag == "main" and zone == OPEN:
-                    inner = MAIN
-            stack.append((tag, inner))
-            zone = inner
+        elif tag in _NEST and not closed:
+            if short in _SHORT:
+                short = ""
+            zone = _zone_of(tag, m[4], zone)
+            stack.append((tag, zone))
         elif tag in ("html", "body"):
             stack.clear()
-            zone = OPEN
+            zone, short = OPEN, ""
+        else:
+            if short == tag or short in _SHORT:
+                short = ""
+            if not closed and m[4] and not short and _zone_of(tag, m[4], zone) in (BOILER, THEIRS):
+                short = tag
     end()
-    return out
+    return [(BOILER if z == THEIRS else z, t) for z, t in out]
 
 
-def main_zone(found: list[tuple[str, str]]) -> str | None:
+def main_zone(found: list) -> str:
+    """The zone of a page's main text: its article's, else main's, else what is open."""
     zones = {z for z, _ in found}
-    return ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else None
-
-
-def _tokens(page: list[tuple[str, str]]):
-    """Words of a page's blocks outside its article, marks around each block."""
-    words, places = [], []
-    for i, (_, text) in enumerate(page):
-        own = text.split(" ")
-        words += ["\x00(", *own, "\x00)"]
-        places += [(i, -1), *((i, j) for j in range(len(own))), (i, -1)]
-    return words, places
-
-
-def _symbols(pages: list[list], known: dict[str, int]) -> list[np.ndarray]:
-    """Hashes of the tokens of each page."""
+    return ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else OPEN
+
+
+def main_key(found: list) -> int:
+    """A hash of the longest blocks that make up half of the main text."""
+    zone = main_zone(found)
+    own = sorted((t for z, t in found if z == zone), key=lambda t: (-len(t), t))
+    total, size, some = sum(map(len, own)), 0, []
+    for t in own:
+        if 2 * size >= total:
+            break
+        some.append(t)
+        size += len(t)
+    return int(np.uint64(xxhash.xxh64_intdigest("\n".join(sorted(some)))).view(np.int64))
+
+
+class Pages:
+    """The pages of a block: their rows, and the symbols of their words. A
+    symbol that no other text has ends each block of text."""
+
+    def __init__(self, block: Block):
+        self.rows = [json.loads(text) for text in block.texts()]
+        known: dict[str, int] = {}
+        parts, self.firsts, self.blocks = [], [], []
+        at = 0
+        own = block.ids.astype(np.uint64)
+        for key, (_, _, found) in zip(own, self.rows):
+            marks = mix64(mix64(np.arange(1, len(found) + 1, dtype=np.uint64) ^ _HOST) ^ key)
+            first, tags = [], []
+            for mark, (_, text) in zip(marks, found):
+                words = text.split(" ")
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh64_intdigest(w)
+                first.append(at)
+                parts.append(np.array([*map(known.__getitem__, words), mark], np.uint64))
+                at += len(words) + 1
+                tags.append(xxhash.xxh64_intdigest(text))
+            self.firsts.append(first)
+            self.blocks.append(np.array(tags, np.uint64))
+        self.sym = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        ends = [f[-1] + len(found[-1][1].split(" ")) + 1 if f else -1 for f, (_, _, found) in zip(self.firsts, self.rows)]
+        self.ends = np.maximum.accumulate(np.array(ends, np.int64)).clip(0)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[: len(ends)]
+
+
+def needed(texts: int, marked: bool) -> tuple[int, int]:
+    """Texts of a host, of so many, that windows and whole blocks of
+    boilerplate are found on."""
+    runs = max(LEAST, math.ceil(SHARE * texts))
+    return runs, runs if marked else min(runs, max(LEAST, math.ceil(WHOLE * texts)))
+
+
+def kept_text(found: list, zone: str, gone: list[np.ndarray], whole: np.ndarray) -> str:
+    """The main text without the blocks in ``whole`` and the words in ``gone``."""
     out = []
-    for rest in pages:
-        words, _ = _tokens(rest)
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-    return out
-
-
-def needed(pages: int) -> tuple[int, int]:
-    """Distinct pages of a host, of so many, that long runs and whole blocks
-    of boilerplate are found on."""
-    runs = max(2, math.ceil(SHARE * pages))
-    return runs, min(runs, max(3, math.ceil(WHOLE * pages)))
-
-
-def unique_text(rest: list[list], gone: np.ndarray, whole: np.ndarray) -> str:
-    """The open blocks of a page without those that ``whole`` covers and
-    without the long runs that ``gone`` covers."""
-    out, at = [], 0
-    for zone, text in rest:
-        own = text.split(" ")
-        hit, all_hit = gone[at : at + len(own) + 2], whole[at : at + len(own) + 2].all()
-        at += len(own) + 2
-        if zone != OPEN or all_hit:
+    for (z, text), words_gone, block_gone in zip(found, gone, whole.tolist()):
+        if z != zone or block_gone:
             continue
-        kept, run = [], []
-        for w, h in zip([*own, None], [*hit[1:-1].tolist(), False]):
-            if h:
-                run.append(w)
-                continue
-            if len(run) < LONG:
-                kept += run
-            run = []
-            if w is not None:
-                kept.append(w)
-        if kept:
-            out.append(" ".join(kept))
+        if words_gone.any():
+            text = " ".join(w for w, g in zip(text.split(" "), words_gone.tolist()) if not g)
+        if text:
+            out.append(text)
+    if not out:
+        out = sorted((t for z, t in found if z == zone), key=len)[-1:]
     return "\n\n".join(out)
 
 
-def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", W: int = 6, k: int = 3) -> DataFrame:
+def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", W: int = 16, k: int = 6) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
     A null html is empty; null ids and urls are kept (pages without a url
-    form one host); repeated rows are a row each, but copies of a page count
-    once when repeats are sought, so no page loses text to its own copies.
+    form one host); repeated rows are a row each, and copies count as one
+    text when repeats are sought, so no page loses text to its own copies.
     An empty table gives no rows. Only the three named columns are read.
     """
     ready_python(spark)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
-    def marked(batches):
-        for batch in batches:
-            keep, texts = [], []
-            for i, page in enumerate(batch["html"]):
-                found = parse(page.as_py() or "")
-                zone = main_zone(found)
-                if zone or not found:
-                    keep.append(i)
-                    texts.append("\n\n".join(t for z, t in found if z == zone))
-            part = batch.select(["page_id", "url"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    def outside(batches):
+    def parsed(batches):
         for batch in batches:
             rows = []
             for i, u, page in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"]):
                 found = parse(page.as_py() or "")
-                zone = main_zone(found)
-                rest = [[z, t] for z, t in found if z != zone]
-                if rest:
-                    same = xxhash.xxh128_digest(json.dumps(found))
-                    rows.append((i, u, _host_key(u), same, zone is None, json.dumps([same.hex(), zone is None, rest], ensure_ascii=False)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["page_id", "url", "host", "same", "bare", "rest"])
-
-    streams = stage(spark, pages.mapInArrow(outside, "page_id long, url string, host long, same binary, bare boolean, rest string"), "streams")
-    # a place for each distinct page of a host, since repeats must lie on distinct pages
-    distinct = streams.groupBy("host", "same").agg(F.first("rest").alias("rest")).withColumn("place", F.monotonically_increasing_id())
-    blocks = make_blocks(spark, distinct, "place", "rest", BLOCK_BYTES, F.col("host"))
+                rows.append((main_key(found), _host_key(u), json.dumps([i, u, found], ensure_ascii=False)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["main", "host", "page"])
 
-    def symbols(block):
-        parts = _symbols([json.loads(text)[2] for text in block.texts()], {})
-        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-        sym = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        return sym, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
-
-    def finish(block, sym, starts, ends, dup):
-        rows = []
-        for i, (s, e, raw) in enumerate(zip(starts.tolist(), ends.tolist(), block.texts())):
-            rows.append((int(block.ids[i]), int(block.groups[i : i + 1].view(np.int64)[0]), json.dumps([*json.loads(raw), np.flatnonzero(dup[s:e]).tolist()], ensure_ascii=False)))
-        kinds = [pa.int64(), pa.int64(), pa.string()]
-        return pa.Table.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], ["place", "host", "rest"])
-
-    repeats = find_repeats(Exchange(blocks, BLOCK_BYTES, 4 << 20), symbols, W, k, "other", finish, "place long, host long, rest string")
-    again = make_blocks(spark, repeats, "place", "rest", BLOCK_BYTES, F.col("host"))
-    exchange = Exchange(again, BLOCK_BYTES, 4 << 20)
+    blocks = make_blocks(spark, pages.mapInArrow(lean(parsed), "main long, host long, page string"), "main", "page", BLOCK_BYTES, F.col("host"))
+    exchange = Exchange(blocks, BLOCK_BYTES, SHARD_BYTES)
     shards = exchange.shards
 
-    def windows(block):
-        """Of each page: its row, and the key of its host and those of its
-        repeated windows with the host."""
-        rows = [json.loads(raw) for raw in block.texts()]
-        keys = []
-        for sym, row, host in zip(_symbols([r[2] for r in rows], {}), rows, block.groups):
-            own = mix64(np.array([host], np.uint64))
-            at = np.array(row[3], np.int64)
-            keys.append(np.concatenate([mix64(own ^ _HOST), mix64(gram_hash(mix64(sym), W)[at] ^ own) if len(at) else own[:0]]))
-        return rows, keys
-
-    def distinct_keys(keys):
-        return np.unique(np.concatenate([np.unique(x) for x in keys]) if keys else np.zeros(0, np.uint64), return_counts=True)
-
-    def questions(b, block):
-        keys, n = distinct_keys(windows(block)[1])
+    def symbols(block):
+        x = Pages(block)
+        return x.sym, x.starts, x.ends
+
+    def of_text(block):
+        """A key for each page's main text on its host."""
+        return mix64(block.ids.astype(np.uint64) ^ mix64(block.groups ^ _HOST))
+
+    def ask_first(b, block):
+        keys = np.unique(of_text(block))
         cut = shard_edges(keys, shards)
-        return [(s, pack(key=planes(keys[i:j]), n=n[i:j].astype(np.uint32))) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+        return [(s, pack(key=planes(keys[i:j]))) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+
+    def say_first(ids, got):
+        """Which of a block's texts no block before it has."""
+        parts = [from_planes(unpack(x)["key"]) for x in got]
+        keys, owner = np.concatenate(parts), np.repeat(np.array(ids, np.int64), [len(p) for p in parts])
+        order = np.lexsort((owner, keys))
+        first = np.empty(len(keys), bool)
+        first[order] = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+        return [(i, pack(first=np.packbits(x))) for i, x in zip(ids, np.split(first, np.cumsum([len(p) for p in parts])[:-1]))]
+
+    def keyed(block, got):
+        """The pages, where repeated windows start in each, and for each the
+        keys of its host, its blocks and those windows."""
+        x = Pages(block)
+        dup = repeat_starts([got[s] for s in got if s < shards], len(x.sym), W, k)
+        grams = gram_hash(mix64(x.sym), W) if len(x.sym) >= W else np.zeros(0, np.uint64)
+        at, keys = [], []
+        for s, e, own, host in zip(x.starts.tolist(), x.ends.tolist(), x.blocks, mix64(block.groups)):
+            at.append(np.flatnonzero(dup[s:e]))
+            keys.append([mix64(np.array([host ^ _HOST])), mix64(mix64(own ^ _BLOCK_KEY) ^ host), mix64(grams[at[-1] + s] ^ host)])
+        return x, at, keys
+
+    def ask_counts(b, block, got):
+        """The distinct keys of the block, with the texts in it that have
+        them; a text counts where it is first met."""
+        x, _, keys = keyed(block, got)
+        texts = of_text(block)
+        uniq, place = np.unique(texts, return_index=True)
+        first, cut = np.zeros(len(uniq), bool), shard_edges(uniq, shards)
+        for s, blob in got.items():
+            if s >= shards:
+                i, j = cut[s - shards], cut[s - shards + 1]
+                first[i:j] = np.unpackbits(unpack(blob)["first"], count=j - i)
+        counts = np.zeros(len(texts), bool)
+        counts[place[first]] = True
+        own = [np.unique(np.concatenate(ks)) for ks in keys]
+        every, inv = np.unique(np.concatenate(own), return_inverse=True)
+        n = np.bincount(inv, np.repeat(counts, [len(o) for o in own]), len(every)).astype(np.uint32)
+        cut = shard_edges(every, shards)
+        return [(s, pack(key=planes(every[i:j]), n=n[i:j])) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
 
     def totals(ids, got):
         parts = [unpack(x) for x in got]
         keys, n = np.concatenate([from_planes(p["key"]) for p in parts]), np.concatenate([p["n"] for p in parts]).astype(np.int64)
         _, inv = np.unique(keys, return_inverse=True)
         full = np.bincount(inv, n).astype(np.int64)[inv]
+        full = full.clip(max=(1 << 32) - 1).astype(np.uint32)
         return [(i, pack(n=x)) for i, x in zip(ids, np.split(full, np.cumsum([len(p["n"]) for p in parts])[:-1]))]
 
     def decide(b, block, got):
-        rows, keys = windows(block)
-        uniq, _ = distinct_keys(keys)
-        count, cut = np.zeros(len(uniq), np.int64), shard_edges(uniq, shards)
+        x, at, keys = keyed(block, got)
+        every = np.unique(np.concatenate([np.concatenate(ks) for ks in keys]))
+        count, cut = np.zeros(len(every), np.int64), shard_edges(every, shards)
         for s, blob in got.items():
-            count[cut[s] : cut[s + 1]] = unpack(blob)["n"]
+            if s >= shards:
+                count[cut[s - shards] : cut[s - shards + 1]] = unpack(blob)["n"]
         out = []
-        for (same, bare, rest, at), own, host in zip(rows, keys, block.groups.view(np.int64).tolist()):
-            if not bare:
-                continue
-            n = count[np.searchsorted(uniq, own)]
-            gone = []
-            for least in needed(int(n[0])):
-                dup = np.zeros(sum(len(t.split(" ")) + 2 for _, t in rest), bool)
-                dup[np.array(at, np.int64)[n[1:] >= least]] = True
-                gone.append(covered(dup, W))
-            out.append((host, bytes.fromhex(same), unique_text(rest, *gone)))
-        kinds = [pa.int64(), pa.binary(), pa.string()]
-        return pa.Table.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["host", "same", "text"])
-
-    texts = exchange.resume(exchange.answer(exchange.ask(questions), totals), decide, "host long, same binary, text string")
-    unmarked = streams.where("bare").select("page_id", "url", "host", "same").join(texts, ["host", "same"]).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    return pages.mapInArrow(marked, SCHEMA).union(unmarked)
+        for (page, url, found), where, (host, own, windows), first, s, e in zip(x.rows, at, keys, x.firsts, x.starts.tolist(), x.ends.tolist()):
+            zone = main_zone(found)
+            runs, whole = needed(int(count[np.searchsorted(every, host)][0]), zone != OPEN)
+            dup = np.zeros(e - s, bool)
+            dup[where[count[np.searchsorted(every, windows)] >= runs]] = True
+            gone = covered(dup, W)
+            text = kept_text(found, zone, [gone[f - s : f - s + t.count(" ") + 1] for f, (_, t) in zip(first, found)], count[np.searchsorted(every, own)] >= whole)
+            out.append((page, url, text, len(text)))
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.Table.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["page_id", "url", "text", "n_chars"])
+
+    beside = lambda answers: answers.withColumn("shard", (F.col("shard") + shards).cast("int"))
+    repeats = stage(spark, repeat_positions(exchange, symbols, W, k, "other"), "repeats")
+    firsts = exchange.answer(exchange.ask(ask_first), say_first)
+    counts = exchange.answer(exchange.ask_again(repeats.union(beside(firsts)), ask_counts), totals)
+    return exchange.resume(repeats.union(beside(counts)), decide, SCHEMA)
 
 
 def _host_key(url: str | None) -> int:
