@@ -110,9 +110,15 @@ def mask(policy: str) -> int:
 
 
 def apply_policy(kept: DataFrame, policy: str = "v1") -> DataFrame:
-    """A ledger with base_failed, and kept under the policy."""
-    passes = lambda p: F.col("failures").bitwiseAND(F.lit(mask(p)).cast("long")) == 0
-    return kept.withColumn("base_failed", ~passes("base")).withColumn("kept", passes("base") & passes(policy))
+    """A ledger with base_failed, kept under the policy, and ``only_rule``: the
+    rule without which a rejected document would be kept, if there is one."""
+    fails = lambda p: F.col("failures").bitwiseAND(F.lit(mask(p)).cast("long"))
+    names = list(RULES)
+    only = None
+    for r in POLICIES[policy]:
+        hit = fails(policy) == 1 << names.index(r)
+        only = F.when(hit, r) if only is None else only.when(hit, r)
+    return kept.withColumn("base_failed", fails("base") != 0).withColumn("kept", (fails("base") == 0) & (fails(policy) == 0)).withColumn("only_rule", only)
 
 
 def ablation(kept: DataFrame, policy: str = "v1") -> DataFrame:
@@ -136,5 +142,7 @@ def assess(df: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col:
 
 
 def keep(df: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that the policy keeps, with their own columns."""
+    """The rows of ``df`` that the policy keeps, with their own columns. A
+    null text has no words and so is rejected; ids, null or repeated, don't
+    matter; equal rows are judged alike. An empty table gives no rows."""
     return apply_policy(ledger(df, id_col, text_col, carry=True), policy).where("kept").select("row.*")

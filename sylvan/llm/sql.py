@@ -109,7 +109,9 @@ WITH d AS (
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, CAST(failures AS BIGINT) AS failures,
-       failures & 3 <> 0 AS base_failed, failures = 0 AS kept
+       failures & 3 <> 0 AS base_failed, failures = 0 AS kept,
+       CASE failures WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+         WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' WHEN 64 THEN 'shouting' END AS only_rule
 FROM f
 """
 
