@@ -23,11 +23,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Shared, ready_python, stage
+from .shared import Shared, lean, ready_python, stage
 
 SHORTEST = 16
 SHARE = 100_000  # a dictionary word is at least one in so many counted words, so there are no more than these
-LABELLED = 20_000  # documents, at most about, that give labelled findings
+LABELLED = 20_000  # distinct documents, at most, that give labelled findings
+FINDINGS = 200_000  # labelled findings, at most, that the forest is fitted on
 
 _RUN = re.compile(rb"[A-Za-z0-9+/_=.~-]{%d,}" % SHORTEST)
 _CUE = re.compile(rb"(?i)(token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private)\W{0,12}$")
@@ -50,7 +51,7 @@ FORMATS = (
     re.compile(rb"sk-[A-Za-z0-9]{20,}"),
 )
 FEATURES = ("length", "digits", "uppers", "lowers", "signs", "changes", "transitions", "entropy", "distinct", "coverage", "test_path", "cue", "assigned", "dummy", "wordy_before", "wordy_after")
-ROWS = "doc_id long, path string, start long, value binary, before binary, after binary, word string, n long"
+ROWS = "doc_id long, path string, key long, start long, value binary, before binary, after binary, word string, n long"
 FOUND = "doc_id long, path string, start long, value binary, before binary, after binary, features array<double>"
 
 
@@ -103,10 +104,10 @@ def scan(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, path_co
         words: Counter[bytes] = Counter()
         for batch in batches:
             rows = []
-            for i, p, t in zip(batch["doc_id"].to_pylist(), batch["path"].to_pylist(), batch["text"].cast(pa.binary())):
+            for i, p, k, t in zip(*(batch[c].to_pylist() for c in ("doc_id", "path", "key")), batch["text"].cast(pa.binary())):
                 text = t.as_py() or b""
                 words.update(text.lower().split())
-                rows += [(i, p, *c) for c in candidates(text)]
+                rows += [(i, p, k, *c) for c in candidates(text)]
             if len(words) > 400_000:
                 yield counts(words)
                 words.clear()
@@ -114,15 +115,20 @@ def scan(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, path_co
         yield counts(words)
 
     def counts(words):
-        return batch_of([(None, None, None, None, None, None, w.decode(), n) for w, n in words.items() if 3 <= len(w) <= 8 and w.isalpha()])
+        return batch_of([(None, None, None, None, None, None, None, w.decode(), n) for w, n in words.items() if 3 <= len(w) <= 8 and w.isalpha()])
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
-        names = ["doc_id", "path", "start", "value", "before", "after", "word", "n"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
+        names = ["doc_id", "path", "key", "start", "value", "before", "after", "word", "n"]
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
+    return stage(spark, _named(df, id_col, text_col, path_col).mapInArrow(lean(run), ROWS), "candidates")
+
+
+def _named(df: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
+    """doc_id, path, text, and a hash of id and text: equal documents share it."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    return stage(spark, docs.mapInArrow(run, ROWS), "candidates")
+    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def _kind(c: int) -> int:
@@ -215,10 +221,11 @@ def find_secrets(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
     and probability of every candidate that the forest takes for a secret.
 
     ``labelled`` (path, value, before, after, label) are labelled findings;
-    without it they come from ``label`` and ``made_up`` over a sample of at
-    most about LABELLED documents, chosen by hash. A null text has no
-    candidates; null ids and paths are kept; repeated rows report each. An
-    empty table gives no rows. Only the three named columns are read.
+    without it they come from ``label`` and ``made_up`` over the LABELLED
+    distinct documents (by id and text) of least hash. The forest is fitted
+    on the FINDINGS of least hash. A null text has no candidates; null ids
+    and paths are kept; repeated rows report each. An empty table gives no
+    rows. Only the three named columns are read.
     """
     rows = scan(spark, df, id_col, text_col, path_col)
     words = rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
@@ -233,11 +240,12 @@ def find_secrets(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], [*batch.schema.names, "features"])
 
     base = ["doc_id", "path", "start", "value", "before", "after"]
-    scored = found.select(*base).mapInArrow(featured, FOUND)
+    scored = found.select(*base).mapInArrow(lean(featured), FOUND)
     if labelled is None:
         labelled = _labelled(spark, df, found, id_col, text_col, path_col)
-    train = labelled.select(F.lit(0).cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("label").cast("long").alias("start"), "value", "before", "after").mapInArrow(featured, FOUND)
-    train = stage(spark, train.select(F.col("start").cast("double").alias("label"), "features").orderBy("label", "features").coalesce(1), "labelled")
+    some = labelled.select(F.lit(0).cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("label").cast("long").alias("start"), "value", "before", "after")
+    some = some.withColumn("place", F.xxhash64("path", "start", "value", "before", "after")).orderBy("place", "value", "before", "after").limit(FINDINGS).drop("place")
+    train = stage(spark, some.mapInArrow(lean(featured), FOUND).select(F.col("start").cast("double").alias("label"), "features").coalesce(1), "labelled")
     if train.select("label").distinct().count() < 2:  # nothing to tell apart
         return scored.where("false").select("doc_id", "start", F.lit(0).cast("long").alias("length"), F.lit("").alias("preview"), F.lit(0.0).alias("probability"))
     model = _fit(train, trees, depth)
@@ -254,10 +262,15 @@ def _fit(train: DataFrame, trees: int, depth: int) -> RandomForestClassification
 
 
 def _labelled(spark: SparkSession, df: DataFrame, found: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
-    """Labelled findings of a bounded sample of documents."""
-    n = df.count()
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 20))
-    sample = df.where(place <= F.lit(int((1 << 20) * min(1.0, LABELLED / max(n, 1))))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+    """Labelled findings of the LABELLED distinct documents of least hash."""
+    docs = _named(df, id_col, text_col, path_col)
+    n = docs.agg(F.approx_count_distinct("key")).first()[0]
+    # most of the keys are left out by their share, the rest are counted
+    bound = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * LABELLED // max(n, 1))
+    least = docs.where(F.col("key") <= F.lit(bound)).select("key").distinct().orderBy("key").limit(LABELLED)
+    last = least.agg(F.max("key")).first()[0]
+    chosen = F.col("key") <= F.lit(last if last is not None else -(1 << 63))
+    sample = docs.where(chosen).dropDuplicates(["key"])
     schema = "path string, value binary, before binary, after binary, label double"
     kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
     names = ["path", "value", "before", "after", "label"]
@@ -279,5 +292,5 @@ def _labelled(spark: SparkSession, df: DataFrame, found: DataFrame, id_col: str,
                     rows.append((p, v, b, a, y))
             yield batch_of(rows)
 
-    picked = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= F.lit(int((1 << 20) * min(1.0, LABELLED / max(n, 1)))))
-    return sample.mapInArrow(imagined, schema).union(picked.select("path", "value", "before", "after").mapInArrow(known, schema))
+    picked = found.where(chosen).select("key", "start", "path", "value", "before", "after").dropDuplicates(["key", "start", "value"])
+    return sample.select("doc_id", "path", "text").mapInArrow(imagined, schema).union(picked.select("path", "value", "before", "after").mapInArrow(known, schema))
