@@ -87,6 +87,24 @@ def test_simhash_odd(spark, odd, empty):
     assert simhash.keep_one(spark, empty).count() == 0
 
 
+A, B, C = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+
+
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([(3, A), (5, A), (5, B)], [(3, A), (5, B)]),
+        ([(3, A), (None, A), (None, C)], [(3, A), (None, C)]),
+        ([(7, A), (7, A), (7, A)], [(7, A)]),
+        ([(None, B), (None, B), (4, None), (4, ""), (9, " ")], [(None, B), (4, None)]),
+    ],
+)
+def test_one_row_of_each_group(spark, rows, want):
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = sorted(((r.doc_id, r.text or None) for r in simhash.keep_one(spark, df).collect()), key=repr)
+    assert got == sorted(want, key=repr)
+
+
 def brute_suffix(docs, W):
     """docs: (id, bytes) rows; null ids rank last."""
     big = 1 << 62

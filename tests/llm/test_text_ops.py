@@ -23,54 +23,85 @@ def test_oracle(spark, sf_dir, duck, same_rows, name):
 # ---- language-model scores
 
 
-def brute_scores(docs, mu):
-    toks = {i: t.encode().lower().split() + [b" "] for i, t in docs.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
-    uni = Counter(w for i, ws in toks.items() if not held[i] for w in ws)
+def brute_scores(docs, order, mu):
+    """docs: (id, text) rows."""
+    toks = [(i, (t or "").encode().lower().split() + [b" "]) for i, t in docs]
+    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in toks]
+    grams = Counter()
+    for (_, ws), h in zip(toks, held):
+        if not h:
+            full = [b"\n", *ws]
+            grams.update(tuple(full[e - n : e]) for e in range(1, len(full) + 1) for n in range(1, min(order, e) + 1))
+    uni = Counter({g[0]: n for g, n in grams.items() if len(g) == 1 and g != (b"\n",)})
     n, v = sum(uni.values()), len(uni)
-    pairs = Counter(p for i, ws in toks.items() if not held[i] for p in zip([b"\n", *ws], ws))
-    ctx = dict(uni) | {b"\n": sum(not h for h in held.values())}
-    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
-    out = {}
-    for i, ws in toks.items():
-        score = sum(math.log10((pairs[a, w] + mu * p1(w)) / (ctx.get(a, 0) + mu)) for a, w in zip([b"\n", *ws], ws))
-        out[i] = (held[i], len(ws), sum(uni[w] > 0 for w in ws), n, sum(math.log10(p1(w)) for w in ws), score)
+
+    def p(g):
+        if len(g) == 1:
+            return (uni[g[0]] + 1) / (n + v + 1)
+        m = mu[min(len(g) - 1, len(mu)) - 1]
+        return (grams[g] + m * p(g[1:])) / (grams[g[:-1]] + m)
+
+    out = []
+    for (i, ws), h in zip(toks, held):
+        full = [b"\n", *ws]
+        score = sum(math.log10(p(tuple(full[max(0, e - order) : e]))) for e in range(2, len(full) + 1))
+        out.append((i, h, len(ws), sum(uni[w] > 0 for w in ws), n, sum(math.log10(p((w,))) for w in ws), score))
     return out
 
 
-def test_lm_scores(spark, sf_dir, monkeypatch):
+def same_scores(got, want, order):
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    for r, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert r[:5] == w[:5] and r[5] == pytest.approx(w[5], rel=1e-9)
+        assert abs(r[6] - w[6]) <= w[2] * ngram_trie.STEP * order / 2
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores(spark, sf_dir, monkeypatch, order):
     monkeypatch.setattr(blocks, "bundle_size", lambda *_: 2)
+    monkeypatch.setattr(ngram_trie, "ODDS", 40)  # no key is shared by chance
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = {r.doc_id: r.text or "" for r in df.collect()}
-    want = brute_scores(docs, 50.0)
-    got = {r.doc_id: r for r in ngram_trie.score_documents(spark, df, block_bytes=90_000, shard_bytes=90_000).collect()}
-    assert len(got) == len(want)
-    for i, (held, n, known, total, base, score) in want.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - score) <= n * ngram_trie.STEP
-    held = [r for r in got.values() if r.held_out]
+    mu = (50.0, 5.0, 1.5)
+    got = ngram_trie.score_documents(spark, df, order=order, mu=mu, block_bytes=90_000, shard_bytes=90_000).collect()
+    same_scores(got, brute_scores([(r.doc_id, r.text) for r in df.collect()], order, mu), order)
+    held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_orders_and_odd(spark, odd, empty):
-    three = {r.doc_id: r.score for r in ngram_trie.score_documents(spark, odd, order=3).collect()}
+def test_lm_odd(spark, odd, empty):
     got = ngram_trie.score_documents(spark, odd).collect()
-    assert len(got) == len(ODD) and all(r.n_tokens >= 1 and r.score < 0 for r in got) and len(three) <= len(got)
+    same_scores(got, brute_scores(ODD, 3, ngram_trie.MU), 3)
     assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
     assert ngram_trie.score_documents(spark, empty).count() == 0
 
 
 def test_elias_fano():
+    """Values and successors, searched in the coded form."""
     rng = np.random.default_rng(2)
-    for n, top in ((0, 1), (1, 0), (5, 3), (1000, 10**12), (1000, 500)):
+    for n, top in ((0, 1), (1, 0), (1, 2**62), (5, 3), (1000, 10**12), (1000, 500), (70, 2**57), (4000, 4000)):
         v = np.sort(rng.integers(0, top + 1, n))
         e = ngram_trie.EliasFano.encode(v)
-        assert e.values().tolist() == v.tolist()
-        x = rng.integers(0, top + 2, 50)
+        assert e[np.arange(n)].tolist() == v.tolist() if n else e.n == 0
+        x = np.concatenate([rng.integers(0, top + 2, 50), v[:50], v[:50] + 1])
         assert e.successor(x).tolist() == np.searchsorted(v, x).tolist()
 
 
+def test_trie_is_coded():
+    """A mapped trie takes few bits a node and finds what is there, and only that."""
+    rng = np.random.default_rng(5)
+    words, n = 5000, 40_000
+    pair = np.sort(rng.choice(words * words, n, replace=False))
+    zero = np.zeros(words, np.uint16)
+    trie = ngram_trie.Trie(words, zero, zero)
+    trie.add(pair // words, pair % words, np.zeros(n, np.uint16), np.zeros(n, np.uint16))
+    trie = trie.mapped()
+    assert trie.find(1, pair // words, pair % words).tolist() == list(range(n))
+    other = np.setdiff1d(rng.choice(words * words, 1000), pair)
+    assert (trie.find(1, other // words, other % words) == -1).all() and (trie.find(1, np.full(3, -1), np.arange(3)) == -1).all()
+    e = trie.levels[1]["next"]
+    assert 8 * (e.low.nbytes + e.high.nbytes + e.before.nbytes) / n < np.log2(words * words / n) + 5
+
+
 # ---- quality rules
 
 
@@ -93,6 +124,21 @@ def test_repeats_are_compared_exactly(spark, monkeypatch):
     assert {r.doc_id: r.n_repeat_words for r in quality_ledger.ledger(df).collect()} == {1: 0, 2: 6, 3: 0}
 
 
+@pytest.mark.parametrize("words", [150_000, 4_000_000])
+def test_long_texts_are_counted_exactly(spark, words):
+    """Distinct words make no repeats, however many; known repeats are all found."""
+    some = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda i: F.conv(i.cast("string"), 10, 36)), " ").alias("text"))
+    again = some.select(F.lit(2).cast("long").alias("doc_id"), F.concat("text", F.lit(" 1 2 3 4 . 1 2 3 . 9 9 9 9")).alias("text"))
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality_ledger.ledger(some.union(again)).collect()}
+    assert got == {1: (words, 0), 2: (words + 13, 4 + 7 + 4)}
+
+
+def test_only_rule(spark, sf_dir):
+    led = quality_ledger.assess(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    alone = {r.rule: r.alone for r in quality_ledger.ablation(led).collect()}
+    assert Counter(r.only_rule for r in led.collect() if r.only_rule) == Counter({r: n for r, n in alone.items() if n})
+
+
 def test_ablation(spark, sf_dir):
     led = quality_ledger.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     fails = [r.failures for r in led.collect()]
@@ -142,6 +188,64 @@ def test_host_keeps_what_few_pages_share(spark):
     assert {got[200 + i] for i in range(3)} == {f"{top}\n\n{body(7)} {long}"}
 
 
+def texts_of(spark, pages, host="a.example"):
+    rows = [(i, f"http://{host}/{i}", page) for i, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_hosts.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<div class="page no-sidebar"><article><p>one two</p></article></div>', "one two"),
+        ('<div class="content has-sidebar"><main><p>one two</p></main></div>', "one two"),
+        ('<article class="post comment-open"><p>one two</p></article>', "one two"),
+        ('<article><p>one</p><p class="advert">buy<b>!</b><p>two</p><h2 class="ad">more</h2>three</article>', "one\n\ntwo\n\nthree"),
+        ('<article><ul><li>one</li><li class="share">tell <b>all</b></li><li>two</li></ul>and <em class="ad">buy</em>three</article>', "one\n\ntwo\n\nand three"),
+        ("<article><p>extra<wbr>ordinary</p></article>", "extraordinary"),
+        ('<div class="sidebar"><p>menu</p></div><div class="ad-slot">buy</div><main>one<div class="share-links">x</div></main>', "one"),
+        ('<div class="cookie-bar">take</div><p>one</p><div id="comments"><article>reader</article></div>', "one"),
+        ('<aside><main><article>one</article></main></aside><footer>f</footer>', "one"),
+        ('<article>one<section class="related"><article>other</article></section>two<img class="ad" src="x">three</article>', "one\n\ntwothree"),
+        ("<p>a &lt;b&gt; &eacute;&#8211;&amp;amp;</p>\n<p>  two\tthree\n</p>", "a <b> é–&amp;\n\ntwo three"),
+    ],
+)
+def test_markup(page, text):
+    found = html_hosts.parse(page)
+    zone = html_hosts.main_zone(found)
+    assert "\n\n".join(t for z, t in found if z == zone) == text
+
+
+def test_host_repeats_decide_inside_articles(spark):
+    """What a host repeats goes from marked articles too; copies and syndicated text lose nothing."""
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    notice, long = "Read all of our offers of the week", " ".join(f"n{i}" for i in range(18))
+    page = lambda i: f"<nav>n{i}</nav><article><h1>{words(90 * i, 90 * i + 4)}</h1><p>{words(90 * i + 4, 90 * i + 40)} {long} {words(90 * i + 40, 90 * i + 50)}</p><p>{notice}</p><p>{words(90 * i + 50, 90 * i + 80)} that at the end of the day we won</p></article><footer>f{i}</footer>"
+    got = texts_of(spark, [page(i) for i in range(6)])
+    want = lambda i: f"{words(90 * i, 90 * i + 4)}\n\n{words(90 * i + 4, 90 * i + 50)}\n\n{words(90 * i + 50, 90 * i + 80)} that at the end of the day we won"
+    assert got == [want(i) for i in range(6)]
+    same = [f"<div>menu {i} of {i}</div><p>{words(0, 30)}</p><p>{words(30, 70)}</p>" for i in range(5)]
+    assert all(text == f"menu {i} of {i}\n\n{words(0, 30)}\n\n{words(30, 70)}" for i, text in enumerate(texts_of(spark, same)))
+    two = [f"<article><p>{words(0, 30)}</p></article>"] * 2 + [f"<article><p>{words(50 * i, 50 * i + 30)}</p></article>" for i in (1, 2)]
+    assert texts_of(spark, two) == [words(0, 30), words(0, 30), words(50, 80), words(100, 130)]
+    only = [f"<article><p>{notice}</p></article><p>{words(50 * i, 50 * i + 30)}</p>" for i in range(4)]
+    assert texts_of(spark, only) == [notice] * 4
+
+
+def test_odd_pages(spark):
+    """Repeated rows, null ids and urls, a very long page, an empty table, and columns whose names clash."""
+    long = "<article>" + "".join(f"<p>{' '.join(f'x{i}_{j}' for j in range(9))}</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://a.example/1", "<p>one</p>", 1, "m"), (1, "http://a.example/1", "<p>one</p>", 1, "m"), (None, None, "<p>two</p>", 2, "m"), (3, "http://a.example/2", long, 3, "m"), (4, "x", "<<p <a href='>'>&nbsp; </p", 4, "m")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, block int, main string")
+    got = html_hosts.extract(spark, df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    out = Counter((r.page_id, r.text) for r in got.collect() if r.page_id not in (3, 4))
+    assert out == Counter({(1, "one"): 2, (None, "two"): 1})
+    three = got.where("page_id = 3").first()
+    assert three.text.split("\n\n")[-1].startswith("x19999_0 ") and three.n_chars == len(three.text) and three.text.count("\n\n") == 19_999
+    assert html_hosts.extract(spark, df.limit(0)).count() == 0
+
+
 def test_pages_of_the_tables(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     import html as h
@@ -183,7 +287,7 @@ def brute_tokens(rows):
     from tokenizers import Tokenizer
 
     model, at, out = Tokenizer.from_file(queries.tokenizer_path()), 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = model.encode(t or "", add_special_tokens=False).ids + [2]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -199,6 +303,19 @@ def test_token_output(spark, sf_dir, odd, empty):
     assert simple8b.tokenize(spark, empty, queries.tokenizer_path()).count() == 0
 
 
+def test_token_files_stay(spark, tmp_path):
+    """A table at a path of the caller's reads again as it was written; one id of many rows lies in several parts."""
+    rows = [(None if i % 3 else i, f"some words of text {i} " * 40) for i in range(400)]
+    path = str(tmp_path / "tokens")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = simple8b.tokenize(spark, df, queries.tokenizer_path(), path).collect()
+    table = spark.read.parquet(path)
+    again = simple8b.read_tokens(spark, table).collect()
+    assert sorted(map(tuple, first), key=repr) == sorted(map(tuple, again), key=repr) and len(first) == 400
+    with_null = {r.part for r in table.collect() if simple8b.read_section(bytes(r.section))[1].any()}
+    assert len(with_null) > 1
+
+
 # ---- mixing
 
 
@@ -224,7 +341,7 @@ def test_targets(spark):
         assert all(got[n] == pytest.approx(want[i]) for i, n in enumerate(names))
 
 
-def test_mix_is_near_and_nested(spark, odd, empty):
+def test_mix_is_near_and_nested(spark, monkeypatch, odd, empty):
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(800)], "doc_id long, text string, source string")
     small, large = (mixing.mix(spark, df, share=x).select("doc_id", "size", "taken", "target", F.col("doc_id") % 4).collect() for x in (0.5, 1.0))
     for s in range(4):
@@ -232,9 +349,13 @@ def test_mix_is_near_and_nested(spark, odd, empty):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 7 and all(r.taken <= 2 * r.size for r in mine)
     more = {r.doc_id: r.taken for r in large}
     assert all(more[r.doc_id] >= r.taken for r in small)
-    got = mixing.mix(spark, odd).collect()
+    got, all_ = mixing.mix(spark, odd).collect(), mixing.mix(spark, df).collect()
     assert len(got) == len(ODD) and sum(r.size for r in got if r.doc_id == 3) == 0
     assert mixing.mix(spark, empty).count() == 0
+    with monkeypatch.context() as m:  # more sources than are broadcast
+        m.setattr(mixing, "SOURCES", 0)
+        key = lambda rows: sorted(map(tuple, rows), key=repr)
+        assert key(mixing.mix(spark, odd).collect()) == key(got) and key(mixing.mix(spark, df).collect()) == key(all_)
     taken = mixing.take(spark, odd)
     assert taken.columns == odd.columns
     times = {r.doc_id: r.times for r in got if r.doc_id is not None}
