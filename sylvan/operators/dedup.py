@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key by a total order; NULL keys form a group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    w, n = Window.partitionBy(*keys).orderBy(*order), "n"
+    while n in df.columns:
+        n += "_"
+    return df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -31,6 +33,11 @@ def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return require_unique(left, [key]).join(require_unique(right, [key]), key, "left")
 
 
+def concat_columns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two tables with the same keys side by side, whatever their orders."""
+    return left.join(right, list(keys))
+
+
 def join_suffixed(left: DataFrame, right: DataFrame, key: str, suffixes: tuple[str, str]) -> DataFrame:
     """Inner join in which only columns that both sides have get suffixes."""
     both = [c for c in left.columns if c in right.columns and c != key]

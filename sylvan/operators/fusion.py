@@ -32,18 +32,17 @@ def simple(rows: DataFrame, weight: str = "valid_measurements") -> DataFrame:
     return g.select("uniqueID", "y_true", argmax2(steady(p), steady(1 - p)).alias("y_pred_fused"), p.alias("prob_conifer"), "total_weight")
 
 
-def temporal(rows: DataFrame, weight: str = "valid_measurements", bias: float = CONIFER_BIAS, last_year: float = 0.0) -> DataFrame:
-    """As ``simple``, with a bias to conifers and, if ``last_year`` is not 0,
-    a blend with the last year's row; the larger fused score decides."""
+def temporal(rows: DataFrame, weight: str = "valid_measurements", bias: float = CONIFER_BIAS, conifer_max: float = 0.0) -> DataFrame:
+    """As ``simple``, with a bias to conifers, whose score blends by
+    ``conifer_max`` with its largest of all years; the larger score decides."""
     w = F.col(weight).cast("double")
     none = F.sum(w) <= 0
     g = rows.groupBy("uniqueID").agg(
         F.count("*").alias("n_years"), F.sum(w).alias("total_weight"), F.max("y_true").alias("y_true"),
         _weighted(none, _log("prob_conifer"), w).alias("a"), _weighted(none, _log("prob_broadleaf"), w).alias("b"),
-        F.max_by(_log("prob_conifer"), "year").alias("a1"), F.max_by(_log("prob_broadleaf"), "year").alias("b1"),
+        F.max(_log("prob_conifer")).alias("top_a"),
     )
-    blend = lambda x, y: F.lit(1 - last_year) * F.col(x) + F.lit(last_year) * F.col(y)
-    g = g.withColumn("a", blend("a", "a1") + F.lit(bias)).withColumn("b", blend("b", "b1"))
+    g = g.withColumn("a", F.lit(1 - conifer_max) * F.col("a") + F.lit(conifer_max) * F.col("top_a") + F.lit(bias))
     top = F.greatest("a", "b")
     ea, eb = F.exp(F.col("a") - top), F.exp(F.col("b") - top)
     pred = argmax2(steady("a"), steady("b"))

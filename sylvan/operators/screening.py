@@ -89,26 +89,49 @@ def thresholds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(product(NDVI_BELOW, BRIGHTER_THAN)), "ndvi_threshold double, brightness_threshold double")
 
 
-def screen(df: DataFrame, ndvi: str, brightness: str, level: str, error_col: str) -> DataFrame:
-    """What each pair of thresholds removes, by true class and error type."""
-    grid = thresholds(df.sparkSession)
-    met = df.dropna(subset=[ndvi, brightness, "y_true_name", error_col]).select("y_true_name", F.col(error_col).alias("error_type"), steady(ndvi).alias("x"), steady(brightness).alias("b"))
-    met = met.crossJoin(F.broadcast(grid))  # 30 rows
-    out = met.groupBy("ndvi_threshold", "brightness_threshold", "y_true_name", "error_type").agg(
-        F.count("*").alias("n_total"), F.count_if((F.col("x") < F.col("ndvi_threshold")) & (F.col("b") > F.col("brightness_threshold"))).alias("n_removed")
-    )
+#: level, NDVI and brightness metric, error column
+LEVELS = (
+    ("tree_mean_across_years", "mean_raw_NDVI_summer_mean", "mean_raw_visible_brightness_summer_mean", "tree_error_type"),
+    ("tree_min_ndvi_max_brightness_across_years", "min_raw_NDVI_summer_mean", "max_raw_visible_brightness_summer_mean", "tree_error_type"),
+    ("tree_year", "raw_NDVI_summer_mean", "raw_visible_brightness_summer_mean", "row_error_type"),
+)
+
+
+def screen(stacked: DataFrame) -> DataFrame:
+    """What each pair of thresholds removes, by true class and error type.
+    Rows (level, y_true_name, error_type, x, b) are counted once by how many
+    thresholds of either kind they pass; the 30 pairs meet those counts."""
+    x, b = steady("x"), steady("b")
+    below = sum(((x < F.lit(t)).cast("int") for t in NDVI_BELOW), F.lit(0))
+    above = sum(((b > F.lit(t)).cast("int") for t in BRIGHTER_THAN), F.lit(0))
+    keys = ["level", "y_true_name", "error_type"]
+    counts = stacked.dropna(subset=["x", "b", "y_true_name", "error_type"]).groupBy(*keys, below.alias("below"), above.alias("above")).agg(F.count("*").alias("m"))
+    pairs = [(i, j, n, t) for i, n in enumerate(NDVI_BELOW) for j, t in enumerate(BRIGHTER_THAN)]
+    grid = stacked.sparkSession.createDataFrame(pairs, "i int, j int, ndvi_threshold double, brightness_threshold double")
+    passes = (F.col("below") >= len(NDVI_BELOW) - F.col("i")) & (F.col("above") > F.col("j"))
+    out = counts.crossJoin(F.broadcast(grid)).groupBy(*keys, "ndvi_threshold", "brightness_threshold").agg(F.sum("m").alias("n_total"), F.sum(F.when(passes, F.col("m")).otherwise(0)).alias("n_removed"))  # 30 rows
+    named = lambda at: F.create_map(*[F.lit(v) for row in LEVELS for v in (row[0], row[at])])[F.col("level")]
+    out = out.withColumn("ndvi_metric", named(1)).withColumn("brightness_metric", named(2)).withColumn("error_col", named(3))
     return out.select(
-        F.lit(level).alias("level"), F.lit(ndvi).alias("ndvi_metric"), F.lit(brightness).alias("brightness_metric"), "ndvi_threshold", "brightness_threshold",
-        F.concat(F.lit(f"{ndvi} < "), F.col("ndvi_threshold").cast("string"), F.lit(f" AND {brightness} > "), F.col("brightness_threshold").cast("string")).alias("rule"),
-        F.lit(error_col).alias("error_col"), "y_true_name", "error_type", "n_total", "n_removed", (100 * F.col("n_removed") / F.col("n_total")).alias("pct_removed"),
+        "level", "ndvi_metric", "brightness_metric", "ndvi_threshold", "brightness_threshold",
+        F.concat("ndvi_metric", F.lit(" < "), F.col("ndvi_threshold").cast("string"), F.lit(" AND "), "brightness_metric", F.lit(" > "), F.col("brightness_threshold").cast("string")).alias("rule"),
+        "error_col", "y_true_name", "error_type", "n_total", "n_removed", (100 * F.col("n_removed") / F.col("n_total")).alias("pct_removed"),
     )
 
 
-def all_screens(tree_year: DataFrame, summary: DataFrame) -> DataFrame:
-    n, b = "raw_NDVI_summer_mean", "raw_visible_brightness_summer_mean"
-    mean = screen(summary, f"mean_{n}", f"mean_{b}", "tree_mean_across_years", "tree_error_type")
-    worst = screen(summary, f"min_{n}", f"max_{b}", "tree_min_ndvi_max_brightness_across_years", "tree_error_type")
-    return mean.unionByName(worst).unionByName(screen(tree_year, n, b, "tree_year", "row_error_type"))
+def all_screens(tree_year: DataFrame) -> DataFrame:
+    """The three levels from one aggregation: a tree's means and extremes,
+    where none of its keys is missing, and its years."""
+    n, b = LEVELS[2][1:3]
+    year = F.struct("y_true_name", F.col("row_error_type").alias("error_type"), F.col(n).alias("x"), F.col(b).alias("b"))
+    trees = tree_year.groupBy(*TREE_KEYS).agg(F.avg(n).alias("x0"), F.avg(b).alias("b0"), F.min(n).alias("x1"), F.max(b).alias("b1"), F.collect_list(year).alias("years"))
+    whole = F.lit(True)
+    for c in TREE_KEYS:
+        whole = whole & F.col(c).isNotNull()
+    row = lambda level, err, x, b: F.struct(F.lit(level).alias("level"), F.col("y_true_name"), err.alias("error_type"), x.alias("x"), b.alias("b"))
+    own = F.when(whole, F.array(*[row(LEVELS[i][0], F.col("tree_error_type"), F.col(f"x{i}"), F.col(f"b{i}")) for i in (0, 1)])).otherwise(F.array())
+    years = F.transform("years", lambda y: F.struct(F.lit(LEVELS[2][0]).alias("level"), y["y_true_name"].alias("y_true_name"), y["error_type"].alias("error_type"), y["x"].alias("x"), y["b"].alias("b")))
+    return screen(trees.select(F.explode(F.concat(own, years)).alias("r")).select("r.*"))
 
 
 def selectivity(screens: DataFrame) -> DataFrame:

@@ -32,11 +32,18 @@ def radius_pairs(points: DataFrame, radius: float = RADIUS, key: str = "uniqueID
 def neighbour_counts(base: DataFrame, radius: float = RADIUS) -> DataFrame:
     """``base`` with its neighbours, those of the other true class, those of
     another predicted class, and the rates (NULL without neighbours)."""
-    edges = radius_pairs(base, radius, carry=("true_label", "pred_label"))
-    differ = lambda c: F.count_if(F.col(f"a_{c}") != F.col(f"b_{c}"))
-    n = edges.groupBy(F.col("a").alias("uniqueID")).agg(F.count("*").alias("n"), differ("true_label").alias("o"), differ("pred_label").alias("d"))
+    own = ("X_COORD", "Y_COORD", "true_label", "pred_label")
+    # rows of one place and labels stand for each other: repeated places make no pairs
+    kinds = base.dropna(subset=list(own[:2])).groupBy(*own).agg(F.count("*").alias("m")).withColumn("kind", F.struct(*own))
+    edges = radius_pairs(kinds, radius, "kind", carry=("true_label", "pred_label", "m"))
+    differ = lambda c: F.sum(F.when(F.col(f"a_{c}") != F.col(f"b_{c}"), F.col("b_m")).otherwise(0))
+    others = edges.groupBy(F.col("a").alias("kind")).agg(F.sum("b_m").alias("k"), differ("true_label").alias("o"), differ("pred_label").alias("d"))
+    n = kinds.select("kind", "m").join(others, "kind", "left").select(
+        *[F.col(f"kind.{c}").alias(f"of_{c}") for c in own], F.nullif(F.coalesce("k", F.lit(0)) + F.col("m") - 1, F.lit(0)).alias("n"), F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("d", F.lit(0)).alias("d")
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return base.join(n, "uniqueID", "left").select(
+    same = [F.col(f"of_{c}").eqNullSafe(F.col(c)) for c in own[2:]] + [F.col(f"of_{c}") == F.col(c) for c in own[:2]]
+    return base.join(n, same, "left").select(
         *base.columns, zero("n").alias("n_neighbors_within_radius"), zero("o").alias("n_true_opposite_neighbors_within_radius"), ratio("o", "n").alias("true_opposite_neighbor_rate"),
         zero("d").alias("n_pred_disagree_neighbors_within_radius"), ratio("d", "n").alias("neighbor_prediction_disagreement_rate"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import expr as X
 from ..functions import indices as I
 from ..functions import labels as L
-from ..operators import acquire, dedup, evaluate, fusion, ml, phenology, qa, reports, screening, spatial, split, treeyear, weather
+from ..operators import acquire, dedup, evaluate, fusion, ml, network, phenology, qa, reports, screening, spatial, split, treeyear, weather
 from ..sources import adapters as A
 from ..sources import config, files, spines
 from . import views as V
@@ -77,11 +77,11 @@ def s3(s, d):
 
 
 def valid_dates(s, d):
-    """Days on which every tenth tree was observed."""
-    return A.weather_hourly(s, d).where(F.col("uniqueID") % 10 == 0).select(F.to_date("ts").alias("date")).distinct().where("date >= DATE'2024-01-12' AND date <= DATE'2024-01-20'")
+    """Days on which any tree was observed."""
+    return A.weather_hourly(s, d).select(F.to_date("ts").alias("date")).distinct()
 
 
-_VALID = "SELECT DISTINCT CAST(ts AS DATE) AS date FROM weather_hourly WHERE uniqueID % 10 = 0 AND CAST(ts AS DATE) BETWEEN DATE '2024-01-12' AND DATE '2024-01-20'"
+_VALID = "SELECT DISTINCT CAST(ts AS DATE) AS date FROM weather_hourly"
 
 
 @query("S4_weather_source", W("SELECT uniqueID, count(*) AS n FROM weather_hourly, (SELECT min(date) AS a, max(date) AS b FROM valid) WHERE ts >= a - INTERVAL 30 DAY AND ts < b + INTERVAL 1 DAY GROUP BY uniqueID", "weather_hourly", valid=_VALID))
@@ -131,12 +131,32 @@ def s9(s, d):
     return files.read_cache(s, path, "seq0_ann1")
 
 
-@query("S10_checkpoint_read")
+QUICK = network.Settings(hidden=(8,), epochs=2, workers=2)
+
+
+def small_network(s, d, folder):
+    """A network on two columns of the predictions: what checkpoints are tried with."""
+    rows = A.row_pred(s, d).withColumn("weight", F.col("valid_measurements").cast("double"))
+    names = ["weight", "prob_broadleaf"]
+    net, _ = network.train(s, rows.where("split = 'train'"), rows.where("split = 'val'"), names, "y_true", folder, QUICK, "small")
+    return net, rows.select("uniqueID", "year", "valid_measurements", "y_true", *names)
+
+
+@query("S10_checkpoint_read", W("SELECT count(DISTINCT uniqueID) AS n_trees, 0 AS n_different, 'checkpoint is of tag small' AS refused FROM row_pred", "row_pred"))
 def s10(s, d):
-    path, rows = config.scratch(s, "model"), A.row_pred(s, d)
-    data = rows.select(F.col("valid_measurements").cast("double").alias("x"), F.col("y_true").cast("double").alias("y"))
-    files.save_model(ml.random_forest(data, ["x"], "y", trees=3, depth=3), path, {"tag": "rf"})
-    return ml.importances(files.load_model(s, path, "rf"))
+    """New rows through a saved network to fused trees that are written, against the network at hand."""
+    folder = config.scratch(s, "checkpoint")
+    net, rows = small_network(s, d, folder)
+    network.save(s, net, f"{folder}/best")
+    network.infer(s, f"{folder}/best", "small", rows, f"{folder}/fused")
+    here = fusion.temporal(network.predict(net, rows)).select("uniqueID", F.col("prob_conifer").alias("p"))
+    met = s.read.parquet(f"{folder}/fused").join(here, "uniqueID", "full")
+    try:
+        network.load(s, f"{folder}/best", "other")
+        refused = "none"
+    except ValueError as e:
+        refused = "checkpoint is of tag small" if "'small'" in str(e) else str(e)
+    return met.agg(F.count("*").alias("n_trees"), F.count_if(~F.coalesce(F.col("p") == F.col("prob_conifer"), F.lit(False))).alias("n_different"), F.lit(refused).alias("refused"))
 
 
 @query("S11_date_spine", "SELECT CAST(range AS DATE) AS date FROM range(DATE '2023-12-15', DATE '2024-01-21', INTERVAL 1 DAY)")
@@ -152,9 +172,13 @@ def s12(s, d):
     return spines.tumbling(s, "2024-01-01", "2025-01-01")
 
 
-@query("S13_settings", "SELECT 'points' AS name, 'default' AS value")
+@query("S13_settings", "SELECT * FROM (VALUES ('EARTH_PROJECT', 'trees 2024'), ('POINTS_ASSET', 'users/trees'), ('absent', 'default')) AS t(name, value)")
 def s13(s, d):
-    return s.createDataFrame([("points", config.setting(s, "points.asset", "default"))], "name string, value string")
+    path = config.scratch(s, "settings")
+    lines = ["# keys of a run", "", "EARTH_PROJECT='trees 2024'", "export POINTS_ASSET=users/trees"]
+    s.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    found = config.read_env(s, path) | {"absent": config.setting(s, "no.such.setting", "default")}
+    return s.createDataFrame(sorted(found.items()), "name string, value string")
 
 
 # ---------------------------------------------------------------- sinks
@@ -204,12 +228,18 @@ def k6(s, d):
     return s.read.parquet(f"{path}/meta")
 
 
-@query("K7_model_write")
+@query("K7_model_write", W("""SELECT '{"metric": "conifer_f1", "tag": "v5"}' AS meta, count(*) AS n, 0 AS n_different FROM row_pred""", "row_pred"))
 def k7(s, d):
+    """A saved forest's predictions against those of the forest at hand."""
     path, rows = config.scratch(s, "model"), A.row_pred(s, d)
-    data = rows.select(F.col("valid_measurements").cast("double").alias("x"), F.col("y_true").cast("double").alias("y"))
-    files.save_model(ml.random_forest(data, ["x"], "y", trees=2, depth=2), path, {"tag": "v5", "metric": "conifer_f1"})
-    return s.read.text(f"{path}/meta")
+    data = rows.select("uniqueID", "year", F.col("valid_measurements").cast("double").alias("x"), F.col("prob_conifer").alias("z"), F.col("y_true").cast("double").alias("y"))
+    model = ml.random_forest(data, ["x", "z"], "y", trees=5, depth=5)
+    files.save_model(model, path, {"tag": "v5", "metric": "conifer_f1"})
+    key = ["uniqueID", "year"]
+    there = ml.probabilities(files.load_model(s, path, "v5"), data).select(*key, F.col("prob_conifer").alias("p"))
+    met = ml.probabilities(model, data).join(there, key, "full")
+    meta = s.read.text(f"{path}/meta").first().value
+    return met.agg(F.lit(meta).alias("meta"), F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("p") == F.col("prob_conifer"), F.lit(False))).alias("n_different"))
 
 
 _BINNED = "SELECT *, greatest(len(list_filter(edges, lambda e: e < round(v, 9))), 1) AS bin FROM (SELECT *, CAST({c} AS DOUBLE) AS v FROM {t}), (SELECT list_sort(list_distinct(list_transform(quantile_cont(CAST({c} AS DOUBLE), {q}), lambda e: round(e, 9)))) AS edges FROM {t}) WHERE v IS NOT NULL"
@@ -488,7 +518,8 @@ def j13(s, d):
 @query("J14_keyed_concat", W("SELECT uniqueID, date, ord1, CAST(ord2 AS BIGINT) AS ord2, " + rs("NDVI", "raw_NDVI") + " FROM idx JOIN raw USING (uniqueID, date, ord1, ord2)", "idx", "raw"))
 def j14(s, d):
     """Columns side by side by key, where positions would serve a local table."""
-    return I.with_raw(idx(s, d)).select("uniqueID", "date", "ord1", "ord2", "NDVI", "raw_NDVI")
+    key = ["uniqueID", "date", "ord1", "ord2"]
+    return dedup.concat_columns(idx(s, d).select(*key, "NDVI"), raw(s, d).select(*key, "raw_NDVI"), key)
 
 
 @query("J15_grid_product", "SELECT n AS ndvi_threshold, b AS brightness_threshold FROM (SELECT unnest([0.3, 0.35, 0.4, 0.45, 0.5])::DOUBLE AS n), (SELECT unnest([0.06, 0.08, 0.1, 0.12, 0.14, 0.16])::DOUBLE AS b)")
@@ -496,9 +527,9 @@ def j15(s, d):
     return screening.thresholds(s)
 
 
-@query("J16_lookup", W("SELECT uniqueID, label FROM l WHERE uniqueID IN (SELECT DISTINCT uniqueID FROM obs WHERE uniqueID % 7 = 0)", "obs", "trees", l=_LABELS))
+@query("J16_lookup", W("SELECT uniqueID, label FROM l WHERE uniqueID IN (SELECT DISTINCT uniqueID FROM obs)", "obs", "trees", l=_LABELS))
 def j16(s, d):
-    ids = A.obs(s, d).where("uniqueID % 7 = 0").select("uniqueID").distinct()
+    ids = A.obs(s, d).select("uniqueID").distinct()
     return ids.join(label_rows(s, d), "uniqueID")
 
 
@@ -564,13 +595,13 @@ def a5(s, d):
 _ANGLE = "2 * pi() * {} / 365.0::DOUBLE"
 _PHENO = """SELECT uniqueID, year, variable, avg(value) AS mean, min(value) AS min, max(value) AS max, max(value) - min(value) AS range, stddev_pop(value) AS std,
   first(doy ORDER BY value DESC, date, ord1, ord2) AS dmax, first(doy ORDER BY value, date, ord1, ord2) AS dmin, CASE WHEN sum(greatest(value, 0)) > 0 THEN sum(doy * greatest(value, 0)) / sum(greatest(value, 0)) END AS centre,
-  coalesce(max(slope) FILTER (slope > 0), 0) AS max_positive_slope, coalesce(min(slope) FILTER (slope < 0), 0) AS max_negative_slope, avg(CAST(value > year_mean AS INT)) AS frac_above_mean,
-  CASE WHEN sum(span) > 0 THEN coalesce(sum(span) FILTER (mid > year_mean), 0) / sum(span) END AS frac_time_above_mean, CASE WHEN sum(span) > 0 THEN coalesce(sum(span) FILTER (mid > 0.8::DOUBLE * year_max), 0) / sum(span) END AS frac_time_above_80pct_max,
+  coalesce(max(slope) FILTER (slope > 0), 0) AS max_positive_slope, coalesce(min(slope) FILTER (slope < 0), 0) AS max_negative_slope, avg(CAST(value > year_mean AS INT)) AS frac_above_yearly_mean,
+  CASE WHEN sum(span) > 0 THEN coalesce(sum(span) FILTER (mid > year_mean), 0) / sum(span) END AS frac_time_above_yearly_mean, CASE WHEN sum(span) > 0 THEN coalesce(sum(span) FILTER (mid > 0.8::DOUBLE * year_max), 0) / sum(span) END AS frac_time_above_80pct_max,
   avg(value) FILTER (season = 'winter') AS winter, avg(value) FILTER (season = 'spring') AS spring, avg(value) FILTER (season = 'summer') AS summer, avg(value) FILTER (season = 'fall') AS fall FROM steps GROUP BY ALL"""
-_PF = ("mean", "min", "max", "range", "std", "max_positive_slope", "max_negative_slope", "frac_above_mean", "frac_time_above_mean", "frac_time_above_80pct_max")
+_PF = ("mean", "min", "max", "range", "std", "max_positive_slope", "max_negative_slope", "frac_above_yearly_mean", "frac_time_above_yearly_mean", "frac_time_above_80pct_max")
 
 
-@query("A6_phenology", W("SELECT uniqueID, year, variable, " + rs(*_PF) + ", " + ", ".join(f"{R(f'{fn}({_ANGLE.format(c)})')} AS {n}_{fn}" for n, c in (("doy_max", "dmax"), ("doy_min", "dmin"), ("centre", "centre")) for fn in ("sin", "cos")) + f", {R('summer')} AS summer_mean, {R('winter')} AS winter_mean, {R('summer - winter')} AS summer_minus_winter, {R('fall - spring')} AS fall_minus_spring FROM p", "idx", longs=_LONG, steps=_STEPS, p=_PHENO))
+@query("A6_phenology", W("SELECT uniqueID, year, variable, " + rs(*_PF) + ", " + ", ".join(f"{R(f'{fn}({_ANGLE.format(c)})')} AS {n}_{fn}" for n, c in (("doy_max", "dmax"), ("doy_min", "dmin"), ("center_green", "centre")) for fn in ("sin", "cos")) + f", {R('summer')} AS summer_mean, {R('winter')} AS winter_mean, {R('spring - winter')} AS spring_minus_winter, {R('fall - summer')} AS fall_minus_summer FROM p", "idx", longs=_LONG, steps=_STEPS, p=_PHENO))
 def a6(s, d):
     return phenology.features(stepped(s, d))
 
@@ -648,8 +679,7 @@ _SCREENS = " UNION ALL ".join([screen_sql("tree_summary", f"mean_{_NM}", f"mean_
 
 
 def screens(s, d):
-    ty = tree_years(s, d)
-    return screening.all_screens(ty, screening.tree_summary(ty))
+    return screening.all_screens(tree_years(s, d))
 
 
 @query("A14_threshold_screens", W("SELECT * EXCLUDE (pct_removed), " + rs("pct_removed") + " FROM sc", "tree_year", "tree_summary", sc=_SCREENS))
@@ -751,9 +781,9 @@ def w4(s, d):
     return stepped(s, d).select("uniqueID", "date", "ord1", "ord2", "variable", "slope")
 
 
-@query("W5_time_shares", W("SELECT uniqueID, year, variable, " + rs("frac_time_above_mean", "frac_time_above_80pct_max") + " FROM p", "idx", longs=_LONG, steps=_STEPS, p=_PHENO))
+@query("W5_time_shares", W("SELECT uniqueID, year, variable, " + rs("frac_time_above_yearly_mean", "frac_time_above_80pct_max") + " FROM p", "idx", longs=_LONG, steps=_STEPS, p=_PHENO))
 def w5(s, d):
-    return phenology.features(stepped(s, d)).select("uniqueID", "year", "variable", "frac_time_above_mean", "frac_time_above_80pct_max")
+    return phenology.features(stepped(s, d)).select("uniqueID", "year", "variable", "frac_time_above_yearly_mean", "frac_time_above_80pct_max")
 
 
 @query("W6_delta_days", W("SELECT uniqueID, date, ord1, CAST(ord2 AS BIGINT) AS ord2, " + R("coalesce(date - lag(date) OVER (PARTITION BY uniqueID, year(date) ORDER BY date, ord1, ord2), 0) / 30.0::DOUBLE") + " AS delta_days FROM obs", "obs"))
@@ -1027,27 +1057,58 @@ def l2(s, d):
     return split.balanced(label_rows(s, d), "label", "uniqueID")
 
 
-def features(s, d):
-    """Phenology features with classes, for the classifiers."""
-    f = phenology.wide(idx(s, d))
-    names = [c for c in f.columns if c not in ("uniqueID", "year", "n_obs")]
-    labelled = f.join(label_rows(s, d), "uniqueID").withColumn("y", (F.col("label") == "broadleaf").cast("double"))
-    return split.impute(labelled, labelled.where("uniqueID % 10 < 8"), tuple(names)), names
+def labelled(s, d, table):
+    """Rows of labelled trees with their split, and y (0 is conifer)."""
+    trees = split.stratified(label_rows(s, d), "uniqueID", "label")
+    return table.join(trees, "uniqueID").withColumn("y", (F.col("label") == "broadleaf").cast("int"))
+
+
+def forest(s, d):
+    """(the forest of balanced training rows, all rows, names of the features)."""
+    wide = phenology.wide(idx(s, d))
+    names = [c for c in wide.columns if c not in ("uniqueID", "year", "n_obs")]
+    rows = labelled(s, d, wide).withColumn("place", F.col("uniqueID") * 10000 + F.col("year"))
+    train = split.balanced(rows.where("split = 'train'"), "label", "place")
+    path = config.scratch(s, "phenology")  # both sides read the features several times
+    files.write_table(split.impute(rows, train, tuple(names)), path)
+    rows = s.read.parquet(path)
+    train = split.balanced(rows.where("split = 'train'"), "label", "place")
+    return ml.random_forest(train, names, "y"), train, rows, names
 
 
 @query("L3_random_forest")
 def l3(s, d):
-    f, names = features(s, d)
-    model = ml.random_forest(f.where("uniqueID % 10 < 8"), names, "y", trees=10, depth=5)
-    return ml.probabilities(model, f.where("uniqueID % 10 >= 8")).select("uniqueID", "year", "prob_conifer", "y_pred")
+    model, _, rows, _ = forest(s, d)
+    return ml.probabilities(model, rows.where("split <> 'train'")).select("uniqueID", "year", "split", "prob_conifer", "y_pred")
+
+
+@query("L3_forest_scores", "SELECT 500 AS n_trees, 40 AS n_features, true AS sums_to_one, true AS learns")
+def l3s(s, d):
+    """The forest at the reference's setting knows nearly all rows that it was fitted on."""
+    model, train, _, names = forest(s, d)
+    found = ml.probabilities(model, train).agg(F.avg((F.col("y") == F.col("y_pred")).cast("double")).alias("a"), F.max(F.abs(F.col("prob_conifer") + F.col("prob_broadleaf") - 1)).alias("e"))
+    whole = F.lit(abs(sum(r.importance for r in ml.importances(model).collect()) - 1) < 1e-6)  # a row a feature
+    return found.select(F.lit(model.stages[-1].getNumTrees).alias("n_trees"), F.lit(len(names)).alias("n_features"), ((F.col("e") < 1e-9) & whole).alias("sums_to_one"), (F.col("a") > 0.9).alias("learns"))
+
+
+ANNUAL = tuple(f"{c}_{k}" for c in treeyear.COLUMNS for k in ("mean", "min", "max", "range", "std")) + tuple(f"NDVI_{x}_mean" for x in treeyear.SEASONS) + ("NDVI_spring_minus_winter", "NDVI_fall_minus_summer", "NDVI_share_above_mean")
+
+
+def annual_run(s, d, settings=network.Settings()):
+    """(network, history, held rows): the annual branch at the reference's setting."""
+    key = ["uniqueID", "year"]
+    table = treeyear.annual_metrics(met(s, d)).join(treeyear.seasonal_ndvi(idx(s, d)), key).join(treeyear.coverage(A.obs(s, d), I.BANDS), key)
+    folder = config.scratch(s, "annual")
+    files.write_table(labelled(s, d, table), f"{folder}/rows")
+    rows = s.read.parquet(f"{folder}/rows")
+    net, history = network.train(s, rows.where("split = 'train'"), rows.where("split = 'val'"), ANNUAL, "y", folder, settings)
+    return net, history, rows
 
 
 @query("L4_annual_network")
 def l4(s, d):
-    f, names = features(s, d)
-    f = treeyear.standardise(f, treeyear.moments(f.where("uniqueID % 10 < 8"), tuple(names)), tuple(names))
-    model = ml.perceptron(f.where("uniqueID % 10 < 8"), names, "y", hidden=(8,), rounds=10)
-    return ml.probabilities(model, f.where("uniqueID % 10 >= 8")).select("uniqueID", "year", "prob_conifer", "y_pred")
+    net, _, rows = annual_run(s, d)
+    return network.predict(net, rows.where("split <> 'train'")).select("uniqueID", "year", "split", "prob_conifer", "y_pred")
 
 
 @query("L5_fusion_simple", W("SELECT uniqueID, CAST(y_true AS BIGINT) AS y_true, CAST(CASE WHEN round(p, 12) >= round(1 - p, 12) THEN 0 ELSE 1 END AS BIGINT) AS y_pred_fused, " + R("p") + " AS prob_conifer, " + rs("total_weight") + " FROM (SELECT *, exp(a) / (exp(a) + exp(b)) AS p FROM si)", "logs", si=_SIMPLE.format("logs")))
@@ -1060,6 +1121,14 @@ def l6(s, d):
     return fusion.temporal(A.row_pred(s, d))
 
 
+_BLEND = "SELECT uniqueID, 0.75::DOUBLE * (CASE WHEN sum(w) <= 0 THEN avg(la) ELSE sum(w * la) / sum(w) END) + 0.25::DOUBLE * max(la) + 0.05::DOUBLE AS a, CASE WHEN sum(w) <= 0 THEN avg(lb) ELSE sum(w * lb) / sum(w) END AS b FROM logs GROUP BY uniqueID"
+
+
+@query("L6_fusion_conifer_max", W("SELECT uniqueID, CAST(CASE WHEN round(a, 12) >= round(b, 12) THEN 0 ELSE 1 END AS BIGINT) AS y_pred_fused, " + R("exp(a) / (exp(a) + exp(b))") + " AS prob_conifer FROM bl", "logs", bl=_BLEND))
+def l6max(s, d):
+    return fusion.temporal(A.row_pred(s, d), conifer_max=0.25).select("uniqueID", "y_pred_fused", "prob_conifer")
+
+
 @query("L7_fusion_mean_log", W("SELECT uniqueID, CAST(y_true AS BIGINT) AS y_true, CAST(CASE WHEN round(a, 12) >= round(b, 12) THEN 0 ELSE 1 END AS BIGINT) AS y_pred, " + R("a") + " AS log_conifer, " + R("b") + " AS log_broadleaf FROM (SELECT uniqueID, max(y_true) AS y_true, avg(ln(prob_conifer + 0.000000000001::DOUBLE)) AS a, avg(ln(prob_broadleaf + 0.000000000001::DOUBLE)) AS b FROM row_pred GROUP BY uniqueID)", "row_pred"))
 def l7(s, d):
     return fusion.mean_log(A.row_pred(s, d))
@@ -1077,17 +1146,13 @@ def l9(s, d):
     return split.penalised_loss(rows, split.class_weights(rows.where("split = 'train'"), "y_true"))
 
 
+HISTORY = "epoch long, lr double, train_loss double, train_acc_row double, val_loss double, val_acc_row double, val_acc_tree_fused double, val_conifer_f1 double"
+
+
 @query("L10_training_history")
 def l10(s, d):
-    """Rounds of a short training run: the table that a training loop leaves."""
-    f, names = features(s, d)
-    f = treeyear.standardise(f, treeyear.moments(f.where("uniqueID % 10 < 8"), tuple(names)), tuple(names))
-    out = None
-    for n in (5, 10):
-        model = ml.perceptron(f.where("uniqueID % 10 < 8"), names, "y", hidden=(8,), rounds=n)
-        row = ml.mean_loss(ml.probabilities(model, f.where("uniqueID % 10 = 8")), "y").withColumn("epoch", F.lit(n))
-        out = row if out is None else out.union(row)
-    return out
+    """A row for each epoch of the run that L4 takes its network from."""
+    return s.createDataFrame(annual_run(s, d)[1], HISTORY)
 
 
 @query("L11_mean_loss", W("SELECT " + R("avg(-ln(greatest(CASE WHEN y_true = 0 THEN prob_conifer ELSE prob_broadleaf END, 1e-12::DOUBLE)))") + " AS loss, " + R("avg(CAST(y_true = y_pred AS INT))") + " AS accuracy, count(*) AS n FROM row_pred", "row_pred"))

@@ -17,6 +17,18 @@ def setting(spark: SparkSession, name: str, default: str | None = None) -> str |
     return found if found is not None else os.environ.get((PREFIX + name).replace(".", "_").upper(), default)
 
 
+def read_env(spark: SparkSession, path: str) -> dict[str, str]:
+    """The NAME=value lines of a settings file on any store that Spark reads;
+    blank lines and comments go, as do quotes around a value."""
+    out = {}
+    for (line,) in spark.read.text(path).collect():  # a handful of lines
+        name, eq, value = line.strip().removeprefix("export ").partition("=")
+        if eq and not name.startswith("#"):
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the session shares with executors.
     Where it names none, a local session uses a temporary folder and a

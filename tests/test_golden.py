@@ -51,7 +51,7 @@ def pheno(spark, rows):
 
 def test_phenology(spark):
     r = pheno(spark, [((1, 15), 0.2), ((4, 10), 0.5), ((7, 1), 0.8), ((8, 30), 0.8), ((11, 5), 0.3)])
-    want = dict(mean=0.52, std=0.248193, range=0.6, doy_max_sin=0.008607, doy_max_cos=-0.999963, doy_min_sin=0.255353, doy_min_cos=0.966848, centre_sin=-0.068802, centre_cos=-0.99763, max_positive_slope=0.003659, max_negative_slope=-0.007463, frac_above_mean=0.4, frac_time_above_mean=0.710884, frac_time_above_80pct_max=0.482993)
+    want = dict(mean=0.52, std=0.248193, range=0.6, doy_max_sin=0.008607, doy_max_cos=-0.999963, doy_min_sin=0.255353, doy_min_cos=0.966848, center_green_sin=-0.068802, center_green_cos=-0.99763, max_positive_slope=0.003659, max_negative_slope=-0.007463, frac_above_yearly_mean=0.4, frac_time_above_yearly_mean=0.710884, frac_time_above_80pct_max=0.482993, spring_minus_winter=0.3, fall_minus_summer=-0.5)
     for k, v in want.items():
         assert r[k] == near(v), k
 
@@ -71,6 +71,8 @@ def test_fusion(spark):
     df = spark.createDataFrame([(*r, 1 - r[3], 0) for r in FUSED], "uniqueID long, year int, valid_measurements long, prob_conifer double, prob_broadleaf double, y_true int")
     s = {r.uniqueID: (r.prob_conifer, r.y_pred_fused) for r in fusion.simple(df).collect()}
     t = {r.uniqueID: (r.prob_conifer, r.y_pred_fused) for r in fusion.temporal(df).collect()}
+    m = {r.uniqueID: r.prob_conifer for r in fusion.temporal(df, bias=0.0, conifer_max=1.0).collect()}
+    assert m[1] == near(0.6 / (0.6 + math.exp((10 * math.log(0.4) + 30 * math.log(0.6)) / 40)))  # the largest of all years, for conifers alone
     assert s == {1: (near(0.449490), 1), 2: (near(0.433030), 1), 3: (near(0.5), 0), 4: (near(0.49), 1)}
     assert t == {1: (near(0.461891), 1), 2: (near(0.445345), 1), 3: (near(0.512497), 0), 4: (near(0.502499), 0)}
 
@@ -103,6 +105,23 @@ def test_quantile_bins(spark):
     assert got == [(1, 2.2, 5), (2, 3.6, 1), (3, 10.0, 2)]
 
 
+def test_quantiles_are_exact(spark, monkeypatch):
+    """Brackets of a coarse sketch, ties and groups, against a plain sort."""
+    monkeypatch.setattr(reports, "ACCURACY", 20)
+    rows = [(g, float(v * v % 89) if v % 7 else None) for g, n in ((0, 1), (1, 2), (2, 30), (3, 700)) for v in range(1, n + 1)] + [(4, 1.0)] * 50 + [(5, None)]
+    shares = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(7)
+
+    def want(values):
+        v = sorted(x for x in values if x is not None)
+        at = [s * (len(v) - 1) for s in shares]
+        return [near(v[math.floor(a)] + (v[math.ceil(a)] - v[math.floor(a)]) * (a - math.floor(a))) for a in at]
+
+    got = {r.g: r.q for r in reports.quantiles(df, "x", shares, ["g"]).collect()}
+    assert got == {g: want([x for h, x in rows if h == g]) for g in range(5)}
+    assert reports.quantiles(df, "x", shares).first().q == want([x for _, x in rows])
+
+
 def test_report(spark):
     rows = [(0, 0)] * 3 + [(0, 1)] + [(1, 0)] * 2 + [(1, 1)] * 4
     df = spark.createDataFrame(rows, "y_true int, y_pred int")
