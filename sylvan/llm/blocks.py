@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from .shared import lean, lean_group, lean_pair, ready_python, stage
 
 NULL_ID = np.iinfo(np.int64).max
-BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, payload binary"
+BLOCK_SCHEMA = "bundle long, block long, n_bytes long, payload binary"
 BLOB_SCHEMA = "shard int, block long, blob binary"  # block: of the bundle
+BUCKETS = 50_000  # files that a task reads as one, at most
 LEAST_BLOB = 2048  # bytes of text for each byte of the product of a bundle and a shard
 
 
@@ -67,28 +69,45 @@ def _payload(ids: list, groups: list, texts: list[bytes], level: int = 3) -> byt
     return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
-def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, block_bytes: int, group: F.Column | None = None, level: int = 3) -> DataFrame:
+@dataclass
+class Blocks:
+    """Staged blocks, the bytes of all their source texts, and blocks a bundle."""
+
+    df: DataFrame
+    total: int
+    size: int
+    buckets: int
+
+
+def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, block_bytes: int, group: F.Column | None = None, level: int = 3, total: int | None = None) -> Blocks:
     """Stage ``df`` as blocks of about ``block_bytes`` of text (one document
     at least). A null text is an empty one; a null id is kept as null.
     ``group`` (a long) may tie documents, such as the pages of a host;
-    ``level`` is zstd's."""
+    ``level`` is zstd's; ``total`` are the bytes of text, counted if not given.
+
+    The table is bucketed by bundle, so blocks meet their answers where they
+    lie: only the answers are shuffled."""
+    if total is None:
+        total = text_bytes(df, text_col)
+    size = bundle_size(total, block_bytes)
+    buckets = min(BUCKETS, max(1, total // (block_bytes * size)))
 
     def rows(batches):
         part, seq = TaskContext.get().partitionId() << 32, 0
-        ids, groups, texts, size = [], [], [], 0
+        ids, groups, texts, n = [], [], [], 0
         for batch in batches:
             for i, g, t in zip(batch["id"].to_pylist(), batch["grp"].to_pylist(), batch["text"].cast(pa.binary())):
                 t = t.as_py() or b""
-                if texts and size + len(t) > block_bytes:
-                    yield flush(part + seq, ids, groups, texts, size)
-                    seq, ids, groups, texts, size = seq + 1, [], [], [], 0
+                if texts and n + len(t) > block_bytes:
+                    yield flush(part + seq, ids, groups, texts, n)
+                    seq, ids, groups, texts, n = seq + 1, [], [], [], 0
                 ids.append(i), groups.append(g), texts.append(t)
-                size += len(t)
+                n += len(t)
         if texts:
-            yield flush(part + seq, ids, groups, texts, size)
+            yield flush(part + seq, ids, groups, texts, n)
 
-    def flush(block, ids, groups, texts, size):
-        return pa.RecordBatch.from_pydict({"block": [block], "n_docs": [len(ids)], "n_bytes": [size], "payload": pa.array([_payload(ids, groups, texts, level)], pa.binary())})
+    def flush(block, ids, groups, texts, n):
+        return pa.RecordBatch.from_pydict({"bundle": [bundle_of(block, size)], "block": [block], "n_bytes": [n], "payload": pa.array([_payload(ids, groups, texts, level)], pa.binary())})
 
     ready_python(spark)
     source = df.select(
@@ -96,7 +115,11 @@ def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
         (group if group is not None else F.lit(0)).cast("long").alias("grp"),
         F.col(text_col).cast("string").alias("text"),
     )
-    return stage(spark, source.mapInArrow(lean(rows), BLOCK_SCHEMA), "blocks")
+    return Blocks(stage(spark, source.mapInArrow(lean(rows), BLOCK_SCHEMA), "blocks", ("bundle", buckets)), total, size, buckets)
+
+
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
 
 
 def shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -153,10 +176,9 @@ def _framed(rows: dict[tuple[int, int], list[tuple[int, bytes]]]) -> pa.RecordBa
 class Exchange:
     """Questions of blocks, answers of shards, and blocks that go on with them."""
 
-    def __init__(self, blocks: DataFrame, block_bytes: int, shard_bytes: int):
-        self.total = total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-        self.blocks, self.bundle = blocks.select("block", "payload"), bundle_size(total, block_bytes)
-        self.shards = max(8, -(-total // max(shard_bytes, math.isqrt(total * LEAST_BLOB))))
+    def __init__(self, blocks: Blocks, shard_bytes: int):
+        self.blocks, self.total, self.bundle, self.buckets = blocks.df.select("bundle", "block", "payload"), blocks.total, blocks.size, blocks.buckets
+        self.shards = max(8, -(-self.total // max(shard_bytes, math.isqrt(self.total * LEAST_BLOB))))
 
     def ask(self, fn: Callable[[int, Block], list[tuple[int, bytes]]]) -> DataFrame:
         """``fn(block id, block)`` gives (shard, blob) questions."""
@@ -176,7 +198,7 @@ class Exchange:
             if rows:
                 yield _framed(rows)
 
-        return self.blocks.mapInArrow(lean(run), BLOB_SCHEMA)
+        return self.blocks.select("block", "payload").mapInArrow(lean(run), BLOB_SCHEMA)
 
     def answer(self, questions: DataFrame, fn: Callable[[list[int], list[bytes]], list[tuple[int, bytes]]]) -> DataFrame:
         """``fn(block ids, blobs)`` of a shard gives (block id, blob) answers."""
@@ -193,12 +215,9 @@ class Exchange:
         return questions.repartitionById(self.shards, F.col("shard")).groupBy("shard").applyInArrow(lean_group(run), BLOB_SCHEMA)
 
     def _meet(self, answers: DataFrame, run, schema: str) -> DataFrame:
-        n = self.bundle
-        bundle = F.expr(f"(block DIV 4294967296) * 4294967296 + (block % 4294967296) DIV {n}")
-        left = self.blocks.select(bundle.alias("bundle"), "block", "payload")
-        right = answers.select(F.col("block").alias("bundle"), "shard", "blob")
+        right = answers.select(F.col("block").alias("bundle"), "shard", "blob").repartition(self.buckets, "bundle")
         # answers exist only for blocks, so a left side is always there
-        return left.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(lean_pair(run), schema)
+        return self.blocks.groupBy("bundle").cogroup(right.groupBy("bundle")).applyInArrow(lean_pair(run), schema)
 
     def resume(self, answers: DataFrame, fn: Callable[[int, Block, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
         """Each block meets its answers by shard: ``fn(block id, block, answers)``

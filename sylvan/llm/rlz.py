@@ -138,4 +138,4 @@ def dedup_spans(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
             out["kept"] = pa.array(kept, pa.binary())
         return pa.table(out)
 
-    return find_repeats(Exchange(blocks, block_bytes, shard_bytes), word_symbols, W, k, "any", finish, SCHEMA + ", kept binary" * texts, judge=greedy_spans)
+    return find_repeats(Exchange(blocks, shard_bytes), word_symbols, W, k, "any", finish, SCHEMA + ", kept binary" * texts, judge=greedy_spans)

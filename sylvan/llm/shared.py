@@ -20,6 +20,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 _staged: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,20 +43,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, tag: str, buckets: tuple[str, int] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage: a lost executor costs no recomputation beyond tasks
-    that read these files. They are removed when the driver exits.
+    that read these files. They are removed when the driver exits. With
+    ``buckets`` (a column and their number) the files are a table bucketed
+    by it, which joins and groups by that column read without a shuffle.
     """
-    path = f"{shared_dir(spark)}/sylvan/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sylvan/{name}"
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    if not buckets:
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"sylvan_{name}"
+    df.write.option("compression", "zstd").format("parquet").option("path", path).bucketBy(buckets[1], buckets[0]).saveAsTable(table)
+    _tables.append((spark, table))
+    return spark.table(table)
 
 
 @atexit.register
 def _drop_staged() -> None:
+    for spark, table in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session may be gone already
+            break
     for spark, path in _staged:
         try:
             jvm = spark.sparkContext._jvm

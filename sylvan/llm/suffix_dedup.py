@@ -66,7 +66,7 @@ def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     columns are read.
     """
     blocks = make_blocks(spark, df, id_col, text_col, block_bytes)
-    exchange = Exchange(blocks, block_bytes, shard_bytes)
+    exchange = Exchange(blocks, shard_bytes)
 
     def finish(block, sym, starts, ends, dup):
         gone = covered(dup, W)
@@ -90,4 +90,4 @@ def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
             out["kept"] = pa.array(kept, pa.binary())
         return pa.table(out)
 
-    return find_repeats(exchange, _bytes, W, k, "smaller", finish, SCHEMA + ", kept binary" * texts, sampled_splitters(blocks, W, k, exchange.shards))
+    return find_repeats(exchange, _bytes, W, k, "smaller", finish, SCHEMA + ", kept binary" * texts, sampled_splitters(blocks.df, W, k, exchange.shards))
