@@ -41,6 +41,7 @@ ODDS = 12
 _TOTALS = -1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").cumsum(axis=1).astype(np.uint8)
+_COUNT = np.ascontiguousarray(_ONES[:, 7])
 #: Place of the j-th bit that is set in a byte.
 _NTH = np.stack([np.argmax(_ONES > j, axis=1) for j in range(8)], 1).astype(np.int64)
 
@@ -72,13 +73,14 @@ class EliasFano:
         before = self.before if ones else (np.arange(len(self.before), dtype=np.int64) * 64 - self.before)
         word = np.searchsorted(before, j, side="right") - 1
         x = self.high[word] if ones else ~self.high[word]
-        parts = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
-        upto = _ONES[parts, 7].cumsum(axis=1, dtype=np.int64)
-        rest = j - before[word]
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        at = np.arange(len(j))
-        rest = rest - (upto[at, byte] - _ONES[parts[at, byte], 7])
-        return word * 64 + byte * 8 + _NTH[parts[at, byte], rest]
+        parts = np.ascontiguousarray(x).view(np.uint8)
+        upto = _COUNT[parts].reshape(-1, 8).cumsum(axis=1, dtype=np.uint8)
+        rest = (j - before[word]).astype(np.uint8)
+        byte = (upto <= rest[:, None]).sum(axis=1, dtype=np.uint8)
+        at = np.arange(0, 8 * len(j), 8) + byte
+        own = parts[at]
+        rest -= upto.ravel()[at] - _COUNT[own]
+        return word * 64 + byte * np.int64(8) + _NTH[own, rest]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -150,17 +152,20 @@ class Trie:
 
     def find(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Nodes of a level (0 is the first) by parent and word, -1 if none:
-        the successor of the pair must lie between the parent's pointers."""
-        up, here = self.levels[level - 1], self.levels[level]
-        if not here["next"].n:
-            return np.full(len(parent), -1)
-        want = parent.astype(np.int64) * self.words + word
-        at = here["next"].successor(np.where(parent >= 0, want, 0))
-        ok = np.flatnonzero((parent >= 0) & (at < here["next"].n))
-        ok = ok[at[ok] < up["pointers"][parent[ok] + 1]]
-        ok = ok[here["next"][at[ok]] == want[ok]]
+        the successor of the pair must lie between the parent's pointers.
+        Pairs are asked for in their order, which keeps to the cache."""
+        up, here = self.levels[level - 1]["pointers"], self.levels[level]["next"]
         out = np.full(len(parent), -1)
-        out[ok] = at[ok]
+        if not here.n:
+            return out
+        ask = np.flatnonzero(parent >= 0)
+        want = parent[ask].astype(np.int64) * self.words + word[ask]
+        order = np.argsort(want)
+        ask, want = ask[order], want[order]
+        at = here.successor(want)
+        ok = np.flatnonzero(at < up[parent[ask] + 1])
+        ok = ok[here[at[ok]] == want[ok]]
+        out[ask[ok]] = at[ok]
         return out
 
 
@@ -247,7 +252,7 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     longer n-grams by ``key_bits``.
     """
     blocks = make_blocks(spark, df, id_col, text_col, block_bytes, level=9)
-    exchange = Exchange(blocks, block_bytes, shard_bytes)
+    exchange = Exchange(blocks, shard_bytes)
     shards, bits = exchange.shards, key_bits(exchange.total)
     spare = [np.uint64(0), *[np.uint64(64 - bits)] * (order - 1)]
     start_key = int(mix64(np.array([xxhash.xxh64_intdigest(START)], np.uint64))[0])
