@@ -221,10 +221,11 @@ def sorted_lcp(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def repeated(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarray, groups: np.ndarray, W: int, k: int, rule: str) -> np.ndarray:
+def repeated(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarray, groups: np.ndarray, W: int, k: int, rule: str, weight: np.ndarray | None = None) -> np.ndarray:
     """Bit o of the mask of a row is set if its window that starts o symbols
-    before the anchor occurs again: in a smaller document ("smaller"), in
-    another document ("other") or anywhere ("any")."""
+    before the anchor occurs again: in a smaller document ("smaller") or
+    anywhere ("any"); or, for "enough", if the rows with the window in its
+    group weigh as much as the row's id says."""
     n, far = len(ctx), W - k
     mask = np.zeros(n, np.uint64)
     if not n:
@@ -250,13 +251,11 @@ def repeated(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, ids: np.ndarray, gro
         size = np.diff(np.append(first, len(x)))
         if rule == "any":
             hit = np.repeat(size > 1, size)
+        elif rule == "enough":
+            hit = np.repeat(np.add.reduceat(weight[ok][order], first), size) >= ids[ok][order]
         else:
             mine = ids[ok][order]
-            low = np.repeat(np.minimum.reduceat(mine, first), size)
-            if rule == "smaller":
-                hit = mine > low
-            else:
-                hit = np.repeat(np.maximum.reduceat(mine, first), size) > low
+            hit = mine > np.repeat(np.minimum.reduceat(mine, first), size)
         mask[ok[order[hit]]] |= np.uint64(1 << o)
     return mask
 
@@ -335,8 +334,6 @@ def repeat_positions(exchange: Exchange, symbols, W: int, k: int, rule: str, spl
         pos, key = anchors(sym, starts, ends, W, k)
         pos = pos.astype(np.int32)
         doc = np.searchsorted(ends, pos, side="right").astype(np.int32)
-        if rule == "other":
-            key = mix64(key ^ mix64(block.groups[doc]))
         return sym, starts, ends, pos, key, doc
 
     whole_contexts = rule == "any"
@@ -439,9 +436,9 @@ def repeat_positions(exchange: Exchange, symbols, W: int, k: int, rule: str, spl
             order, sure = once[alone], np.zeros(int(alone.sum()), bool)
         else:
             some = (pos[sel], l[sel], r[sel])
-            rep, order, at, size = context_classes(around, context_hashes(sym, *some), *some, block.groups[doc[sel]] if rule == "other" else None, block.ids[doc[sel]])
+            rep, order, at, size = context_classes(around, context_hashes(sym, *some), *some, None, block.ids[doc[sel]])
             mine = block.ids[doc[sel[order]]]
-            sure = mine > np.repeat(mine[at], size) if rule == "smaller" else np.repeat(mine[at + size - 1] > mine[at], size)
+            sure = mine > np.repeat(mine[at], size)
             rep, order = sel[rep], sel[order]
         q, rl, rr, deal = _deal(sym, around, pos, key, hot, l, r, rep)
         out, by = [], np.argsort(deal, kind="stable")

@@ -4,15 +4,19 @@ Pages are parsed once into blocks of text, each in a zone: article, main,
 open, or boilerplate by its markup (menus, footers, forms, adverts,
 comments). A page's text is its article's, else its main element's, else the
 open blocks, less what its host repeats. For that the token streams of all
-zones are searched for substrings of ``W`` words that occur in other texts of
-the host, by sorting suffixes as in ``anchors``; then blocks and repeated
-windows are counted by host over distinct texts (pages whose main text is the
-same count once, so syndicated text and copies are not taken for
-boilerplate). A window found on ``SHARE`` of the host's texts goes, with the
-words that it covers, and so does a whole block; a whole block of a page that
-marks no article goes already at ``WHOLE``. Three texts at least must have
-it. Unique runs stay, and a page of which nothing would stay keeps its
-longest block.
+zones are searched for windows of ``W`` words that many texts of the host
+have, by sorting suffixes as in ``anchors``: blocks count their anchors, ask
+for the totals, and send the contexts of those that enough texts have, each
+once with the number of its texts. Pages whose main text is the same are one
+text, so syndicated text and copies are not taken for boilerplate; a text
+counts in the first block that has it, so counts add up. Anchors that more
+than ``HOT`` blocks hold would bring all of their contexts to one shard;
+their windows are counted by hashes of 128 bits instead.
+
+A window found on ``SHARE`` of the host's texts goes, with the words that it
+covers, and so does a whole block; a whole block of a page that marks no
+article goes already at ``WHOLE``. Three texts at least must have it. Unique
+runs stay, and a page of which nothing would stay keeps its longest block.
 """
 
 from __future__ import annotations
@@ -28,18 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import _gram_hash as gram_hash
-from .anchors import covered, repeat_positions, repeat_starts
-from .blocks import Block, Exchange, from_planes, make_blocks, planes, shard_edges
+from .anchors import HOT, Contexts, _coded, _decoded, anchors, context_classes, context_hashes, covered, repeat_starts, repeated
+from .blocks import Block, Exchange, from_planes, make_blocks, planes, shard_edges, text_bytes
 from .shared import lean, mix64, pack, ready_python, stage, unpack
 
 BLOCK_BYTES = 2 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 SHARE = 0.3  # of a host's texts, that a repeat must be found on to be boilerplate
 WHOLE = 0.01  # the same for whole blocks of pages without an article, such as adverts that take turns
 LEAST = 3  # texts, at least
 _HOST, _BLOCK_KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SCHEMA = "page_id long, url string, text string, n_chars long"
+with np.errstate(over="ignore"):
+    _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _BLOCK_KEY)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -196,33 +201,37 @@ def main_key(found: list) -> int:
 
 
 class Pages:
-    """The pages of a block: their rows, and the symbols of their words. A
-    symbol that no other text has ends each block of text."""
+    """The pages of a block: their rows, and the symbols of their words, by
+    hashes of the bytes between spaces. A word that no other text has ends
+    each block of text."""
 
     def __init__(self, block: Block):
         self.rows = [json.loads(text) for text in block.texts()]
-        known: dict[str, int] = {}
-        parts, self.firsts, self.blocks = [], [], []
-        at = 0
-        own = block.ids.astype(np.uint64)
-        for key, (_, _, found) in zip(own, self.rows):
-            marks = mix64(mix64(np.arange(1, len(found) + 1, dtype=np.uint64) ^ _HOST) ^ key)
-            first, tags = [], []
-            for mark, (_, text) in zip(marks, found):
-                words = text.split(" ")
-                for w in words:
-                    if w not in known:
-                        known[w] = xxhash.xxh64_intdigest(w)
-                first.append(at)
-                parts.append(np.array([*map(known.__getitem__, words), mark], np.uint64))
-                at += len(words) + 1
+        parts, size, tags, self.cut = [], [], [], [0]
+        for key, (_, _, found) in zip(block.ids.tolist(), self.rows):
+            for i, (_, text) in enumerate(found):
+                parts += [text, f"\x00{key}.{i}"]
+                size.append(text.count(" ") + 2)
                 tags.append(xxhash.xxh64_intdigest(text))
-            self.firsts.append(first)
-            self.blocks.append(np.array(tags, np.uint64))
-        self.sym = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        ends = [f[-1] + len(found[-1][1].split(" ")) + 1 if f else -1 for f, (_, _, found) in zip(self.firsts, self.rows)]
-        self.ends = np.maximum.accumulate(np.array(ends, np.int64)).clip(0)
-        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[: len(ends)]
+            self.cut.append(len(tags))
+        #: symbols, where each block of text begins, where pages start and end
+        self.sym = _word_hashes(" ".join([*parts, ""]).encode())
+        self.tags, self.begin = np.array(tags, np.uint64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.starts, self.ends = self.begin[self.cut[:-1]], self.begin[self.cut[1:]]
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word, from prefix sums of a polynomial; every word of
+    ``raw`` is followed by one space."""
+    data = np.frombuffer(raw, np.uint8)
+    stop = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64)[: len(stop)]
+    with np.errstate(over="ignore"):
+        up, down = np.full(len(data) + 1, _HOST, np.uint64), np.full(len(data) + 1, np.uint64(pow(int(_HOST), -1, 1 << 64)), np.uint64)
+        up[:1] = down[:1] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)])
+        return mix64((total[stop] - total[start]) * down[start] ^ mix64((stop - start).astype(np.uint64)))
 
 
 def needed(texts: int, marked: bool) -> tuple[int, int]:
@@ -266,22 +275,29 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
                 rows.append((main_key(found), _host_key(u), json.dumps([i, u, found], ensure_ascii=False)))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["main", "host", "page"])
 
-    blocks = make_blocks(spark, pages.mapInArrow(lean(parsed), "main long, host long, page string"), "main", "page", BLOCK_BYTES, F.col("host"))
-    exchange = Exchange(blocks, BLOCK_BYTES, SHARD_BYTES)
-    shards = exchange.shards
+    blocks = make_blocks(spark, pages.mapInArrow(lean(parsed), "main long, host long, page string"), "main", "page", BLOCK_BYTES, F.col("host"), total=text_bytes(pages, "html"))
+    exchange = Exchange(blocks, SHARD_BYTES)
+    shards, far = exchange.shards, W - k
 
-    def symbols(block):
-        x = Pages(block)
-        return x.sym, x.starts, x.ends
+    def by_shard(keys):
+        cut = shard_edges(keys, shards)
+        return [(s, i, j) for s, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
+
+    def back(got, layer, name, keys, kind):
+        """The answers of one round, in the order of the keys that were asked for."""
+        out = np.zeros(len(keys), kind)
+        for s, i, j in by_shard(keys):
+            x = unpack(got[layer * shards + s])[name]
+            out[i:j] = np.unpackbits(x, count=j - i) if kind is bool else x
+        return out
 
     def of_text(block):
         """A key for each page's main text on its host."""
         return mix64(block.ids.astype(np.uint64) ^ mix64(block.groups ^ _HOST))
 
     def ask_first(b, block):
-        keys = np.unique(of_text(block))
-        cut = shard_edges(keys, shards)
-        return [(s, pack(key=planes(keys[i:j]))) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+        keys = _unique(of_text(block))
+        return [(s, pack(key=planes(keys[i:j]))) for s, i, j in by_shard(keys)]
 
     def say_first(ids, got):
         """Which of a block's texts no block before it has."""
@@ -292,69 +308,159 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
         first[order] = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
         return [(i, pack(first=np.packbits(x))) for i, x in zip(ids, np.split(first, np.cumsum([len(p) for p in parts])[:-1]))]
 
-    def keyed(block, got):
-        """The pages, where repeated windows start in each, and for each the
-        keys of its host, its blocks and those windows."""
+    def counting(block, got):
+        """Which pages count for their texts: those first met here."""
+        texts = of_text(block)
+        uniq, place = np.unique(texts, return_index=True)
+        out = np.zeros(len(texts), bool)
+        out[place[back(got, 0, "first", uniq, bool)]] = True
+        return out
+
+    def weighed(keys, page, counts):
+        """Distinct keys, and the counting pages that have each."""
+        uniq, inv = np.unique(keys, return_inverse=True)
+        pair = _unique(inv.astype(np.int64) * len(counts) + page)
+        return uniq, np.bincount(pair // len(counts), counts[pair % len(counts)], len(uniq)).astype(np.int64), inv
+
+    def keyed(block):
+        """The pages; keys of hosts and blocks of text; anchors with their keys and pages."""
         x = Pages(block)
-        dup = repeat_starts([got[s] for s in got if s < shards], len(x.sym), W, k)
-        grams = gram_hash(mix64(x.sym), W) if len(x.sym) >= W else np.zeros(0, np.uint64)
-        at, keys = [], []
-        for s, e, own, host in zip(x.starts.tolist(), x.ends.tolist(), x.blocks, mix64(block.groups)):
-            at.append(np.flatnonzero(dup[s:e]))
-            keys.append([mix64(np.array([host ^ _HOST])), mix64(mix64(own ^ _BLOCK_KEY) ^ host), mix64(grams[at[-1] + s] ^ host)])
-        return x, at, keys
+        host = mix64(block.groups)
+        page = np.repeat(np.arange(block.n), np.diff(x.cut))
+        names = np.concatenate([mix64(host ^ _HOST), mix64(mix64(x.tags ^ _BLOCK_KEY) ^ host[page])])
+        pos, key = anchors(x.sym, x.starts, x.ends, W, k)
+        own = np.searchsorted(x.ends, pos, side="right")
+        return x, names, np.concatenate([np.arange(block.n), page]), pos, mix64(key ^ host[own]), own
 
     def ask_counts(b, block, got):
-        """The distinct keys of the block, with the texts in it that have
-        them; a text counts where it is first met."""
-        x, _, keys = keyed(block, got)
-        texts = of_text(block)
-        uniq, place = np.unique(texts, return_index=True)
-        first, cut = np.zeros(len(uniq), bool), shard_edges(uniq, shards)
-        for s, blob in got.items():
-            if s >= shards:
-                i, j = cut[s - shards], cut[s - shards + 1]
-                first[i:j] = np.unpackbits(unpack(blob)["first"], count=j - i)
-        counts = np.zeros(len(texts), bool)
-        counts[place[first]] = True
-        own = [np.unique(np.concatenate(ks)) for ks in keys]
-        every, inv = np.unique(np.concatenate(own), return_inverse=True)
-        n = np.bincount(inv, np.repeat(counts, [len(o) for o in own]), len(every)).astype(np.uint32)
-        cut = shard_edges(every, shards)
-        return [(s, pack(key=planes(every[i:j]), n=n[i:j])) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+        _, names, page, _, key, own = keyed(block)
+        counts = counting(block, got)
+        out: dict[int, dict] = {}
+        for name, keys, pages in (("n", names, page), ("a", key, own)):
+            uniq, n, _ = weighed(keys, pages, counts)
+            for s, i, j in by_shard(uniq):
+                out.setdefault(s, {}).update({name + "k": planes(uniq[i:j]), name + "c": n[i:j].astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.uint32)})
+        return [(s, pack(**x)) for s, x in out.items()]
 
     def totals(ids, got):
         parts = [unpack(x) for x in got]
-        keys, n = np.concatenate([from_planes(p["key"]) for p in parts]), np.concatenate([p["n"] for p in parts]).astype(np.int64)
-        _, inv = np.unique(keys, return_inverse=True)
-        full = np.bincount(inv, n).astype(np.int64)[inv]
-        full = full.clip(max=(1 << 32) - 1).astype(np.uint32)
-        return [(i, pack(n=x)) for i, x in zip(ids, np.split(full, np.cumsum([len(p["n"]) for p in parts])[:-1]))]
+        out = [{} for _ in parts]
+        for name in "na":
+            have = [i for i, p in enumerate(parts) if name + "k" in p]
+            if not have:
+                continue
+            keys = [from_planes(parts[i][name + "k"]) for i in have]
+            uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            full = np.bincount(inv, np.concatenate([parts[i][name + "c"] for i in have]), len(uniq))[inv].clip(max=(1 << 32) - 1).astype(np.uint32)
+            hot = (np.bincount(inv, minlength=len(uniq)) > HOT)[inv]
+            cut = np.cumsum([len(x) for x in keys])[:-1]
+            for i, x, h in zip(have, np.split(full, cut), np.split(hot, cut)):
+                out[i] |= {name + "c": x, name + "h": np.packbits(h)}
+        return [(i, pack(**x)) for i, x in zip(ids, out)]
+
+    def wanted(block, got):
+        """As ``keyed``, with the texts of each page's host and of its blocks,
+        and which anchors are on enough texts, and which of them are hot."""
+        x, names, page, pos, key, own = keyed(block)
+        uniq, inv = np.unique(names, return_inverse=True)
+        n = back(got, 1, "nc", uniq, np.int64)[inv]
+        runs = np.array([needed(t, True)[0] for t in n[: block.n].tolist()], np.int64)
+        uniq, inv = np.unique(key, return_inverse=True)
+        enough = back(got, 1, "ac", uniq, np.int64)[inv] >= runs[own] if len(key) else np.zeros(0, bool)
+        return x, n, runs, pos[enough], own[enough], back(got, 1, "ah", uniq, bool)[inv][enough] if len(key) else enough, key[enough]
+
+    def hot_windows(x, block, pos, own):
+        """Where windows around these anchors start, their pages and keys."""
+        some = np.zeros(len(x.sym) + 1, bool)
+        for o in range(far + 1):
+            at = pos - o
+            some[at[(at >= x.starts[own]) & (at + W <= x.ends[own])]] = True
+        at = np.flatnonzero(some)
+        page = np.searchsorted(x.ends, at, side="right")
+        zero, full = np.zeros(len(at), np.int16), np.full(len(at), W, np.int16)
+        salt = mix64(block.groups)[page]
+        return at, page, mix64(context_hashes(x.sym, at, zero, full) ^ salt), mix64(context_hashes(x.sym, at, zero, full, 1) ^ salt)
+
+    def ask_contexts(b, block, got):
+        x, _, runs, pos, own, hot, key = wanted(block, got)
+        counts, out = counting(block, got), {}
+        if hot.any():
+            _, page, h, proof = hot_windows(x, block, pos[hot], own[hot])
+            pair = np.stack([h, proof], 1)
+            uniq, inv = np.unique(pair, axis=0, return_inverse=True)
+            _, n, _ = weighed(inv.ravel().astype(np.int64), page, counts)
+            for s, i, j in by_shard(uniq[:, 0]):
+                out.setdefault(s, {}).update(wk=planes(uniq[i:j, 0]), wp=uniq[i:j, 1].copy(), wc=n[i:j].astype(np.uint32))
+        pos, own, key = pos[~hot], own[~hot], key[~hot]
+        if len(pos):
+            around = Contexts(x.sym, far, W)
+            l, r = np.minimum(pos - x.starts[own], far).astype(np.int16), np.minimum(x.ends[own] - pos, W).astype(np.int16)
+            rep, order, at, size = context_classes(around, context_hashes(x.sym, pos, l, r), pos, l, r, block.groups[own], own)
+            cls = np.repeat(np.arange(len(at)), size)
+            new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (own[order][1:] != own[order][:-1])])
+            weight = np.bincount(cls, new & counts[own[order]], len(at)).astype(np.uint32)
+            deal = (((key[rep] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+            for s in np.unique(deal).tolist():
+                m = np.flatnonzero(deal == s)
+                q = rep[m]
+                members = np.concatenate([order[i : i + n] for i, n in zip(at[m].tolist(), size[m].tolist())])
+                out.setdefault(s, {}).update(_coded(around.take(pos[q], l[q], r[q])) | dict(l=l[q].astype(np.uint8), r=r[q].astype(np.uint8), group=block.groups[own[q]], need=runs[own[q]].astype(np.uint32), weight=weight[m], size=size[m].astype(np.uint32), pos=pos[members].astype(np.uint32)))
+        return [(s, pack(**x)) for s, x in out.items()]
+
+    def compare(ids, got):
+        parts = [{n: a.copy() for n, a in unpack(x).items()} for x in got]
+        out = [{} for _ in parts]
+        have = [p for p in parts if "ctx" in p]
+        if have:
+            ctx = _decoded(have)
+            cat = {n: np.concatenate([p[n] for p in have]).astype(np.uint64 if n == "group" else np.int64) for n in ("l", "r", "group", "need", "weight")}
+            mask = repeated(ctx, cat["l"], cat["r"], cat["need"], cat["group"], W, k, "enough", cat["weight"])
+            at = 0
+            for p, o in zip(parts, out):
+                if "l" in p:
+                    own = np.repeat(mask[at : at + len(p["l"])], p["size"])
+                    at += len(p["l"])
+                    o |= {"pos": p["pos"][own > 0], "mask": own[own > 0]}
+        have = [i for i, p in enumerate(parts) if "wk" in p]
+        if have:
+            keys = [np.stack([from_planes(parts[i]["wk"]), parts[i]["wp"]], 1) for i in have]
+            uniq, inv = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+            full = np.bincount(inv.ravel(), np.concatenate([parts[i]["wc"] for i in have]), len(uniq))[inv.ravel()].clip(max=(1 << 32) - 1).astype(np.uint32)
+            for i, x in zip(have, np.split(full, np.cumsum([len(x) for x in keys])[:-1])):
+                out[i]["wc"] = x
+        return [(i, pack(**o)) for i, o in zip(ids, out) if o]
 
     def decide(b, block, got):
-        x, at, keys = keyed(block, got)
-        every = np.unique(np.concatenate([np.concatenate(ks) for ks in keys]))
-        count, cut = np.zeros(len(every), np.int64), shard_edges(every, shards)
-        for s, blob in got.items():
-            if s >= shards:
-                count[cut[s - shards] : cut[s - shards + 1]] = unpack(blob)["n"]
-        out = []
-        for (page, url, found), where, (host, own, windows), first, s, e in zip(x.rows, at, keys, x.firsts, x.starts.tolist(), x.ends.tolist()):
-            zone = main_zone(found)
-            runs, whole = needed(int(count[np.searchsorted(every, host)][0]), zone != OPEN)
-            dup = np.zeros(e - s, bool)
-            dup[where[count[np.searchsorted(every, windows)] >= runs]] = True
-            gone = covered(dup, W)
-            text = kept_text(found, zone, [gone[f - s : f - s + t.count(" ") + 1] for f, (_, t) in zip(first, found)], count[np.searchsorted(every, own)] >= whole)
+        x, n, runs, pos, own, hot, _ = wanted(block, got)
+        masks = {s: blob for s, blob in got.items() if s >= 2 * shards}
+        dup = repeat_starts([blob for blob in masks.values() if "mask" in unpack(blob)], len(x.sym), W, k)
+        if hot.any():
+            at, page, h, proof = hot_windows(x, block, pos[hot], own[hot])
+            uniq, inv = np.unique(np.stack([h, proof], 1), axis=0, return_inverse=True)
+            found = back(masks, 2, "wc", uniq[:, 0], np.int64)[inv.ravel()]
+            dup[at[found >= runs[page]]] = True
+        out, texts = [], n[: block.n].tolist()
+        counts = n[block.n :]
+        for i, (page, url, found) in enumerate(x.rows):
+            zone, a, z = main_zone(found), x.cut[i], x.cut[i + 1]
+            gone = covered(dup[x.starts[i] : x.ends[i]], W)
+            first = (x.begin[a : z + 1] - x.starts[i]).tolist()
+            text = kept_text(found, zone, [gone[s : e - 1] for s, e in zip(first, first[1:])], counts[a:z] >= needed(texts[i], zone != OPEN)[1])
             out.append((page, url, text, len(text)))
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.Table.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["page_id", "url", "text", "n_chars"])
 
-    beside = lambda answers: answers.withColumn("shard", (F.col("shard") + shards).cast("int"))
-    repeats = stage(spark, repeat_positions(exchange, symbols, W, k, "other"), "repeats")
+    beside = lambda answers, layer: answers.withColumn("shard", (F.col("shard") + layer * shards).cast("int"))
     firsts = exchange.answer(exchange.ask(ask_first), say_first)
-    counts = exchange.answer(exchange.ask_again(repeats.union(beside(firsts)), ask_counts), totals)
-    return exchange.resume(repeats.union(beside(counts)), decide, SCHEMA)
+    counts = exchange.answer(exchange.ask_again(firsts, ask_counts), totals)
+    known = stage(spark, firsts.union(beside(counts, 1)), "counts")
+    masks = exchange.answer(exchange.ask_again(known, ask_contexts), compare)
+    return exchange.resume(known.union(beside(masks, 2)), decide, SCHEMA)
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def _host_key(url: str | None) -> int:
