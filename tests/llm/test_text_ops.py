@@ -173,7 +173,17 @@ def test_host_boilerplate(spark):
     assert got[9].split("\n\n") == ["Welcome to the best site of all sites", words(360, 390), "Call us now or write to us today"]
 
 
-def test_host_keeps_what_few_pages_share(spark):
+@pytest.fixture(params=["cold", "hot", "many blocks"])
+def ways(request, monkeypatch):
+    """Contexts sorted in shards, windows counted by hashes, and pages over many blocks."""
+    if request.param != "cold":
+        monkeypatch.setattr(html_hosts, "HOT", 0 if request.param == "hot" else 2)
+    if request.param == "many blocks":
+        monkeypatch.setattr(html_hosts, "BLOCK_BYTES", 3000)
+        monkeypatch.setattr(html_hosts, "SHARD_BYTES", 500)
+
+
+def test_host_keeps_what_few_pages_share(spark, ways):
     """Copies of a page, quotes, reposted paragraphs and common phrases on a large host stay; its boilerplate goes."""
     words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     top, phrase, post = "Welcome to the best site of all sites", "as every one of us well knows", "p " + words(9000, 9030)
@@ -216,7 +226,7 @@ def test_markup(page, text):
     assert "\n\n".join(t for z, t in found if z == zone) == text
 
 
-def test_host_repeats_decide_inside_articles(spark):
+def test_host_repeats_decide_inside_articles(spark, ways):
     """What a host repeats goes from marked articles too; copies and syndicated text lose nothing."""
     words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     notice, long = "Read all of our offers of the week", " ".join(f"n{i}" for i in range(18))
@@ -398,7 +408,18 @@ def test_benchmark_search(spark, monkeypatch, odd, empty):
     cut = lambda rows: sorted((tuple(r)[:4] for r in rows), key=repr)
     assert cut(contain.find_items(spark, df, bench).collect()) == want and want
     monkeypatch.setattr(contain, "ITEMS", 9)  # more than one block of items
+    twice = bench.union(bench.where("item_id % 3 = 0")), df.union(df.where("doc_id % 4 = 0"))  # repeated items and documents
+    again = brute_found(docs + [d for d in docs if d[0] % 4 == 0], items + [i for i in items if i[0] % 3 == 0])
     assert cut(contain.find_items(spark, df, bench).collect()) == want
+    assert cut(contain.find_items(spark, twice[1], twice[0]).collect()) == again
+    with monkeypatch.context() as m:  # more blocks than documents pass, and a small filter
+        m.setattr(contain, "PASSES", 2), m.setattr(contain, "SEGMENTS", 8), m.setattr(contain, "SEGMENT_BITS", 256), m.setattr(contain, "SLICE", 3)
+        assert cut(contain.find_items(spark, df, bench).collect()) == want
+        assert cut(contain.find_items(spark, twice[1], twice[0]).collect()) == again
+        joined = contain.decontaminate(spark, odd.union(odd), bench)
+        assert joined.columns == odd.columns and joined.count() == 2 * contain.decontaminate(spark, odd, bench.limit(0)).count() - 2 * len({x[0] for x in brute_found(ODD, items)})
+        assert {r.doc_id for r in contain.decontaminate(spark, df, bench).collect()} == {i for i, _ in docs} - {x[0] for x in want}
+        assert contain.find_items(spark, empty, bench).count() == 0
     clean = contain.decontaminate(spark, df, bench)
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {x[0] for x in want}
     assert contain.find_items(spark, df, bench.limit(0)).count() == 0 and contain.find_items(spark, empty, bench).count() == 0
