@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def random_forest(train: DataFrame, features: list[str], label: str, trees: int = 500, depth: int = 30, seed: int = 42, weight: str | None = None) -> PipelineModel:
-    """Depth is at most 30 here, where the unbounded trees of other libraries grow on."""
-    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=1, seed=seed, **({"weightCol": weight} if weight else {}))
+    """Depth is at most 30 here, where the unbounded trees of other libraries
+    grow on. Rows keep the node that they have come to in each tree, so a
+    level doesn't descend from the roots again."""
+    more = {"weightCol": weight} if weight else {}
+    forest = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=1, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024, **more)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), forest]).fit(train)
 
 
