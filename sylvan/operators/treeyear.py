@@ -17,13 +17,16 @@ SEASONS = ("winter", "spring", "summer", "fall")
 
 def annual_metrics(df: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Mean, min, max, range and population deviation of each column, 0 where
-    a tree-year has no value, in one aggregation."""
+    a tree-year has no value, in one aggregation. Rows are dealt by tree-year
+    first: with a few rows in each (a year's observations at most), sums of
+    all columns before the exchange would be larger than the rows."""
     aggs: list[Column] = []
     for c in columns:
         x = F.col(c)
         for name, a in (("mean", F.avg(x)), ("min", F.min(x)), ("max", F.max(x)), ("range", F.max(x) - F.min(x)), ("std", F.stddev_pop(x))):
             aggs.append(F.coalesce(a, F.lit(0.0)).alias(f"{c}_{name}"))
-    return df.groupBy("uniqueID", F.year("date").alias("year")).agg(*aggs)
+    rows = df.select("uniqueID", F.year("date").alias("year"), *columns).repartition("uniqueID", "year")
+    return rows.groupBy("uniqueID", "year").agg(*aggs)
 
 
 def seasonal_ndvi(df: DataFrame) -> DataFrame:
