@@ -808,6 +808,21 @@ def w9(s, d):
     return q.select("uniqueID", "year", "length", F.array_join(F.transform("seq", lambda x: F.round(x[0] * 1000).cast("long").cast("string")), ",").alias("seq"))
 
 
+_STEP = {
+    "NDVI": "coalesce(NDVI, 0)", "precip_sum_7d_mm": "ln(1 + greatest(coalesce(precip_sum_7d_mm, 0), 0))", "temp_mean_7d_c": "coalesce(temp_mean_7d_c, 0)",
+    "delta_days": "coalesce(date - lag(date) OVER (PARTITION BY uniqueID, year(date) ORDER BY date, ord1, ord2), 0) / 30.0::DOUBLE",
+    "doy_sin": "sin(2 * pi() * dayofyear(date) / 365.25::DOUBLE)", "doy_cos": "cos(2 * pi() * dayofyear(date) / 365.25::DOUBLE)",
+}
+
+
+@query("W9_timesteps", W("SELECT " + _OBS_KEY + "year(date) AS year, CAST(B2 IS NOT NULL AS BIGINT) AS B2_mask, 59 AS n_inputs, " + ", ".join(f"{R(v)} AS {k}" for k, v in _STEP.items()) + " FROM met", "met"))
+def w9s(s, d):
+    """The inputs of a step of the sequence branch: all 59 are made, some are shown."""
+    steps = treeyear.timesteps(met(s, d))
+    keys = ["uniqueID", "year", "date", "ord1", "ord2"]
+    return steps.select(*keys, "B2_mask", F.lit(len(steps.columns) - len(keys)).alias("n_inputs"), *_STEP)
+
+
 @query("D1d_first_row", W("SELECT uniqueID, date, ord1, CAST(ord2 AS BIGINT) AS ord2 FROM obs QUALIFY row_number() OVER (PARTITION BY uniqueID, date ORDER BY ord1, ord2) = 1", "obs"))
 def d1d(s, d):
     return dedup.keep_first(A.obs(s, d), ["uniqueID", "date"], ["ord1", "ord2"]).select("uniqueID", "date", "ord1", "ord2")
