@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 PREFIX = "sylvan."
+_made: list[tuple[SparkSession, str]] = []
 
 
 def setting(spark: SparkSession, name: str, default: str | None = None) -> str | None:
@@ -37,4 +39,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not shared:
         local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
         shared = "file://" + tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return f"{shared}/sylvan-{name}-{uuid.uuid4().hex}"
+    path = f"{shared}/sylvan-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove() -> None:
+    """Scratch folders go when the driver exits."""
+    for spark, path in _made:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may be gone already
+            return
