@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh, lean, ready_python, stage
@@ -66,7 +66,7 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 def fingerprints(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: str | None = None) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits in a long; with ``carry``, that
     string column too, as ``key``."""
-    ready_python(spark)
+    ready_python(spark, 8)
     key = ["key"] * bool(carry)
 
     def run(batches):
@@ -159,17 +159,21 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
 def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with its own columns: that
     of the least id (null last), then by a hash of id and text. Of rows equal
-    in both one stays too, whatever their ids; a null text counts as empty.
+    in both one stays too, any if other columns differ; a null text counts as
+    empty.
 
     Rows are known by that hash (128 bits), so groups are formed without the
-    texts, which are shuffled once, to meet the hashes of the rows that stay.
+    texts, which are shuffled once, to meet the hashes of the rows that stay
+    in a table of these; only rows that share a hash are sorted.
     """
-    key, n = fresh(df, "row_key"), fresh(df, "row_n")
+    key = fresh(df, "row_key")
     of = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     docs = stage(spark, fingerprints(spark, df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), of.alias("key")), "doc_id", "text", carry="key"), "fingerprints")
     roots = components(spark, links(spark, stage(spark, docs.select("fp").distinct(), "distinct")))
     rooted = docs.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select(F.col("least.key").alias(key))
-    kept = df.withColumn(key, of).join(first, key, "left_semi")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    return kept.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(key, n)
+    rows = docs.groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n"))
+    first = stage(spark, first.join(rows, key), "first")
+    keyed = df.withColumn(key, of)
+    meet = lambda found: keyed.join(found.select(key).hint("shuffle_hash"), key, "left_semi")
+    return meet(first.where("n = 1")).unionByName(meet(first.where("n > 1")).dropDuplicates([key])).drop(key)
