@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lean, lean_group, lean_pair, ready_python, stage
+from .shared import lean, lean_group, lean_pair, mix64, ready_python, stage
 
 NULL_ID = np.iinfo(np.int64).max
 BLOCK_SCHEMA = "bundle long, block long, n_bytes long, payload binary"
@@ -56,6 +56,44 @@ class Block:
         return pa.array(self.ids, pa.int64(), mask=self.null)
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_ODD = 0x9E3779B97F4A7C15
+with np.errstate(over="ignore"):
+    _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+_STRETCH = 1 << 20
+
+
+def word_hashes(block: Block, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, from prefix sums of a polynomial of its
+    bytes, some MB at a time, and the number of words before each document's
+    end; A-Z lower-cased if asked."""
+    data, n = block.data, len(block.data)
+    inside = ~_SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    some = block.ends > block.starts  # a document's bounds end words too
+    first[block.starts[some]] |= inside[block.starts[some]]
+    last[block.ends[some] - 1] |= inside[block.ends[some] - 1]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(start), np.uint64)
+    cut = np.append(np.searchsorted(start, np.arange(0, n, _STRETCH)), len(start))
+    table = _BYTE[_LOWER] if lower else _BYTE
+    up = down = np.ones(1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if i == j:
+                continue
+            lo, hi = int(start[i]), int(stop[j - 1])
+            if hi - lo >= len(up):
+                up, down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(hi - lo, _STRETCH), x, np.uint64))]) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data[lo:hi]] * up[: hi - lo], dtype=np.uint64)])
+            a, b = start[i:j] - lo, stop[i:j] - lo
+            out[i:j] = mix64((total[b] - total[a]) * down[a] ^ mix64((b - a).astype(np.uint64)))
+    return out, np.searchsorted(start, block.ends)
+
+
 def _payload(ids: list, groups: list, texts: list[bytes], level: int = 3) -> bytes:
     n = len(ids)
     parts = [

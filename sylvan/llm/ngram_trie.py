@@ -24,15 +24,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Block, Exchange, from_planes, make_blocks, planes, shard_edges, unframe
+from .blocks import Block, Exchange, from_planes, make_blocks, planes, shard_edges, unframe, word_hashes
 from .shared import mix64, pack, stage, unpack
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Not words: white space never lies in one.
-END, START = b" ", b"\n"
+#: Symbols that stand before and behind each text, beside the hashes of words.
+END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 STEP = 1 / 1024  # of a quantised log10 probability
 #: Weights of the lower order, for orders 2, 3, ...; the last holds for all beyond.
 MU = (200.0, 5.0)
@@ -105,12 +104,12 @@ class EliasFano:
         # values with smaller high bits, and with these
         a = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - np.maximum(h - 1, 0), 0)
         b = self._select(h, False) - h
-        size = int((b - a).max(initial=0))
-        while size:
-            mid = (a + b) >> 1
-            less = (mid < b) & (self._low(np.minimum(mid, max(self.n - 1, 0))) < low)
-            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
-            size >>= 1
+        todo = np.flatnonzero(a < b)
+        while len(todo):
+            mid = (a[todo] + b[todo]) >> 1
+            less = self._low(mid) < low[todo]
+            a[todo[less]], b[todo[~less]] = mid[less] + 1, mid[~less]
+            todo = todo[a[todo] < b[todo]]
         return np.where(beyond, self.n, a)
 
 
@@ -184,20 +183,16 @@ class Grams:
     has too few tokens before). Words are numbered by their hashes."""
 
     def __init__(self, block: Block, order: int, bits: int = 64):
-        local: dict[bytes, int] = {END: 0, START: 1}
-        parts, n_tokens = [], []
-        for text in block.texts():
-            words = text.lower().split()
-            for w in words:
-                if w not in local:
-                    local[w] = len(local)
-            parts.append(np.array([*map(local.__getitem__, words), 0], np.int32))
-            n_tokens.append(len(words) + 1)
-        self.hashes, number = np.unique(mix64(np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))), return_inverse=True)
+        words, upto = word_hashes(block, lower=True)
+        self.n_tokens = np.diff(upto, prepend=0) + 1
+        every = np.empty(len(words) + block.n, np.uint64)
+        ends = np.cumsum(self.n_tokens) - 1
+        own = np.ones(len(every), bool)
+        own[ends] = False
+        every[own], every[ends] = words, END
+        self.hashes, number = np.unique(np.append(every, START), return_inverse=True)
         self.words = len(self.hashes)
-        self.token = number[np.concatenate(parts)].astype(np.int64) if parts else np.zeros(0, np.int64)
-        self.end, self.start = int(number[0]), int(number[1])
-        self.n_tokens = np.array(n_tokens, np.int64)
+        self.token, self.start = number[:-1].astype(np.int64), int(number[-1])
         self.first = np.cumsum(self.n_tokens) - self.n_tokens
         self.held = np.array([is_held_out(None if null else i) for i, null in zip(block.ids.tolist(), block.null.tolist())], bool)
         train = ~np.repeat(self.held, self.n_tokens)
@@ -205,6 +200,7 @@ class Grams:
         counts[self.start] = int((~self.held).sum())
         self.keys, self.counts, self.at = [self.hashes], [counts], [self.token]
         self.before: list[np.ndarray] = [self.token]  # each position's context, of the level above
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         place = np.arange(len(self.token)) - np.repeat(self.first, self.n_tokens)
         cut = np.uint64(((1 << bits) - 1) << (64 - bits))
         key = self.hashes[self.token]
@@ -225,10 +221,12 @@ class Grams:
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the n-grams of level n (0 are the words): the context and the
         same words without the first, in the level above, and the last word."""
-        real = np.flatnonzero(self.at[n] >= 0)
-        one = np.empty(len(self.keys[n]), np.int64)
-        one[self.at[n][real]] = real
-        return self.before[n][one], self.at[n - 1][one], self.token[one]
+        if n not in self.known:
+            real = np.flatnonzero(self.at[n] >= 0)
+            one = np.empty(len(self.keys[n]), np.int64)
+            one[self.at[n][real]] = real
+            self.known[n] = self.before[n][one], self.at[n - 1][one], self.token[one]
+        return self.known[n]
 
 
 def _slim(counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -255,7 +253,6 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     exchange = Exchange(blocks, shard_bytes)
     shards, bits = exchange.shards, key_bits(exchange.total)
     spare = [np.uint64(0), *[np.uint64(64 - bits)] * (order - 1)]
-    start_key = int(mix64(np.array([xxhash.xxh64_intdigest(START)], np.uint64))[0])
 
     def questions(b, block):
         g = Grams(block, order, bits)
@@ -279,7 +276,7 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
             uniq, inv = np.unique(keys, return_inverse=True)
             total = np.bincount(inv, np.concatenate(counts), len(uniq)).astype(np.int64)
             if n == 0:
-                word = uniq != np.uint64(start_key)
+                word = uniq != START
                 known, tokens = int((total[word] > 0).sum()), int(total[word].sum())
             for out, part in zip(back, np.split(total[inv], np.cumsum([len(c) for c in counts])[:-1])):
                 out |= {f"c{n}{name}": a for name, a in _slim(part).items()}

@@ -18,29 +18,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import covered, find_repeats, sorted_lcp
-from .blocks import Block, Exchange, make_blocks
+from .blocks import Block, Exchange, make_blocks, word_hashes
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def word_symbols(block: Block):
-    """A 64-bit symbol for each word (XXH64), and the documents' bounds in words."""
-    known: dict[bytes, int] = {}
-    parts, ends, n = [], np.zeros(block.n, np.int64), 0
-    for i, text in enumerate(block.texts()):
-        words = text.split()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        n += len(words)
-        ends[i] = n
-    sym = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return sym, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+    """A 64-bit symbol for each word, and the documents' bounds in words."""
+    sym, ends = word_hashes(block)
+    return sym, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
 
 
 def factors(ctx: np.ndarray, l: np.ndarray, r: np.ndarray, W: int, k: int) -> np.ndarray:
@@ -116,8 +105,8 @@ def dedup_spans(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     ``texts``. A null text has no words; a null id stays null; repeated rows
     are separate documents and remove each other's windows. Texts of fewer
     than W words stay. An empty table gives no rows. Only the two named
-    columns are read. Words are compared by their XXH64, whole contexts in the
-    first round by 128 bits of hash.
+    columns are read. Words are compared by 64 bits of hash, whole contexts in
+    the first round by 128.
     """
     blocks = make_blocks(spark, df, id_col, text_col, block_bytes)
 

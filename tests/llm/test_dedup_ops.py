@@ -232,6 +232,21 @@ def test_contexts_are_compared_on_their_symbols(monkeypatch):
     assert got == {tuple(sorted(g)) for g in want.values()}
 
 
+def test_words_by_arrays(monkeypatch):
+    """Words and their bounds as split() gives them, equal words by equal hashes, whatever the stretches."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aB é\n\t 漢") for _ in range(rng.randint(0, 60))).encode() for _ in range(200)] + [b"", b" ", b"x" * 5000, b"a", b"a"]
+    block = blocks.Block(blocks._payload(list(range(len(texts))), [0] * len(texts), texts))
+    for lower in (False, True):
+        words = [w.lower() if lower else w for t in texts for w in t.split()]
+        whole, upto = blocks.word_hashes(block, lower)
+        monkeypatch.setattr(blocks, "_STRETCH", 64)
+        parts, _ = blocks.word_hashes(block, lower)
+        monkeypatch.undo()
+        assert upto.tolist() == np.cumsum([len(t.split()) for t in texts]).tolist() and (whole == parts).all()
+        assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words)) == len(set(zip(whole.tolist(), words)))
+
+
 def test_greedy_parse():
     """Factors of pieces against a plain search: at each start that the parse asks for, the longest match with another piece."""
     rng = random.Random(3)
