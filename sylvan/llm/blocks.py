@@ -94,7 +94,7 @@ def word_hashes(block: Block, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     return out, np.searchsorted(start, block.ends)
 
 
-def _payload(ids: list, groups: list, texts: list[bytes], level: int = 3) -> bytes:
+def _payload(ids: list, groups: list, texts: list[bytes]) -> bytes:
     n = len(ids)
     parts = [
         n.to_bytes(8, "little"),
@@ -104,7 +104,7 @@ def _payload(ids: list, groups: list, texts: list[bytes], level: int = 3) -> byt
         np.array([len(t) for t in texts], np.int64).tobytes(),
         *texts,
     ]
-    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 @dataclass
@@ -117,11 +117,11 @@ class Blocks:
     buckets: int
 
 
-def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, block_bytes: int, group: F.Column | None = None, level: int = 3, total: int | None = None) -> Blocks:
+def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, block_bytes: int, group: F.Column | None = None, total: int | None = None) -> Blocks:
     """Stage ``df`` as blocks of about ``block_bytes`` of text (one document
     at least). A null text is an empty one; a null id is kept as null.
     ``group`` (a long) may tie documents, such as the pages of a host;
-    ``level`` is zstd's; ``total`` are the bytes of text, counted if not given.
+    ``total`` are the bytes of text, counted if not given.
 
     The table is bucketed by bundle, so blocks meet their answers where they
     lie: only the answers are shuffled."""
@@ -145,7 +145,7 @@ def make_blocks(spark: SparkSession, df: DataFrame, id_col: str, text_col: str,
             yield flush(part + seq, ids, groups, texts, n)
 
     def flush(block, ids, groups, texts, n):
-        return pa.RecordBatch.from_pydict({"bundle": [bundle_of(block, size)], "block": [block], "n_bytes": [n], "payload": pa.array([_payload(ids, groups, texts, level)], pa.binary())})
+        return pa.RecordBatch.from_pydict({"bundle": [bundle_of(block, size)], "block": [block], "n_bytes": [n], "payload": pa.array([_payload(ids, groups, texts)], pa.binary())})
 
     ready_python(spark)
     source = df.select(

@@ -34,17 +34,27 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 STEP = 1 / 1024  # of a quantised log10 probability
 #: Weights of the lower order, for orders 2, 3, ...; the last holds for all beyond.
-MU = (200.0, 5.0)
+MU = (200.0, 20.0, 1.0)
 #: Keys of n-grams have the bits of the corpus's size in bytes and so many more: about one in 2 ** ODDS (a byte being some sixth of an n-gram) shares its key with another.
 ODDS = 12
 _TOTALS = -1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").cumsum(axis=1).astype(np.uint8)
-_COUNT = np.ascontiguousarray(_ONES[:, 7])
+_U, _EACH, _TOPS = np.uint64, np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 #: Place of the j-th bit that is set in a byte.
 _NTH = np.stack([np.argmax(_ONES > j, axis=1) for j in range(8)], 1).astype(np.int64)
 
 
+def _bits(at: np.ndarray, values: np.ndarray, words: int) -> np.ndarray:
+    """64-bit words with the values at these (ascending) bits, cut at the end of their word."""
+    out = np.zeros(words, np.uint64)
+    if len(at):
+        word = at >> 6
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_or.reduceat(values << (at & 63).astype(np.uint64), first)
+    return out
+
+
 class EliasFano:
     """A monotone sequence of integers: low bits packed, high bits in unary,
     and the ones before every 64 bits of these. ``high`` and ``low`` are
@@ -59,27 +69,30 @@ class EliasFano:
         v = np.asarray(values, np.uint64)
         top = int(v[-1]) if n else 0
         bits = min(56, max(0, (max(top, 1) // max(n, 1)).bit_length() - 1))
-        raw = np.unpackbits(v.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :bits] if n else np.zeros((0, bits), np.uint8)
-        unary = np.zeros((((top >> bits) + n) // 64 + 1) * 64, np.uint8)
-        unary[(v >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
-        low = np.packbits(raw.ravel(), bitorder="little")
-        low = np.concatenate([low, np.zeros(-len(low) % 8 + 8, np.uint8)]).view(np.uint64)
-        ones = unary.reshape(-1, 64).sum(axis=1)
-        return cls(low, np.packbits(unary, bitorder="little").view(np.uint64), (np.cumsum(ones) - ones).astype(np.uint32), bits, n)
+        at = np.arange(n, dtype=np.int64)
+        high = _bits((v >> np.uint64(bits)).astype(np.int64) + at, np.ones(n, np.uint64), ((top >> bits) + n) // 64 + 1)
+        part, at = v & np.uint64((1 << bits) - 1), at * bits
+        low = _bits(at, part, (n * bits) // 64 + 2)
+        over = np.flatnonzero((at & 63) + bits > 64)  # the rest of a value goes to the next word
+        low[(at[over] >> 6) + 1] |= part[over] >> (np.uint64(64) - (at[over] & 63).astype(np.uint64))
+        ones = np.bitwise_count(high).astype(np.int64)
+        return cls(low, high, (np.cumsum(ones) - ones).astype(np.uint32), bits, n)
 
     def _select(self, j: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the j-th one, or zero, of the unary bits."""
         before = self.before if ones else (np.arange(len(self.before), dtype=np.int64) * 64 - self.before)
         word = np.searchsorted(before, j, side="right") - 1
         x = self.high[word] if ones else ~self.high[word]
-        parts = np.ascontiguousarray(x).view(np.uint8)
-        upto = _COUNT[parts].reshape(-1, 8).cumsum(axis=1, dtype=np.uint8)
-        rest = (j - before[word]).astype(np.uint8)
-        byte = (upto <= rest[:, None]).sum(axis=1, dtype=np.uint8)
-        at = np.arange(0, 8 * len(j), 8) + byte
-        own = parts[at]
-        rest -= upto.ravel()[at] - _COUNT[own]
-        return word * 64 + byte * np.int64(8) + _NTH[own, rest]
+        rest = (j - before[word]).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            # ones of each byte, then of the bytes up to it, in one word
+            sums = x - ((x >> _U(1)) & _U(0x5555555555555555))
+            sums = (sums & _U(0x3333333333333333)) + ((sums >> _U(2)) & _U(0x3333333333333333))
+            upto = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH
+            # bytes that end before the wanted one
+            shift = np.bitwise_count((((rest * _EACH) | _TOPS) - upto) & _TOPS).astype(np.uint64) << _U(3)
+            rest -= ((upto << _U(8)) >> shift) & _U(255)
+        return word * 64 + shift.astype(np.int64) + _NTH[((x >> shift) & _U(255)).astype(np.int64), rest.astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -240,7 +253,7 @@ def _full(x: dict[str, np.ndarray], name: str) -> np.ndarray:
     return out
 
 
-def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, mu: tuple[float, ...] = MU, block_bytes: int = 5 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
+def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 4, mu: tuple[float, ...] = MU, block_bytes: int = 5 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
     """One row per document (``SCHEMA``). Documents whose crc32(id as text)
     mod 7 is 2 are held out; the model learns from all others.
 
@@ -249,7 +262,7 @@ def score_documents(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     two named columns are read. Words are told apart by 64 bits of hash,
     longer n-grams by ``key_bits``.
     """
-    blocks = make_blocks(spark, df, id_col, text_col, block_bytes, level=9)
+    blocks = make_blocks(spark, df, id_col, text_col, block_bytes)
     exchange = Exchange(blocks, shard_bytes)
     shards, bits = exchange.shards, key_bits(exchange.total)
     spare = [np.uint64(0), *[np.uint64(64 - bits)] * (order - 1)]

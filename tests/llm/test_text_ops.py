@@ -70,7 +70,7 @@ def test_lm_scores(spark, sf_dir, monkeypatch, order):
 
 def test_lm_odd(spark, odd, empty):
     got = ngram_trie.score_documents(spark, odd).collect()
-    same_scores(got, brute_scores(ODD, 3, ngram_trie.MU), 3)
+    same_scores(got, brute_scores(ODD, 4, ngram_trie.MU), 4)
     assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
     assert ngram_trie.score_documents(spark, empty).count() == 0
 
