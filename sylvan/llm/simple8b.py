@@ -38,7 +38,7 @@ _PAYLOAD = np.uint64((1 << 60) - 1)
 SECTION_IDS = 1 << 18
 GROUP_BYTES = 2 << 20
 SECTIONS = "part int, seq int, within long, n_ids long, section binary"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 2_000_000
 LONGEST = 256
 _PUNCTUATION = string.punctuation.encode()
 _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
