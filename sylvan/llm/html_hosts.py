@@ -13,10 +13,12 @@ counts in the first block that has it, so counts add up. Anchors that more
 than ``HOT`` blocks hold would bring all of their contexts to one shard;
 their windows are counted by hashes of 128 bits instead.
 
-A window found on ``SHARE`` of the host's texts goes, with the words that it
-covers, and so does a whole block; a whole block of a page that marks no
-article goes already at ``WHOLE``. Three texts at least must have it. Unique
-runs stay, and a page of which nothing would stay keeps its longest block.
+On pages that mark no article a window found on ``SHARE`` of the host's texts
+goes, with the words that it covers, and a whole block goes already at
+``WHOLE``; three texts at least must have it. Within a marked article both go
+at ``INSIDE`` of the texts, ten at least: a line that many articles quote is
+theirs, one that practically every page has is the host's. Unique runs stay,
+and a page of which nothing would stay keeps its longest block.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ SHARD_BYTES = 8 << 20
 SHARE = 0.3  # of a host's texts, that a repeat must be found on to be boilerplate
 WHOLE = 0.01  # the same for whole blocks of pages without an article, such as adverts that take turns
 LEAST = 3  # texts, at least
+INSIDE, INSIDE_LEAST = 0.9, 10  # the same for windows and blocks of marked articles
 _HOST, _BLOCK_KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SCHEMA = "page_id long, url string, text string, n_chars long"
 with np.errstate(over="ignore"):
@@ -237,8 +240,11 @@ def _word_hashes(raw: bytes) -> np.ndarray:
 def needed(texts: int, marked: bool) -> tuple[int, int]:
     """Texts of a host, of so many, that windows and whole blocks of
     boilerplate are found on."""
+    if marked:
+        runs = max(INSIDE_LEAST, math.ceil(INSIDE * texts))
+        return runs, runs
     runs = max(LEAST, math.ceil(SHARE * texts))
-    return runs, runs if marked else min(runs, max(LEAST, math.ceil(WHOLE * texts)))
+    return runs, min(runs, max(LEAST, math.ceil(WHOLE * texts)))
 
 
 def kept_text(found: list, zone: str, gone: list[np.ndarray], whole: np.ndarray) -> str:
@@ -364,9 +370,11 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
         x, names, page, pos, key, own = keyed(block)
         uniq, inv = np.unique(names, return_inverse=True)
         n = back(got, 1, "nc", uniq, np.int64)[inv]
-        runs = np.array([needed(t, True)[0] for t in n[: block.n].tolist()], np.int64)
+        marked = np.array([main_zone(found) != OPEN for _, _, found in x.rows], bool)
+        runs, few = (np.array([needed(t, m)[0] for t, m in zip(n[: block.n].tolist(), ms)], np.int64) for ms in (marked.tolist(), [False] * block.n))
         uniq, inv = np.unique(key, return_inverse=True)
-        enough = back(got, 1, "ac", uniq, np.int64)[inv] >= runs[own] if len(key) else np.zeros(0, bool)
+        # all pages count for those of the host that need the fewest
+        enough = back(got, 1, "ac", uniq, np.int64)[inv] >= few[own] if len(key) else np.zeros(0, bool)
         return x, n, runs, pos[enough], own[enough], back(got, 1, "ah", uniq, bool)[inv][enough] if len(key) else enough, key[enough]
 
     def hot_windows(x, block, pos, own):
@@ -395,7 +403,7 @@ def extract(spark: SparkSession, df: DataFrame, id_col: str = "page_id", url_col
         if len(pos):
             around = Contexts(x.sym, far, W)
             l, r = np.minimum(pos - x.starts[own], far).astype(np.int16), np.minimum(x.ends[own] - pos, W).astype(np.int16)
-            rep, order, at, size = context_classes(around, context_hashes(x.sym, pos, l, r), pos, l, r, block.groups[own], own)
+            rep, order, at, size = context_classes(around, context_hashes(x.sym, pos, l, r), pos, l, r, block.groups[own] ^ mix64(runs[own].astype(np.uint64)), own)
             cls = np.repeat(np.arange(len(at)), size)
             new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (own[order][1:] != own[order][:-1])])
             weight = np.bincount(cls, new & counts[own[order]], len(at)).astype(np.uint32)

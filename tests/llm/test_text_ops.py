@@ -231,9 +231,11 @@ def test_host_repeats_decide_inside_articles(spark, ways):
     words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
     notice, long = "Read all of our offers of the week", " ".join(f"n{i}" for i in range(18))
     page = lambda i: f"<nav>n{i}</nav><article><h1>{words(90 * i, 90 * i + 4)}</h1><p>{words(90 * i + 4, 90 * i + 40)} {long} {words(90 * i + 40, 90 * i + 50)}</p><p>{notice}</p><p>{words(90 * i + 50, 90 * i + 80)} that at the end of the day we won</p></article><footer>f{i}</footer>"
-    got = texts_of(spark, [page(i) for i in range(6)])
+    got = texts_of(spark, [page(i) for i in range(12)])
     want = lambda i: f"{words(90 * i, 90 * i + 4)}\n\n{words(90 * i + 4, 90 * i + 50)}\n\n{words(90 * i + 50, 90 * i + 80)} that at the end of the day we won"
-    assert got == [want(i) for i in range(6)]
+    assert got == [want(i) for i in range(12)]
+    quoted = [f"<article><p>{words(90 * i, 90 * i + 40)}</p>{f'<p>{notice}</p>' if i % 2 else ''}</article>" for i in range(12)]  # by half of the articles
+    assert texts_of(spark, quoted) == [words(90 * i, 90 * i + 40) + (f"\n\n{notice}" if i % 2 else "") for i in range(12)]
     same = [f"<div>menu {i} of {i}</div><p>{words(0, 30)}</p><p>{words(30, 70)}</p>" for i in range(5)]
     assert all(text == f"menu {i} of {i}\n\n{words(0, 30)}\n\n{words(30, 70)}" for i, text in enumerate(texts_of(spark, same)))
     two = [f"<article><p>{words(0, 30)}</p></article>"] * 2 + [f"<article><p>{words(50 * i, 50 * i + 30)}</p></article>" for i in (1, 2)]
