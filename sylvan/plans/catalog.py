@@ -39,9 +39,11 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, done: bool = False) -> Callable[[Query], Query]:
+    """``done``: its columns are tidy already."""
+
     def keep(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        QUERIES[name] = f if done else lambda spark, sf_dir: tidy(f(spark, sf_dir))
         if sql:
             ORACLES[name] = sql
         return f
@@ -460,9 +462,9 @@ def j5(s, d):
     return met_.dropna(subset=["X_COORD", "Y_COORD"]).select("uniqueID", "y_pred_fused", "X_COORD", "Y_COORD")
 
 
-@query("J6_radius_neighbors", W("SELECT p.uniqueID AS a, q.uniqueID AS b, " + R("sqrt((p.X_COORD - q.X_COORD) * (p.X_COORD - q.X_COORD) + (p.Y_COORD - q.Y_COORD) * (p.Y_COORD - q.Y_COORD))") + " AS distance FROM trees p JOIN trees q ON abs(p.X_COORD - q.X_COORD) <= 65.61666666 AND p.uniqueID <> q.uniqueID AND (p.X_COORD - q.X_COORD) * (p.X_COORD - q.X_COORD) + (p.Y_COORD - q.Y_COORD) * (p.Y_COORD - q.Y_COORD) <= 65.61666666::DOUBLE * 65.61666666::DOUBLE", "trees"))
+@query("J6_radius_neighbors", W("SELECT p.uniqueID AS a, q.uniqueID AS b, " + R("sqrt((p.X_COORD - q.X_COORD) * (p.X_COORD - q.X_COORD) + (p.Y_COORD - q.Y_COORD) * (p.Y_COORD - q.Y_COORD))") + " AS distance FROM trees p JOIN trees q ON abs(p.X_COORD - q.X_COORD) <= 65.61666666 AND p.uniqueID <> q.uniqueID AND (p.X_COORD - q.X_COORD) * (p.X_COORD - q.X_COORD) + (p.Y_COORD - q.Y_COORD) * (p.Y_COORD - q.Y_COORD) <= 65.61666666::DOUBLE * 65.61666666::DOUBLE", "trees"), done=True)
 def j6(s, d):
-    return spatial.radius_pairs(A.trees(s, d))
+    return spatial.radius_pairs(A.trees(s, d), shown=lambda x: X.rounded(x, large=False))  # rounded by pairs of places, not of trees
 
 
 @query("J7_date_point_product", W("SELECT v.date, t.uniqueID FROM valid v, trees t", "weather_hourly", "trees", valid=_VALID))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,26 @@ def test_weekly_stream(spark, tmp_path):
     q.stop()
     got = [(r.window_start.day, r.window_end.day, r.n) for r in spark.table("weekly").orderBy("window_start").collect()]
     assert got == [(1, 8, 2), (8, 10, 1)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_radius_of_repeated_places(spark, monkeypatch):
+    """Places that repeat, lists cut at BLOCK, a key at two places, nulls: pairs and counts against a plain loop."""
+    monkeypatch.setattr(spatial, "BLOCK", 3)
+    rows = [(i, float(i % 4) * 15, float(i % 3) * 20) for i in range(60)] + [(7, 0.0, 0.0), (7, 0.0, 0.0), (100, 900.0, 900.0), (100, 900.0, 900.0), (None, 0.0, 0.0), (101, None, 0.0), (102, 0.0, float("nan"))]
+    df = spark.createDataFrame(rows, "uniqueID long, X_COORD double, Y_COORD double")
+    whole = [r for r in rows if None not in r]
+    want = sorted((a, b, round(math.hypot(x - u, y - v), 6)) for a, x, y in whole for b, u, v in whole if a != b and (x - u) ** 2 + (y - v) ** 2 <= 400)
+    assert sorted((r.a, r.b, round(r.distance, 6)) for r in spatial.radius_pairs(df, 20.0).collect()) == want
+    assert {r.a: r.n for r in spatial.radius_counts(df, 20.0).collect()} == Counter(a for a, _, _ in want)
+
+
+def test_radius_pairs_broadcast_nothing(spark):
+    """Spark expects the repeated side to be small: as a broadcast it filled the driver at 1.2 million trees."""
+    df = spark.range(50).select(F.col("id").alias("uniqueID"), F.col("id").cast("double").alias("X_COORD"), F.lit(0.0).alias("Y_COORD"))
+    near = spatial._near(df, 20.0, "X_COORD", "Y_COORD", {})
+    assert "SortMergeJoin" in _plan(near) and "BroadcastExchange" not in _plan(near)
+    assert "SortMergeJoin" in _plan(spatial.radius_pairs(df, 20.0))
