@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .shared import fresh, lean, ready_python, stage
 
 DENSE = 32
+#: Tables of more rows are never broadcast, whatever size Spark expects: it takes exploded cells and compressed ids for as small as their files.
+BROADCAST = 100_000
 _PIECE = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -104,7 +106,7 @@ def links(spark: SparkSession, distinct: DataFrame) -> DataFrame:
     for width in _COUNTS:
         cells = _cells(rest, width)
         shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        near = stage(spark, cells.join(shared, "cell"), "near")
+        near = stage(spark, cells.hint("merge").join(shared, "cell"), "near")
         few = near.where(F.col("n") <= DENSE) if width > 1 else near
         together = few.groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # DENSE or 65 at most
         if width > 1:
@@ -120,10 +122,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node of the component. Alternating
     large-star and small-star steps; each round is staged."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, hint) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = both.join(low, "a")
+        out = hint(both).join(low, "a")
         if large:
             out = out.where("b > a").select(F.col("b").alias("x"), "m")
         else:
@@ -132,8 +134,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     now = stage(spark, edges.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").where("a <> b").distinct(), "edges")
     while not now.isEmpty():
-        was, now = now, stage(spark, star(star(now, True), False), "edges")
-        if now.join(was, ["a", "b"], "left_anti").isEmpty() and was.join(now, ["a", "b"], "left_anti").isEmpty():
+        hint = (lambda df: df.hint("merge")) if now.count() > BROADCAST else (lambda df: df)
+        was, now = now, stage(spark, star(star(now, True, hint), False, hint), "edges")
+        if hint(now).join(was, ["a", "b"], "left_anti").isEmpty() and hint(was).join(now, ["a", "b"], "left_anti").isEmpty():
             break
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).union(now.select("a", "a").distinct())
 
@@ -150,7 +153,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     docs = stage(spark, fingerprints(spark, df, id_col, text_col), "fingerprints")
     distinct = stage(spark, docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(spark, links(spark, distinct))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = distinct.hint("merge").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -170,10 +173,10 @@ def keep_one(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_co
     of = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     docs = stage(spark, fingerprints(spark, df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), of.alias("key")), "doc_id", "text", carry="key"), "fingerprints")
     roots = components(spark, links(spark, stage(spark, docs.select("fp").distinct(), "distinct")))
-    rooted = docs.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = docs.hint("merge").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select(F.col("least.key").alias(key))
     rows = docs.groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n"))
-    first = stage(spark, first.join(rows, key), "first")
+    first = stage(spark, first.hint("merge").join(rows, key), "first")
     keyed = df.withColumn(key, of)
     meet = lambda found: keyed.join(found.select(key).hint("shuffle_hash"), key, "left_semi")
     return meet(first.where("n = 1")).unionByName(meet(first.where("n > 1")).dropDuplicates([key])).drop(key)

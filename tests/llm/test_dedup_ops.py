@@ -329,3 +329,20 @@ def test_bundles():
     part = 5 << 32
     assert blocks.bundle_of(part | 7, 3) == part | 2 and blocks.bundle_of(-1, 3) == -1
     assert blocks.unframe(blocks._frame([(1, b"a"), (part, b""), (3, b"xyz")])) == [(1, b"a"), (part, b""), (3, b"xyz")]
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    """Exploded cells and compressed ids look small to Spark: as broadcasts they filled the driver at 0.5 GB."""
+    plans, whole = [], simhash.stage
+
+    def seen(s, df, tag, *more):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return whole(s, df, tag, *more)
+
+    monkeypatch.setattr(simhash, "stage", seen)
+    monkeypatch.setattr(simhash, "BROADCAST", 0)
+    df = spark.createDataFrame([(f,) for f in (0, 1, 3, 7, 1 << 40, (1 << 40) + 1)], "fp long")
+    root = {r.node: r.root for r in simhash.components(spark, simhash.links(spark, df)).collect()}
+    assert root == {0: 0, 1: 0, 3: 0, 7: 0, 1 << 40: 0, (1 << 40) + 1: 0}
+    joins = [p for tag, p in plans if "Join" in p]
+    assert len(joins) > 3 and not any("BroadcastExchange" in p for p in joins)
